@@ -1,0 +1,5 @@
+"""A PySpark-native memory and corpus engine."""
+
+from quarrywell.schema import RECORD, SOURCES, STATES, Config
+
+__all__ = ["RECORD", "SOURCES", "STATES", "Config"]
