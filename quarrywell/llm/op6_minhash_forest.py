@@ -9,8 +9,8 @@ is small do they fall back to its least depth.  Each class is paired with the ne
 Candidates are confirmed on the full shingle sets.  First the best partner of each class (the one met in most orders) is
 tried, then all candidates that the components found so far don't join already.  Regions that are too large for their
 neighbours to be all of them and whose classes are still in several components are gone through once more: the classes
-outside a region's largest component meet all its classes, in blocks, by their signatures, and the pairs that these
-don't rule out (five standard deviations) are confirmed as well.  So dense regions lose no link to the limit on neighbours.
+outside a region's largest component meet all its classes, in blocks, and the pairs that their signatures don't rule out
+(five standard deviations) are confirmed as well, inside the task.  So dense regions lose no link to the limit on neighbours.
 
 With similarity s an order brings two classes into one region with probability s ** DEPTH; at s = 0.8 all of them fail
 with probability (1 - 0.8 ** 4) ** 40 < 1e-9.
@@ -177,15 +177,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             a, b = (c.to_pylist() for c in batch.columns[2:4])
-            ok = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = 0
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    merged = np.concatenate([x, y])
-                    merged.sort(kind="stable")
-                    both = int((merged[1:] == merged[:-1]).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b)]
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["u", "v"])
 
@@ -201,60 +193,87 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "u", "left").join(b, "v", "left").where("coalesce(cu, u) <> coalesce(cv, v)").select(*pairs.columns)
 
 
-def _dense(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """u, v, n: pairs of classes that share a region too large for its neighbours to be all of it, that are still in
-    different components, and whose signatures don't rule a link out; n is how many values they agree on.
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted distinct sets reach the threshold."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    merged = np.concatenate([x, y])
+    merged.sort(kind="stable")
+    both = int((merged[1:] == merged[:-1]).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-    In each such region the classes outside its largest component meet all its classes, block by block; a pair is
-    given once, by the first order that brings it together."""
+
+def _dense(classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: links between classes that share a region too large for its neighbours to be all of it and that are still
+    in different components.
+
+    In each such region the classes outside its largest component meet all its classes, block by block.  Pairs whose
+    signatures rule a link out are passed over, others are confirmed on their full sets inside the task; a pair is looked
+    at once, in the first order that brings it together, and one link from a class to a component is enough there."""
     held = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "sig", F.coalesce("component", "cid").alias("component"))
-    placed = _forest(held).join(held, "cid")
+    placed = written(_forest(held).drop("rest").join(held.select("cid", "component"), "cid"), "placed")
     sizes = placed.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n")).groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max_by("component", "n").alias("main"))
     mixed = written(sizes.where((F.col("n") > NEAR + 1) & (F.col("parts") > 1)).select("tree", "prefix", "main"), "mixed-regions")
-    rows = written(placed.join(mixed, ["tree", "prefix"]).select("tree", "prefix", "cid", "component", "sig", (F.col("component") == F.col("main")).alias("in_main")), "region-rows")
+    rows = written(placed.join(mixed, ["tree", "prefix"]).select("tree", "prefix", "cid", "component", (F.col("component") == F.col("main")).alias("in_main")), "region-rows")
     order = Window.partitionBy("tree", "prefix", "in_main").orderBy("cid")
-    blocked = rows.withColumn("block", F.expr("0L") + F.floor((F.row_number().over(order) - 1) / BLOCK))
-    blocks = blocked.groupBy("tree", "prefix", "in_main", "block").agg(F.collect_list("cid").alias("cid"), F.collect_list("component").alias("component"), F.collect_list("sig").alias("sig"))
+    blocked = written(rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)), "region-rows")
+    whole = blocked.join(held.select("cid", "sig"), "cid").join(sets, "cid")
+    blocks = whole.groupBy("tree", "prefix", "in_main", "block").agg(F.collect_list("cid").alias("cid"), F.collect_list("component").alias("component"), F.collect_list("sig").alias("sig"), F.collect_list("shingles").alias("sets"))
     blocks = written(blocks, "region-blocks")
-    outer = blocks.where("NOT in_main").select("tree", "prefix", *(F.col(c).alias(f"x_{c}") for c in ("block", "cid", "component", "sig")))
+    outer = blocks.where("NOT in_main").select("tree", "prefix", *(F.col(c).alias(f"x_{c}") for c in ("block", "cid", "component", "sig", "sets")))
     pairs = outer.join(blocks, ["tree", "prefix"]).where("in_main OR block >= x_block")
     least = int(HASHES * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5))
+    heads = _ORDERS[:, :DEPTH]
 
     def run(batches):
         for batch in batches:
-            for row in batch.select(["tree", "x_cid", "x_component", "x_sig", "cid", "component", "sig"]).to_pylist():
-                x = np.frombuffer(b"".join(row["x_sig"]), ">u2").reshape(-1, HASHES).astype(np.uint16)
-                y = np.frombuffer(b"".join(row["sig"]), ">u2").reshape(-1, HASHES).astype(np.uint16)
-                xc, yc = np.array(row["x_component"]), np.array(row["component"])
-                u, v, n = [], [], []
+            for r in range(batch.num_rows):
+                row = {n: batch.column(n)[r].as_py() for n in ("tree", "x_cid", "x_component", "x_sig", "x_sets", "cid", "component", "sig", "sets")}
+                x, y = (np.frombuffer(b"".join(row[c]), ">u2").reshape(-1, HASHES).astype(np.uint16) for c in ("x_sig", "sig"))
+                xs, ys = ([np.frombuffer(t, np.uint64) for t in row[c]] for c in ("x_sets", "sets"))
+                yc = np.array(row["component"], np.int64)
+                u, v = [], []
                 for k in range(len(x)):
                     same = (y == x[k]).sum(axis=1)
-                    hit = np.flatnonzero((same >= least) & (yc != xc[k]))
+                    hit = np.flatnonzero((same >= least) & (yc != row["x_component"][k]))
+                    hit = hit[np.argsort(-same[hit], kind="stable")]
                     if len(hit):
-                        shared = (y[hit][:, _ORDERS[:, :DEPTH]] == x[k][_ORDERS[:, :DEPTH]]).all(axis=2)
+                        shared = (y[hit][:, heads] == x[k][heads]).all(axis=2)
                         hit = hit[shared.argmax(axis=1) == row["tree"]]
-                        u += [row["x_cid"][k]] * len(hit)
-                        v += [row["cid"][j] for j in hit.tolist()]
-                        n += same[hit].tolist()
-                u, v = np.array(u, np.int64), np.array(v, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(n, pa.int64())], ["u", "v", "n"])
+                    met = set()
+                    for j in hit.tolist():
+                        if yc[j] not in met and _linked(xs[k], ys[j], percent):
+                            met.add(yc[j])
+                            u.append(row["x_cid"][k])
+                            v.append(row["cid"][j])
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return pairs.mapInArrow(run, "u long, v long")
 
-    return pairs.mapInArrow(run, "u long, v long, n long").dropDuplicates(["u", "v"])
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: the components found so far are the nodes that the new links join."""
+    if links.isEmpty():
+        return labels
+    a = labels.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    b = labels.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+    over = links.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    new = written(components(over), "labels").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = labels.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    alone = new.select(F.col("component").alias("node"), F.col("to").alias("component")).join(labels.select("node"), "node", "left_anti")
+    return written(moved.unionByName(alone), "labels")
 
 
-def _settled(pairs: DataFrame, links: DataFrame | None, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links and components once all of ``pairs`` (u, v, n) are confirmed or not: each class's best pair first, then those
-    that still lie between components."""
+def _settled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The components once all of ``pairs`` (u, v, n) are confirmed or not: each class's best pair first, then those that
+    still lie between components."""
     both = pairs.select(F.col("u").alias("x"), "u", "v", "n").unionAll(pairs.select(F.col("v").alias("x"), "u", "v", "n"))
     # Ties go by a hash of the pair, so that no class is everyone's partner.
     best = both.groupBy("x").agg(F.max_by(F.struct("u", "v"), F.struct("n", F.xxhash64("u", "v"))).alias("p")).select("p.*").distinct()
     best = written(best, "best-pairs")
-    found = written(_confirmed(best, sets, percent), "links")
-    links = found if links is None else links.unionAll(found)
-    labels = written(components(links), "labels")
+    labels = written(components(written(_confirmed(best, sets, percent), "links")), "labels")
     rest = written(_across(pairs.join(best, ["u", "v"], "left_anti"), labels), "rest-pairs")
-    links = links.unionAll(written(_confirmed(rest, sets, percent), "links"))
-    return links, written(components(links), "labels")
+    return labels if rest.isEmpty() else _merged(labels, written(_confirmed(rest, sets, percent), "links"))
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -264,9 +283,8 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = written(candidates(classes), "candidates")
     involved = written(pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct().join(classes, "cid"), "involved")
     sets = written(_sets(docs, involved.select("cid", "member")), "shingles")
-    links, labels = _settled(pairs, None, sets, percent)
-    dense = written(_dense(involved, labels, percent), "dense-pairs")
-    links, labels = _settled(dense, links, sets, percent)
+    labels = _settled(pairs, sets, percent)
+    labels = _merged(labels, written(_dense(involved, labels, sets, percent), "dense-links"))
     named = classes.select("cid", "member").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     name = named.groupBy("component").agg(F.min("member").alias("component_id"))
     by_class = written(named.join(written(name, "names"), "component").select("cid", "component_id"), "classes-named")
