@@ -177,14 +177,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that no rule rejects.
 
-    Rows are judged by their text alone, so rejected (doc_id, digest of text) pairs name exactly the rejected rows.
-    """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stats = rates(written(text_statistics(plain, ["doc_id"]), "statistics"))
-    rules = learn(stats, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")))
+    The rows are written with their statistics: these are computed once, and the rules, which name them often, are no
+    filter that could be pushed into their expressions."""
     names = docs.columns
-    wide = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("qw_row"), F.col("text").cast("string").alias("text"))
-    return rates(text_statistics(wide, ["qw_row"])).where(verdict(rules).isNull()).select("qw_row.*")
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("qw_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    stats = rates(written(text_statistics(rows, ["doc_id", "qw_row"]), "statistics"))
+    rules = learn(stats, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")))
+    return stats.where(verdict(rules).isNull()).select("qw_row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
