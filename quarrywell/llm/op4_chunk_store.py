@@ -3,7 +3,8 @@
 A rolling hash over the last ``WINDOW`` ids cuts each document's ids into chunks, so equal passages give equal
 chunks wherever they stand.  Layout of a store, all in Parquet:
 
-* ``chunks``: digest (SHA-256 of the bytes), ids (little-endian unsigned 32-bit); each digest once;
+* ``chunks``: digest (SHA-256 of the ids as little-endian unsigned 32-bit), ids (little-endian, of ``width`` bytes each: 2 if all
+  are below 65,536, else 4), width; each digest once;
 * ``recipes``: in ascending doc_id order, doc_id, start, n_tokens, digests and lengths of the chunks in order, and
   the Merkle root over the digests;
 * ``manifest``: for each range partition of the recipes the Merkle root over its documents' roots, in order.
@@ -68,6 +69,14 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+def narrow(ids: np.ndarray) -> bytes:
+    return ids.astype("<u2" if ids.max() < 65_536 else "<u4").tobytes()
+
+
+def wide(data: bytes, width: int) -> bytes:
+    return data if width == 4 else np.frombuffer(data, "<u2").astype("<u4").tobytes()
+
+
 _POLY = 0xEDB88320
 
 
@@ -97,7 +106,7 @@ def moved(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Each document with its chunks, where it was read."""
-    chunk = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
+    chunk = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary())])
 
     def run(batches):
         enc = encoder(tokenizer)
@@ -111,13 +120,13 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 for a, n in zip(starts, counts.tolist()):
                     own = np.append(ids[a : a + n], np.uint32(end_id)).astype("<u4")
                     edges = cuts(own)
-                    parts = [own[x:y].tobytes() for x, y in zip([0, *edges], edges)]
-                    rows.append([{"digest": hashlib.sha256(p).digest(), "n": len(p) // 4, "ids": p} for p in parts])
+                    parts = [own[x:y] for x, y in zip([0, *edges], edges)]
+                    rows.append([{"digest": hashlib.sha256(p.tobytes()).digest(), "n": len(p), "width": 2 if p.max() < 65_536 else 4, "ids": narrow(p)} for p in parts])
                     total.append(len(own))
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(total, pa.int64()), pa.array(rows, pa.list_(chunk))], ["doc_id", "row", "n_tokens", "chunks"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, row long, n_tokens long, chunks array<struct<digest: binary, n: int, ids: binary>>")
+    return source.mapInArrow(run, "doc_id long, row long, n_tokens long, chunks array<struct<digest: binary, n: int, width: int, ids: binary>>")
 
 
 def _roots(df: DataFrame, with_part: bool) -> DataFrame:
@@ -147,7 +156,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     staged = _staged(docs, tokenizer, end_id)
     staged.write.option("compression", "zstd").parquet(temp)
     staged = spark.read.schema(staged.schema).parquet(temp)
-    each = staged.select(F.explode("chunks").alias("c")).select("c.digest", "c.ids")
+    each = staged.select(F.explode("chunks").alias("c")).select("c.digest", "c.width", "c.ids")
     each.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     slim = staged.select("doc_id", "row", "n_tokens", F.col("chunks.digest").alias("digests"), F.col("chunks.n").alias("lengths"))
     placed = _roots(in_id_order(slim, ["doc_id", "row"]), with_part=True).drop("row")
@@ -173,13 +182,13 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            bodies = batch.column(1).to_pylist()
+            bodies = list(map(wide, batch.column(1).to_pylist(), batch.column(2).to_pylist()))
             for d, b in zip(batch.column(0).to_pylist(), bodies):
                 if hashlib.sha256(b).digest() != d:
                     raise ValueError(f"chunk {d.hex()} does not match its digest")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(b) for b in bodies], pa.int64()), pa.array([len(b) for b in bodies], pa.int64())], ["digest", "crc", "n_bytes"])
 
-    return spark.read.schema("digest binary, ids binary").parquet(f"{path}/chunks").mapInArrow(run, "digest binary, crc long, n_bytes long")
+    return spark.read.schema("digest binary, ids binary, width int").parquet(f"{path}/chunks").mapInArrow(run, "digest binary, crc long, n_bytes long")
 
 
 def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -210,9 +219,15 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids (little-endian unsigned 32-bit): whole documents put together from their chunks."""
     parts = verified_recipes(spark, path).select("doc_id", "start", F.posexplode("digests").alias("nth", "digest"))
-    body = spark.read.schema("digest binary, ids binary").parquet(f"{path}/chunks")
-    rows = parts.join(body, "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("nth", "ids"))).alias("parts"))
-    return rows.select("doc_id", "start", F.expr("aggregate(parts.ids, X'', (a, b) -> concat(a, b))").alias("ids"))
+    body = spark.read.schema("digest binary, ids binary, width int").parquet(f"{path}/chunks")
+
+    def run(batches):
+        for batch in batches:
+            data = [b"".join(wide(p["ids"], p["width"]) for p in parts) for parts in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["doc_id", "start", "ids"])
+
+    rows = parts.join(body, "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("nth", "ids", "width"))).alias("parts"))
+    return rows.select("doc_id", "start", "parts").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def op4_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
