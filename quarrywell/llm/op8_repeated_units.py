@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines, and the sentences of long lines.
+"""Substring dedup by hashing lines, the sentences of long lines, and passages of words.
 
 Units are lines of at least ``LINE_WORDS`` words and, in lines of at least ``LONG_WORDS`` words, sentences of at least
 ``SENTENCE_WORDS``: a passage that stands inside a longer line shows there.  A unit's digest is of its words in lower
@@ -6,6 +6,12 @@ case, joined by single spaces.  Digests are grouped over all documents; the docu
 first place) keeps a unit, all other occurrences go.  A line goes whole; of a line that stays, runs of repeated
 sentences go where they have at least ``RUN_WORDS`` words together.
 
+Passages are all runs of ``PASSAGE_WORDS`` words, wherever their lines and sentences begin and end: every word of a run
+that an earlier document has, or that stands before it in the same text without overlap, goes.  So longer repeats are
+matched to the word at both edges.  Not all runs are grouped: hashes of ``GRAM`` words are winnowed first (the least of each
+run, so equal runs choose equal ones), and only runs around a hash that occurs twice are compared.  No repeat is lost by
+this.  Runs are known by 64 bits of a digest.
+
 Spans are code-point offsets into the original text; a removed line's span includes the line end that goes with it.
 
 Defined results: null and empty texts stay as they are; a null id ranks before all others; rows of one id rank as one
@@ -18,13 +24,15 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrywell.llm.common import table, written
+from quarrywell.llm.common import dropped, table, written
 
 LINE_WORDS, LONG_WORDS, SENTENCE_WORDS, RUN_WORDS = 6, 40, 3, 30
+PASSAGE_WORDS, GRAM = 50, 16
 NULL_ID = -(2**63)
 _SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+|$)")
 
@@ -33,7 +41,77 @@ def digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+class _Words(dict):
+    """64 bits of each word's digest."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        self[word] = out = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+        return out
+
+
+_WORDS = _Words()
+_STEP = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of _STEP, and of its inverse modulo 2 ** 64
+
+
+def _word_hashes(text: str) -> np.ndarray:
+    words = text.lower().split()
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+
+
+def _grams(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` words: a polynomial, by differences of prefix sums."""
+    n = len(words) - width + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    if len(_POWERS[0]) <= len(words):
+        for k, step in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
+            power = np.full(2 * len(words), step, np.uint64)
+            power[0] = 1
+            _POWERS[k] = np.cumprod(power, dtype=np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _POWERS[0][: len(words)], dtype=np.uint64)])
+    x = (total[width:] - total[:n]) * _POWERS[1][:n]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def passages(text: str) -> np.ndarray:
+    """A hash of each run of PASSAGE_WORDS words."""
+    return _grams(_word_hashes(text), PASSAGE_WORDS)
+
+
+def _prints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct least hashes of GRAM words of all runs of PASSAGE_WORDS words, and whether each stands there twice."""
+    if len(words) < PASSAGE_WORDS:
+        return np.empty(0, np.int64), np.empty(0, bool)
+    grams = _grams(words, GRAM)
+    least, width = grams, 1
+    while width < PASSAGE_WORDS - GRAM + 1:
+        step = min(width, PASSAGE_WORDS - GRAM + 1 - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    least = np.unique(least)
+    grams.sort()
+    return least, np.searchsorted(grams, least, "right") - np.searchsorted(grams, least) > 1
+
+
+def _own_repeats(hashes: np.ndarray) -> np.ndarray:
+    """Whether each run stands earlier in the text too, without overlap."""
+    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    return np.arange(len(hashes)) - first[inverse] >= PASSAGE_WORDS
+
+
 def units(text: str):
+    """The lines, and as one more unit the whole text with its passages."""
+    yield from lines(text)
+    places = [m.span() for m in re.finditer(r"\S+", text)]
+    runs = passages(text).tolist()
+    yield 0, len(text), len(places), None, [(places[k][0], places[k + PASSAGE_WORDS - 1][1], PASSAGE_WORDS, h) for k, h in enumerate(runs)]
+
+
+def lines(text: str):
     """(start, end, words, digest or None, sentences) of each line; sentences: the same four of each of its sentences."""
     at = 0
     for line in text.split("\n"):
@@ -49,16 +127,47 @@ def units(text: str):
         at = end + 1
 
 
-def repeated_spans(text: str, elsewhere: dict[bytes, int]) -> list[tuple[int, int, int, int | None]]:
+def _repeated_passages(text: str, elsewhere: dict[bytes | int, int], gone: list[tuple]) -> list[tuple[int, int, int, int | None]]:
+    """What goes as part of repeated passages, without the spans in ``gone``."""
+    hashes = passages(text)
+    hit = np.flatnonzero(_own_repeats(hashes) | np.fromiter((h in elsewhere for h in hashes.tolist()), bool, len(hashes)))
+    if not len(hit):
+        return []
+    places = np.array([m.span() for m in re.finditer(r"\S+", text)])
+    edge = np.zeros(len(places) + 1, np.int64)
+    edge[hit] += 1
+    edge[hit + PASSAGE_WORDS] -= 1
+    goes = np.cumsum(edge[:-1]) > 0
+    for start, end, *_ in gone:  # spans hold whole words, or parts of them
+        goes[np.searchsorted(places[:, 1], start, "right") : np.searchsorted(places[:, 0], end)] = False
+    turn = np.flatnonzero(np.diff(np.concatenate([[False], goes, [False]]).astype(np.int8)))
+    out = []
+    for first, after in turn.reshape(-1, 2).tolist():
+        a, b = int(places[first, 0]), int(places[after - 1, 1])
+        by = int(hashes[hit[np.searchsorted(hit, first - PASSAGE_WORDS, "right")]])  # the first passage with the first word
+        out.append((a, _line_end(text, b) if not a or text[a - 1] == "\n" else b, after - first, elsewhere.get(by)))
+    return out
+
+
+def _line_end(text: str, at: int) -> int:
+    """After the line end, where only white space stands before it."""
+    m = re.compile(r"[^\S\n]*(?:\n|$)").match(text, at)
+    return m.end() if m else at
+
+
+def repeated_spans(text: str, elsewhere: dict[bytes | int, int], whole: bool = True) -> list[tuple[int, int, int, int | None]]:
     """(start, end, words, keeping document; None: this one) of what goes.  elsewhere: digests that other
-    documents keep."""
+    documents keep.  whole: passages as well, not only lines and sentences."""
+    out = _repeated_lines(text, elsewhere)
+    return sorted([*out, *_repeated_passages(text, elsewhere, out)]) if whole else out
+
+
+def _repeated_lines(text: str, elsewhere: dict[bytes | int, int]) -> list[tuple[int, int, int, int | None]]:
     out, seen = [], set()
-    for start, end, n, key, inner in units(text):
+    for start, end, n, key, inner in lines(text):
         if key is not None and (key in elsewhere or key in seen):
             out.append((start, min(end + 1, len(text)), n, elsewhere.get(key)))
             continue
-        if key is not None:
-            seen.add(key)
         run: list[tuple[int, int, int, int | None]] = []
         for s in [*inner, None]:
             again = s is not None and s[3] is not None and (s[3] in elsewhere or s[3] in seen)
@@ -74,6 +183,8 @@ def repeated_spans(text: str, elsewhere: dict[bytes, int]) -> list[tuple[int, in
                 run = []
             if s is not None and s[3] is not None:
                 seen.add(s[3])
+        if key is not None:
+            seen.add(key)  # after its sentences: a line of one sentence is no repeat of itself
     return out
 
 
@@ -89,30 +200,81 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.col("text").cast("string").alias("text"))
 
 
+def _kept_passages(docs: DataFrame, each: DataFrame) -> DataFrame:
+    """key, hashes, firsts: for each document that repeats passages, their hashes and the smallest id that has each; both are
+    empty where passages repeat only inside the document."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                keys, hashes, own = [], [], []
+                for key, text, prints in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns)):
+                    words = _word_hashes(text or "")
+                    if len(words) < PASSAGE_WORDS:
+                        continue
+                    hit = np.concatenate([[0], np.cumsum(np.isin(_grams(words, GRAM), np.array(prints, np.int64)))])
+                    found = _grams(words, PASSAGE_WORDS)
+                    near = np.unique(found[hit[PASSAGE_WORDS - GRAM + 1 :] > hit[: len(found)]])
+                    keys.append(np.full(len(near), key, np.int64))
+                    hashes.append(near)
+                    if _own_repeats(found).any():
+                        own.append(key)
+                values = np.concatenate([*hashes, np.zeros(len(own), np.int64)]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.array(own, np.int64)])), pa.array(values, mask=np.arange(len(values)) >= len(values) - len(own))], ["key", "hash"])
+
+    prints = each.where("print IS NOT NULL").select("key", "print", "twice")
+    shared = written(prints.groupBy("print").agg(F.count("*").alias("n"), F.max("twice").alias("t")).where("n > 1 OR t").select("print"), "shared-prints")
+    marked = written(prints.join(shared, "print").groupBy("key").agg(F.collect_set("print").alias("prints")), "marked")
+    near = written(_keyed(docs).join(marked, "key").select("key", "text", "prints").mapInArrow(run, "key long, hash long"), "passages")
+    first = near.where("hash IS NOT NULL").groupBy("hash").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("hash", "first")
+    first = written(first, "first-passages")
+    again = near.join(first, "hash").where("key > first").select("key", "hash", "first")
+    own = near.where("hash IS NULL").select("key", "hash", F.lit(None).cast("long").alias("first"))
+    out = written(again.unionByName(own).groupBy("key").agg(F.collect_list("hash").alias("hashes"), F.collect_list("first").alias("firsts")), "repeated-passages")
+    for table_ in (shared, marked, near, first):
+        dropped(table_)
+    return out
+
+
 def kept_elsewhere(docs: DataFrame) -> DataFrame:
-    """key, repeats: for each document the digests it shares with one of a smaller id, and that id."""
+    """key, repeats, hashes, firsts: for each document the digests it shares with one of a smaller id, and that id; null where
+    there are none."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                keys, digests = [], []
+                keys, digests, prints, twice = [], [], [], []
                 for key, text in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns)):
                     own = set()
-                    for _, _, _, d, inner in units(text or ""):
+                    for _, _, _, d, inner in lines(text or ""):
                         own.add(d)
                         own.update(s[3] for s in inner)
                     own.discard(None)
-                    keys += [key] * len(own)
-                    digests += own
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary())], ["key", "digest"])
-
-    each = written(_keyed(docs).mapInArrow(run, "key long, digest binary"), "units")
+                    found, again = _prints(_word_hashes(text or ""))
+                    keys += [key] * (len(own) + len(found))
+                    digests += [*own, *[None] * len(found)]
+                    prints += [*[None] * len(own), *found.tolist()]
+                    twice += [*[None] * len(own), *again.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(twice, pa.bool_())], ["key", "digest", "print", "twice"])
+
+    both = written(_keyed(docs).mapInArrow(run, "key long, digest binary, print long, twice boolean"), "units")
+    each = both.where("digest IS NOT NULL").select("key", "digest")
     # Grouping sums up inside each task first.  Written, so that the join below is one of two plain shuffles, in which
     # adaptive execution splits the partition of a digest that very many documents share.
     first = each.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("digest", "first")
     first = written(first, "first-units")
     again = each.join(first, "digest").where("key > first")
-    return again.groupBy("key").agg(F.collect_set(F.struct("digest", "first")).alias("repeats"))
+    units_ = written(again.groupBy("key").agg(F.collect_set(F.struct("digest", "first")).alias("repeats")), "repeated-units")
+    out = written(units_.join(_kept_passages(docs, both), "key", "full"), "repeats")
+    dropped(both)
+    dropped(first)
+    return out
+
+
+def _elsewhere(repeats, hashes, firsts) -> dict[bytes | int, int]:
+    out = {r["digest"]: r["first"] for r in repeats or ()}
+    out.update(zip(hashes or (), firsts or ()))
+    return out
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -122,14 +284,14 @@ def removed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = []
-                for doc_id, text, repeats in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns)):
-                    found = repeated_spans(text or "", {r["digest"]: r["first"] for r in repeats or ()})
-                    rows += [(doc_id, a, b, n, doc_id if k is None else None if k == NULL_ID else k) for a, b, n, k in found]
+                for doc_id, text, repeats, hashes, firsts in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns)):
+                    spans = repeated_spans(text or "", _elsewhere(repeats, hashes, firsts), hashes is not None)
+                    rows += [(doc_id, a, b, n, doc_id if k is None else None if k == NULL_ID else k) for a, b, n, k in spans]
                 names = ["doc_id", "start", "end", "n_words", "kept_doc_id"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"))
-    joined = plain.join(written(kept_elsewhere(docs), "repeats"), "key", "left").select("doc_id", "text", "repeats")
+    joined = plain.join(kept_elsewhere(docs), "key", "left").select("doc_id", "text", "repeats", "hashes", "firsts")
     return joined.mapInArrow(run, "doc_id long, start long, end long, n_words long, kept_doc_id long")
 
 
@@ -141,12 +303,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                texts = [None if t is None else without(t, repeated_spans(t, {r["digest"]: r["first"] for r in repeats or ()})) for t, repeats in zip(some.column("text").to_pylist(), some.column("qw_repeats").to_pylist())]
+                texts = [None if t is None else without(t, repeated_spans(t, _elsewhere(r, h, f), h is not None)) for t, r, h, f in zip(*(some.column(n).to_pylist() for n in ("text", "qw_repeats", "qw_hashes", "qw_firsts")))]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else some.column(n) for n in names], names)
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    repeats = written(kept_elsewhere(docs), "repeats").select(F.col("key").alias("qw_key"), F.col("repeats").alias("qw_repeats"))
-    joined = docs.withColumn("text", F.col("text").cast("string")).withColumn("qw_key", key).join(repeats, "qw_key", "left").select(*names, "qw_repeats")
+    repeats = kept_elsewhere(docs).select(F.col("key").alias("qw_key"), F.col("repeats").alias("qw_repeats"), F.col("hashes").alias("qw_hashes"), F.col("firsts").alias("qw_firsts"))
+    joined = docs.withColumn("text", F.col("text").cast("string")).withColumn("qw_key", key).join(repeats, "qw_key", "left").select(*names, "qw_repeats", "qw_hashes", "qw_firsts")
     return joined.mapInArrow(run, joined.select(*names).schema)
 
 

@@ -435,3 +435,31 @@ def test_op10(spark):
         finally:
             o10.BLOCK = old
     assert o10.near_vectors(df.limit(0)).count() == 0 and o10.near_vectors(df.where("vec_id BETWEEN 302 AND 307")).where("kept").count() == 6
+
+
+def test_op8_repeats_of_fifty_words(spark):
+    """Every word of a repeat of 50 words goes, wherever its lines and sentences begin; judged on words alone."""
+    w = lambda n, seed: [x.strip(".,\n") for x in prose(n, seed).split()]
+    wrap = lambda words, n: "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
+    p, q, v = w(60, 900), w(50, 901), w(80, 902)
+    texts = [
+        wrap(p, 2), "\n" + wrap(p, 2), wrap([*w(9, 903), *p, *w(9, 904)], 25), " ".join([*w(30, 905), *q, *w(30, 906)]) + ".", " ".join([*w(31, 907), *q, *w(29, 908)]) + ".", wrap(v[:70], 7), wrap([*w(3, 909), *v[10:], *w(3, 910)], 11),
+        " ".join([*w(5, 911), *q[:49], *w(5, 912)]), wrap([*w(20, 913), *w(55, 914), *w(20, 915), *w(55, 914)], 3), "z " * 170,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    first, expected = {}, []
+    for k, t in enumerate(texts):
+        words, gone = t.lower().split(), set()
+        for s in range(len(words) - 49):
+            run = tuple(words[s : s + 50])
+            d, at = first.setdefault(run, (k, s))
+            if d < k or at + 50 <= s:
+                gone.update(range(s, s + 50))
+        expected.append([x for j, x in enumerate(words) if j not in gone])
+    got = dict(by_id(o8.without_repeats(docs), "doc_id", "text"))
+    assert [got[k].lower().split() for k in range(len(texts))] == expected
+    assert [len(texts[k].split()) - len(expected[k]) for k in range(len(texts))] == [0, 60, 60, 0, 50, 0, 60, 0, 55, 120]
+
+
+def test_op8_line_of_one_sentence_stays():
+    assert o8.repeated_spans(" ".join(f"w{k}" for k in range(60)) + ".", {}) == []
