@@ -120,18 +120,23 @@ def _in_runs(batches, most: int = 1 << 20):
                 at, held = k + 1, 0
 
 
+def _text_key():
+    """With the id it tells a row's text from those of other rows."""
+    return F.md5(F.col("text").cast("string").cast("binary"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, cid (its class; null if the set is empty), n_shingles, sig."""
+    """doc_id, text_key, cid (its class; null if the set is empty), n_shingles, sig."""
 
     def run(batches):
         for batch, texts in _in_runs(batches):
             sets = shingle_sets(texts)
             cid = [_digest(s) if len(s) else None for s in sets]
             sig = [signature(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cid, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "cid", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cid, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "text_key", "cid", "n_shingles", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, cid long, n_shingles long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key string, cid long, n_shingles long, sig binary")
 
 
 def _forest(classes: DataFrame) -> DataFrame:
@@ -277,7 +282,7 @@ def _settled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, cid, component_id of every row."""
+    """doc_id, text_key, n_shingles, cid, component_id of every row."""
     marked = written(signatures(docs), "signatures")
     classes = written(marked.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("member"), F.first("sig").alias("sig")), "classes")
     pairs = written(candidates(classes), "candidates")
@@ -288,8 +293,8 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = classes.select("cid", "member").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     name = named.groupBy("component").agg(F.min("member").alias("component_id"))
     by_class = written(named.join(written(name, "names"), "component").select("cid", "component_id"), "classes-named")
-    out = marked.select("doc_id", "n_shingles", "cid").join(by_class, "cid", "left")
-    return out.select("doc_id", "n_shingles", "cid", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = marked.select("doc_id", "text_key", "n_shingles", "cid").join(by_class, "cid", "left")
+    return out.select("doc_id", "text_key", "n_shingles", "cid", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def minhash_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -298,12 +303,13 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, with all their columns, that are kept: of each group of near copies those of the smallest id, and
-    of the rows that repeat this id those of its class.  Rows with a null id and a set of shingles stay only where
-    their whole group has no id."""
+    """The rows of docs, with all their columns, that are kept: of each group of near copies those of the smallest id.  A
+    row goes by its own text, whatever other rows of its id do.  Rows with a null id stay where their own group has no id,
+    and rows without shingles stay."""
     groups = near_groups(docs, percent)
-    lost = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("qw_id")).distinct()
-    return docs.join(written(lost, "dropped"), F.col("doc_id").cast("long").eqNullSafe(F.col("qw_id")), "left_anti")
+    lost = groups.where("cid IS NOT NULL").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("qw_id"), F.col("text_key").alias("qw_key")).distinct()
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("qw_id")) & (_text_key() == F.col("qw_key"))
+    return docs.join(written(lost, "dropped"), own, "left_anti")
 
 
 def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

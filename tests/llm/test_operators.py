@@ -463,3 +463,10 @@ def test_op8_repeats_of_fifty_words(spark):
 
 def test_op8_line_of_one_sentence_stays():
     assert o8.repeated_spans(" ".join(f"w{k}" for k in range(60)) + ".", {}) == []
+
+
+def test_op6_keeps_rows_by_their_own_text(spark):
+    p, q, u, v = (prose(100, 950 + k) for k in range(4))
+    rows = [(2, q), (None, u), (None, q + " more"), (None, ""), (None, None), (7, p), (7, q + " other"), (9, p + " end"), (11, v)]
+    kept = o6.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(2, q), (None, u), (None, ""), (None, None), (7, p), (11, v)], key=repr)
