@@ -125,12 +125,12 @@ def _text_key():
     return F.md5(F.col("text").cast("string").cast("binary"))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, text_key, cid (its class; null if the set is empty), n_shingles, sig."""
 
     def run(batches):
         for batch, texts in _in_runs(batches):
-            sets = shingle_sets(texts)
+            sets = shingle_sets(texts, words)
             cid = [_digest(s) if len(s) else None for s in sets]
             sig = [signature(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cid, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "text_key", "cid", "n_shingles", "sig"])
@@ -162,12 +162,12 @@ def candidates(classes: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("cid", "other").alias("u"), F.greatest("cid", "other").alias("v")).agg(F.count("*").alias("n"))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """cid, shingles of the classes in ``wanted`` (doc_id of one member, cid)."""
 
     def run(batches):
         for batch, texts in _in_runs(batches):
-            sets = shingle_sets(texts)
+            sets = shingle_sets(texts, words)
             ok = [_digest(s) == c for s, c in zip(sets, batch.column(0).to_pylist())]  # an id can have several texts
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), pa.array([s.tobytes() for s, o in zip(sets, ok) if o], pa.binary())], ["cid", "shingles"])
 
@@ -281,13 +281,13 @@ def _settled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return labels if rest.isEmpty() else _merged(labels, written(_confirmed(rest, sets, percent), "links"))
 
 
-def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, text_key, n_shingles, cid, component_id of every row."""
-    marked = written(signatures(docs), "signatures")
+    marked = written(signatures(docs, words), "signatures")
     classes = written(marked.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("member"), F.first("sig").alias("sig")), "classes")
     pairs = written(candidates(classes), "candidates")
     involved = written(pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct().join(classes, "cid"), "involved")
-    sets = written(_sets(docs, involved.select("cid", "member")), "shingles")
+    sets = written(_sets(docs, involved.select("cid", "member"), words), "shingles")
     labels = _settled(pairs, sets, percent)
     labels = _merged(labels, written(_dense(involved, labels, sets, percent), "dense-links"))
     named = classes.select("cid", "member").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -302,11 +302,11 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The rows of docs, with all their columns, that are kept: of each group of near copies those of the smallest id.  A
     row goes by its own text, whatever other rows of its id do.  Rows with a null id stay where their own group has no id,
     and rows without shingles stay."""
-    groups = near_groups(docs, percent)
+    groups = near_groups(docs, percent, words)
     lost = groups.where("cid IS NOT NULL").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("qw_id"), F.col("text_key").alias("qw_key")).distinct()
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("qw_id")) & (_text_key() == F.col("qw_key"))
     return docs.join(written(lost, "dropped"), own, "left_anti")

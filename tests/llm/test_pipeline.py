@@ -32,3 +32,14 @@ def test_stages(spark, tmp_path):
     assert not any(base_spans(r["text"]) for r in seen["secret_scan"].collect())
     assert seen["packing"].select("doc_id").distinct().count() == seen["secret_scan"].count()
     assert pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_near_dedup_takes_five_words(spark):
+    """A pair at 0.8 or more by four words, below it by five, stays."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"w{k}" for k in range(84)]
+    other = [*words[:30], "x", *words[31:60], "y", *words[61:], "z"]
+    share = lambda n: (lambda a, b: len(a & b) / len(a | b))(*({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for w in (words, other)))
+    assert share(4) >= 0.8 > share(5)
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join([*words, "end"]))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in pipeline.near_dedup(spark, docs, "").collect()) == [1, 2]
