@@ -193,8 +193,8 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
     recipes = spark.read.parquet(f"{path}/recipes")
-    bad = _manifest(recipes).exceptAll(spark.read.parquet(f"{path}/manifest")).limit(1).count()
-    if bad:
+    found, stored = _manifest(recipes), spark.read.parquet(f"{path}/manifest")
+    if not (found.exceptAll(stored).isEmpty() and stored.exceptAll(found).isEmpty()):
         raise ValueError("recipes do not match the manifest")
     found = _roots(recipes.select("doc_id", "start", "n_tokens", "digests", "lengths", "root"), with_part=False)
     return found.withColumn("root", F.when(F.col("root") == F.col("found_root"), F.col("root")).otherwise(F.raise_error(F.lit("a recipe does not match its Merkle root")))).drop("found_root")
@@ -207,10 +207,12 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 
     def shares(batches):
         for batch in batches:
+            if batch.column("crc").null_count:
+                raise ValueError("chunks of a document are missing")
             crc = moved(batch.column("crc").to_numpy(), batch.column("behind").to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "start", "n_tokens")), pa.array(crc.astype(np.int64)), batch.column("n_bytes")], ["doc_id", "start", "n_tokens", "share", "n_bytes"])
 
-    held = parts.join(_chunks(spark, path), "digest").mapInArrow(shares, "doc_id long, start long, n_tokens long, share long, n_bytes long")
+    held = parts.join(_chunks(spark, path), "digest", "left").mapInArrow(shares, "doc_id long, start long, n_tokens long, share long, n_bytes long")
     out = held.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("share").alias("ids_crc32"), F.sum("n_bytes").alias("n_bytes"))
     whole = F.col("n_bytes") == 4 * F.col("n_tokens")
     return out.select("doc_id", "start", "n_tokens", F.when(whole, F.col("ids_crc32")).otherwise(F.raise_error(F.lit("chunks of a document are missing"))).alias("ids_crc32"))
@@ -223,10 +225,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            if any(p["ids"] is None for parts in batch.column(2).to_pylist() for p in parts):
+                raise ValueError("chunks of a document are missing")
             data = [b"".join(wide(p["ids"], p["width"]) for p in parts) for parts in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["doc_id", "start", "ids"])
 
-    rows = parts.join(body, "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("nth", "ids", "width"))).alias("parts"))
+    rows = parts.join(body, "digest", "left").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("nth", "ids", "width"))).alias("parts"))
     return rows.select("doc_id", "start", "parts").mapInArrow(run, "doc_id long, start long, ids binary")
 
 

@@ -470,3 +470,23 @@ def test_op6_keeps_rows_by_their_own_text(spark):
     rows = [(2, q), (None, u), (None, q + " more"), (None, ""), (None, None), (7, p), (7, q + " other"), (9, p + " end"), (11, v)]
     kept = o6.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(2, q), (None, u), (None, ""), (None, None), (7, p), (11, v)], key=repr)
+
+
+def test_op4_missing_files_are_seen(spark):
+    docs = spark.createDataFrame([(k, prose(30, 970 + k)) for k in range(8)], "doc_id long, text string").repartition(4)
+    path = o4.write_store(docs, fresh_path(spark, "store"))
+    tables = {t: spark.read.parquet(f"{path}/{t}") for t in ("recipes", "manifest", "chunks")}
+
+    def damaged(name, **changed):
+        for t, df in (tables | changed).items():
+            df.write.parquet(f"{path}-{name}/{t}")
+        return f"{path}-{name}"
+
+    lost = tables["recipes"].where("doc_id = 3").selectExpr("digests[0] AS digest")  # the only chunk of a document
+    gone = damaged("chunk", chunks=tables["chunks"].join(lost, "digest", "left_anti").select(*tables["chunks"].columns))
+    for read in (o4.read_checksums, o4.read_documents):
+        with pytest.raises(Exception, match="missing"):
+            read(spark, gone).collect()
+    part = tables["recipes"].where("doc_id = 3").select("part").first()[0]
+    with pytest.raises(ValueError, match="manifest"):
+        o4.read_checksums(spark, damaged("part", recipes=tables["recipes"].where(F.col("part") != part))).collect()
