@@ -48,7 +48,7 @@ def run(args: argparse.Namespace, memory: Memory, out=sys.stdout, ask=input) ->
     elif args.command == "stats":
         from quarrywell.operators.stats import global_stats
 
-        say(json.dumps(global_stats(memory.table.get_all()).first().asDict()))
+        say(json.dumps(global_stats(memory.table.get_all()).first().asDict() | {"bytes": memory.table.size()}))
     elif args.command == "list-users":
         for r in memory.table.get_all().groupBy("user_id").agg(F.count("*").alias("n")).orderBy("user_id").collect():
             say(r["user_id"], r["n"])

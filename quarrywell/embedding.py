@@ -1,4 +1,6 @@
-"""Embedding adapters: any function from texts to vectors, as an Arrow batch function; the offline hash embedding."""
+"""Embedding adapters: any function from texts to vectors, as an Arrow batch function; the offline hash embedding.
+
+Fixed values: the models' names and their dimensions (the defaults below)."""
 
 from __future__ import annotations
 
@@ -11,16 +13,21 @@ from pyspark.sql import functions as F
 from quarrywell.functions.vector import hash_embed
 
 
-class HashEmbedder:
+class _Embedder:
+    def dimension(self) -> int:
+        return self.dim
+
+    def embed_single(self, text: str) -> list[float]:
+        return self.embed([text])[0]
+
+
+class HashEmbedder(_Embedder):
     """Deterministic and native; for tests and offline use."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
-    def dimension(self) -> int:
-        return self.dim
-
-    def column(self, text: Column) -> Column:
+    def column(self, text: Column, batch_size: int | None = None) -> Column:
         return hash_embed(text, self.dim)
 
     def embed(self, texts: list[str]) -> list[list[float]]:
@@ -28,52 +35,61 @@ class HashEmbedder:
 
         return [[hashlib.sha256(t.encode()).digest()[i % 32] / 255.0 for i in range(self.dim)] for t in texts]
 
-    def embed_single(self, text: str) -> list[float]:
-        return self.embed([text])[0]
-
 
-class FunctionEmbedder:
-    """Any ``list[str] -> list[list[float]]`` of a known dimension, loaded once in each worker."""
+class FunctionEmbedder(_Embedder):
+    """Any ``list[str] -> list[list[float]]`` of a known dimension."""
 
     def __init__(self, function: Callable[[list[str]], list[list[float]]], dim: int):
         self.function, self.dim = function, dim
 
-    def dimension(self) -> int:
-        return self.dim
-
     def embed(self, texts: list[str]) -> list[list[float]]:
         return self.function(texts) if texts else []
 
-    def embed_single(self, text: str) -> list[float]:
-        return self.embed([text])[0]
-
-    def column(self, text: Column) -> Column:
+    def column(self, text: Column, batch_size: int | None = None) -> Column:
+        """In Arrow batches, the function getting at most ``batch_size`` texts at once.  Null texts have no vector."""
         function = self.function
 
         @F.pandas_udf("array<float>")
         def run(s: pd.Series) -> pd.Series:
-            return pd.Series(list(map(list, function(s.tolist()))), index=s.index)
+            out = pd.Series([None] * len(s), index=s.index, dtype=object)
+            there = s.index[s.notna()]
+            step = batch_size or max(len(there), 1)
+            for k in range(0, len(there), step):
+                part = there[k : k + step]
+                for i, v in zip(part, function(s.loc[part].tolist())):
+                    out.at[i] = list(v)
+            return out
 
         return run(text)
 
 
+_loaded: dict = {}
+
+
+def loaded(key, make: Callable):
+    """What ``make`` makes, once in each worker process."""
+    if key not in _loaded:
+        _loaded[key] = make()
+    return _loaded[key]
+
+
 def fast_embedder(model: str = "BAAI/bge-small-en-v1.5", dim: int = 384) -> FunctionEmbedder:
     """The fastembed package's models, where it is installed."""
 
-    def run(texts: list[str]) -> list[list[float]]:
+    def make():
         from fastembed import TextEmbedding
 
-        return [x.tolist() for x in TextEmbedding(model).embed(texts)]
+        return TextEmbedding(model)
 
-    return FunctionEmbedder(run, dim)
+    return FunctionEmbedder(lambda texts: [x.tolist() for x in loaded(("fastembed", model), make).embed(texts)], dim)
 
 
 def openai_embedder(model: str = "text-embedding-3-small", dim: int = 1536) -> FunctionEmbedder:
     """The OpenAI service's models, where its package and a key are there."""
 
-    def run(texts: list[str]) -> list[list[float]]:
+    def make():
         from openai import OpenAI
 
-        return [x.embedding for x in OpenAI().embeddings.create(model=model, input=texts).data]
+        return OpenAI()
 
-    return FunctionEmbedder(run, dim)
+    return FunctionEmbedder(lambda texts: [x.embedding for x in loaded("openai", make).embeddings.create(model=model, input=texts).data], dim)

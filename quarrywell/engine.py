@@ -17,6 +17,8 @@ from quarrywell.embedding import HashEmbedder
 from quarrywell.functions import text
 from quarrywell.operators import dedup, lifecycle, recall, stats
 from quarrywell.schema import ACTIVE, RECORD, STATES, USER_STATED, Config
+from quarrywell.sources import folders
+from quarrywell.sources.stores import next_seq
 from quarrywell.sources.table import MemoryTable
 
 
@@ -27,13 +29,22 @@ def _given(**values: str) -> None:
 
 
 class Memory:
-    """``now`` (a function) gives the time of writes and scores."""
+    """Keeps its rows in a ``MemoryTable`` under ``path``, or in any other ``store``.  ``now`` (a function) gives the time of
+    writes and scores."""
 
-    def __init__(self, spark: SparkSession, path: str, embed=None, config: Config | None = None, now=None):
-        self.spark, self.table = spark, MemoryTable(spark, path)
+    def __init__(self, spark: SparkSession, path: str | None = None, embed=None, config: Config | None = None, now=None, store=None):
+        if path is None and store is None:
+            raise ValueError("a path or a store is needed")
+        self.spark, self.path, self.table = spark, path, store or MemoryTable(spark, path)
         self.embed, self.config = embed or HashEmbedder(), config or Config()
         self.now = now or (lambda: datetime.now(timezone.utc))
 
+    def _held(self, rows: DataFrame, name: str) -> DataFrame:
+        """The rows as files beside the table, so that ids and vectors are made once."""
+        path = f"{self.path.rstrip('/')}/staged/{name}" if self.path else folders.shared_path(self.spark, name)
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def _stamp(self) -> F.Column:
         return F.lit(self.now().astimezone(timezone.utc).isoformat()).cast("timestamp")
 
@@ -44,15 +55,14 @@ class Memory:
 
         if isinstance(importance, bool) or not isinstance(importance, (int, float)):
             raise TypeError("importance must be a number")
-        top = self.table._log().agg(F.max("seq")).first()[0]
-        seq = 0 if top is None else top + 1
+        seq = next_seq(self.table)
         plain = self.spark.createDataFrame([(str(uuid.uuid4()), user_id, c, seq + k) for k, c in enumerate(contents)], "memory_id string, user_id string, content string, seq long")
         plain = plain.withColumn("content", text.sanitize("content", strict=self.config.sanitize)) if sanitize else plain
         made = plain.withColumns({
             "embedding": self.embed.column(F.col("content")), "embedding_dim": F.lit(self.embed.dimension()), "created_at": self._stamp(), "last_accessed_at": self._stamp(), "source": F.lit(source),
             "importance": F.lit(max(0.0, min(1.0, float(importance)))), "lifecycle_state": F.lit(ACTIVE), "metadata": F.lit(json.dumps(metadata or {})), "tags": F.array(*map(F.lit, tags or [])).cast("array<string>"),
         })
-        return self.spark.createDataFrame(made.select([f.name for f in RECORD.fields]).collect(), RECORD)  # ids are drawn once
+        return self._held(made.select([F.col(f.name).cast(f.dataType) for f in RECORD.fields]), f"new-{uuid.uuid4().hex}")
 
     def remember(self, user_id: str, content: str, importance: float | None = None, source: str = USER_STATED, metadata: dict | None = None, sanitize_input: bool = False, tags=None) -> str:
         return self.remember_many(user_id, [content], importance, source, metadata, sanitize_input, tags)[0]
@@ -63,38 +73,49 @@ class Memory:
         if not contents:
             return []
         rows = self._rows(user_id, contents, self.config.default_importance if importance is None else importance, source, metadata, sanitize_input, tags)
-        written = dedup.remember_many(rows, self.table.get_all_by_user(user_id, list(STATES)), self.now().astimezone(timezone.utc).replace(tzinfo=None), self.config.dedup_threshold, self.config.conflict_threshold)
-        stored = self.spark.createDataFrame(written.collect(), RECORD)
-        self.table.store(stored)
-        merged = {r["content"]: r["memory_id"] for r in stored.select("content", "memory_id").collect()}
-        return [merged.get(r["content"], r["memory_id"]) for r in rows.orderBy("seq").collect()]
-
-    def update(self, memory_id: str, content: str | None = None, importance: float | None = None) -> str:
+        name = f"folded-{uuid.uuid4().hex}"
+        out = self._held(dedup.folded(rows, self.table.get_all_by_user(user_id, list(STATES)), self.now().astimezone(timezone.utc).replace(tzinfo=None), self.config.dedup_threshold, self.config.conflict_threshold), name)
+        self.table.store(out.drop("sources"))
+        holder = {r["new"]: r["memory_id"] for r in out.select(F.explode("sources").alias("new"), "memory_id").collect()}  # ids of this batch
+        ids = [holder[r["memory_id"]] for r in rows.select("memory_id", "seq").orderBy("seq").collect()]
+        for done in (rows, out):
+            for f in {f.rsplit("/", 1)[0] for f in done.inputFiles()}:
+                folders.remove(self.spark, f)
+        return ids
+
+    def update(self, memory_id: str, content: str | None = None, importance: float | None = None, user_id: str | None = None, strict_owner: bool = False) -> str:
+        """``strict_owner``: only a row of ``user_id`` is changed."""
         if content is None and importance is None:
             return memory_id
         rows = self.table.get(memory_id)
-        if not rows.count():
+        if strict_owner:
+            _given(user_id=user_id)
+            rows = rows.where(F.col("user_id") == user_id)
+        if rows.isEmpty():
             raise ValueError(f"no memory {memory_id}")
         if content is not None:
             rows = rows.withColumn("content", F.lit(content)).withColumn("embedding", self.embed.column(F.col("content"))).withColumn("embedding_dim", F.lit(self.embed.dimension()))
         if importance is not None:
             rows = rows.withColumn("importance", F.lit(max(0.0, min(1.0, float(importance)))))
-        self.table.store(self.spark.createDataFrame(rows.select([f.name for f in RECORD.fields]).collect(), RECORD))
+        self.table.update(rows.select([f.name for f in RECORD.fields]))
         return memory_id
 
     def forget(self, user_id: str, memory_id: str | None = None, strict_owner: bool = False) -> int:
         _given(user_id=user_id)
         if memory_id is None:
             return self.table.delete_by_user(user_id)
-        if strict_owner and not self.table.get(memory_id).where(F.col("user_id") == user_id).count():
+        if strict_owner and self.table.get(memory_id).where(F.col("user_id") == user_id).isEmpty():
             return 0
         return int(self.table.delete_by_id(memory_id))
 
-    def migrate(self, user_id: str, embed) -> int:
-        """Embed the user's active and decaying rows anew."""
-        rows = self.table.get_all_by_user(user_id).withColumn("embedding", embed.column(F.col("content"))).withColumn("embedding_dim", F.lit(embed.dimension()))
+    def migrate(self, user_id: str, embed, batch_size: int = 100) -> int:
+        """Embed the user's active and decaying rows anew, ``batch_size`` texts in a call of the embedder."""
+        _given(user_id=user_id)
+        if batch_size < 1:
+            raise ValueError("batch_size must be 1 or more")
+        rows = self.table.get_all_by_user(user_id).withColumn("embedding", embed.column(F.col("content"), batch_size)).withColumn("embedding_dim", F.lit(embed.dimension()))
         n = rows.count()
-        self.table.store(rows)
+        self.table.update(rows)
         return n
 
     def touch(self, recalled: DataFrame, persist_access: bool = False) -> None:
@@ -103,13 +124,12 @@ class Memory:
 
     # -- reading
 
-    def recall_many(self, queries: DataFrame, top_k: int | None = None, max_tokens: int | None = None, lifecycle_filter=None, hybrid_search: bool | None = None) -> DataFrame:
-        """``queries``: query_id, user_id, query; embedded here."""
+    def recall_many(self, queries: DataFrame, top_k: int | None = None, max_tokens: int | None = None, lifecycle_filter=None, hybrid_search: bool | None = None, token_counter=None) -> DataFrame:
+        """``queries``: query_id, user_id, query; embedded here.  ``token_counter``: a function from a text to its tokens' number."""
         asked = queries.withColumn("embedding", self.embed.column(F.col("query")))
-        rows = recall.check_dimension(self.table.get_all(), self.embed.dimension())
         limit = self.config.max_tokens_default if max_tokens is None else max_tokens
         hybrid = self.config.hybrid_search if hybrid_search is None else hybrid_search
-        return recall.recall_many(asked, rows, self._stamp(), top_k or self.config.default_top_k, limit, lifecycle_filter, hybrid)
+        return recall.recall_many(asked, self.table.get_all(), self._stamp(), top_k or self.config.default_top_k, limit, lifecycle_filter, hybrid, self.config.decay_half_life_hours, token_counter, self.embed.dimension())
 
     def recall(self, user_id: str, query: str, top_k: int | None = None, **kwargs) -> DataFrame:
         _given(user_id=user_id, query=query)
@@ -117,10 +137,10 @@ class Memory:
             raise ValueError("top_k must be 1 or more")
         return self.recall_many(self.spark.createDataFrame([(0, user_id, query)], "query_id long, user_id string, query string"), top_k, **kwargs).orderBy("rank")
 
-    def recall_since(self, user_id: str, query: str, hours: float = 24, top_k: int | None = None, **kwargs) -> DataFrame:
-        k = top_k or self.config.default_top_k
-        cutoff = self._stamp() - F.expr(f"make_dt_interval(0, 0, 0, {float(hours) * 3600})")
-        return self.recall(user_id, query, recall.OVERFETCH * k, **kwargs).where(F.col("created_at") >= cutoff).orderBy("rank").limit(k)
+    def recall_since(self, user_id: str, query: str, hours: float = 24, top_k: int | None = None, lifecycle_filter=None) -> DataFrame:
+        _given(user_id=user_id, query=query)
+        asked = self.spark.createDataFrame([(0, user_id, query)], "query_id long, user_id string, query string").withColumn("embedding", self.embed.column(F.col("query")))
+        return recall.recall_since(asked, self.table.get_all(), self._stamp(), hours, top_k or self.config.default_top_k, max_tokens=self.config.max_tokens_default, states=lifecycle_filter, hybrid=self.config.hybrid_search, half_life=self.config.decay_half_life_hours, dimension=self.embed.dimension()).orderBy("rank")
 
     def recall_by_tag(self, user_id: str, tag: str, lifecycle_filter=None) -> DataFrame:
         _given(user_id=user_id, tag=tag)
@@ -137,26 +157,49 @@ class Memory:
         _given(user_id=user_id)
         rows = self.table.get_all_by_user(user_id, states)
         out = stats.stats(rows, by_user=False, states=states).first().asDict()
-        return out | {"tag_counts": {r["tag"]: r["n"] for r in stats.tag_counts(rows, states).collect()}}
+        named = lambda head: {k.removeprefix(head): n for k, n in out.items() if k.startswith(head)}
+        return {
+            "total": out["total"], "by_lifecycle": named("state_"), "by_source": named("source_"), "avg_importance": out["avg_importance"],
+            "tag_counts": {r["tag"]: r["n"] for r in stats.tag_counts(rows, states).collect()}, "total_with_tags": out["with_tags"], "total_without_tags": out["without_tags"],
+        }
 
     def export(self, path: str) -> int:
-        return self.table.export(path)
+        """A path that ends with .json gets one file with one array, any other a folder of JSON lines."""
+        return self.table.export_array(path) if path.endswith(".json") else self.table.export(path)
 
     def import_from(self, path: str) -> int:
-        return self.table.import_from(path)
+        return self.table.import_from(path, self.now().astimezone(timezone.utc).isoformat())
 
     def upgrade(self) -> int:
         return self.table.upgrade()
 
-    def save_context(self, user_id: str, inputs: dict, outputs: dict | None = None) -> None:
+    def save_context(self, user_id: str, inputs: dict, outputs: dict | None = None, query_key: str = "input") -> None:
         """Chat memory: what the person said is remembered, what was answered is not."""
-        said = next((str(v) for v in inputs.values() if str(v).strip()), None)
-        if said:
+        said = str(inputs.get(query_key) or "")
+        if said.strip():
             self.remember(user_id, said)
 
-    def load_memory_variables(self, user_id: str, inputs: dict) -> dict[str, str]:
-        asked = next((str(v) for v in inputs.values() if str(v).strip()), None)
-        return {"history": self.context_block(user_id, asked) if asked else ""}
+    def load_memory_variables(self, user_id: str, inputs: dict, query_key: str = "input") -> dict[str, str]:
+        asked = str(inputs.get(query_key) or "")
+        return {"history": self.context_block(user_id, asked) if asked.strip() else ""}
+
+
+class ChatMemory:
+    """One person's chat memory."""
+
+    memory_variables = ("history",)
+
+    def __init__(self, user_id: str, memory: Memory, query_key: str = "input", output_key: str = "output"):
+        self.user_id, self.memory, self.query_key, self.output_key = user_id, memory, query_key, output_key
+
+    def save_context(self, inputs: dict, outputs: dict | None = None) -> None:
+        self.memory.save_context(self.user_id, inputs, outputs, self.query_key)
+
+    def load_memory_variables(self, inputs: dict) -> dict[str, str]:
+        return self.memory.load_memory_variables(self.user_id, inputs, self.query_key)
+
+    def clear(self) -> None:
+        self.memory.forget(self.user_id)
 
 
 def _in_thread(name: str):

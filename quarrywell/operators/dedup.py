@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from quarrywell.functions.text import sentiment_flip, tokens
-from quarrywell.functions.vector import dot, norm
+from quarrywell.functions.vector import ncos, norm
 from quarrywell.schema import DELETED, RECORD
 
+#: The record, and the ids of the new rows that it now holds.
+FOLDED = T.StructType([*RECORD.fields, T.StructField("sources", T.ArrayType(T.StringType()))])
+
 
 def _sides(new: DataFrame, existing: DataFrame) -> DataFrame:
     """new_id, old_id, sim for the rows of one user that both have embeddings.  Plain equality join on the user, so large
     users are split by adaptive execution."""
     n = new.where("embedding IS NOT NULL").select("user_id", F.col("memory_id").alias("new_id"), F.col("embedding").alias("a"), norm("embedding").alias("na"), F.col("seq").alias("new_seq"))
     e = existing.where("embedding IS NOT NULL").select("user_id", F.col("memory_id").alias("old_id"), F.col("embedding").alias("b"), norm("embedding").alias("nb"), F.col("seq").alias("old_seq"))
-    size = F.col("na") * F.col("nb")
-    return n.join(e, "user_id").withColumn("sim", (F.when(size > 0, dot("a", "b") / F.nullif(size, F.lit(0.0))).otherwise(0.0) + 1) / 2)
+    return n.join(e, "user_id").withColumn("sim", ncos("a", "b", F.col("na"), F.col("nb")))
 
 
 def duplicates(new: DataFrame, existing: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -36,9 +38,8 @@ def conflicts(new: DataFrame, existing: DataFrame, low: float = 0.65, high: floa
 
 
 def first_duplicates(found: DataFrame) -> DataFrame:
-    """The first in store order of each new row's duplicates."""
-    order = Window.partitionBy("new_id").orderBy("old_seq")
-    return found.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    """new_id, old_id: the first in store order of each new row's duplicates.  Summed up inside each task first."""
+    return found.groupBy("new_id").agg(F.min_by("old_id", "old_seq").alias("old_id"))
 
 
 def resolve(new: DataFrame, existing: DataFrame, found: DataFrame, now: Column) -> DataFrame:
@@ -51,9 +52,13 @@ def resolve(new: DataFrame, existing: DataFrame, found: DataFrame, now: Column)
 def flag_conflicts(new: DataFrame, found: DataFrame) -> DataFrame:
     """new with ``conflict_flagged`` set in the metadata of rows that have a conflict."""
     hit = found.select(F.col("new_id").alias("memory_id")).distinct().withColumn("hit", F.lit(True))
-    as_map = F.from_json(F.coalesce("metadata", F.lit("{}")), "map<string,string>")
-    flagged = F.to_json(F.map_concat(F.map_filter(as_map, lambda k, v: k != "conflict_flagged"), F.create_map(F.lit("conflict_flagged"), F.lit("true"))))
-    return new.join(hit, "memory_id", "left").withColumn("metadata", F.when(F.col("hit"), flagged).otherwise(F.col("metadata"))).drop("hit")
+    return new.join(hit, "memory_id", "left").withColumn("metadata", F.when(F.col("hit"), flagged(F.col("metadata"))).otherwise(F.col("metadata"))).drop("hit")
+
+
+def flagged(metadata: Column) -> Column:
+    """The JSON object with ``conflict_flagged`` true; all other values keep their types."""
+    entries = F.map_filter(F.from_json(F.coalesce(metadata, F.lit("{}")), "map<string,variant>"), lambda k, v: k != "conflict_flagged")
+    return F.to_json(F.map_concat(entries, F.create_map(F.lit("conflict_flagged"), F.parse_json(F.lit("true")))))
 
 
 def _python_tokens(text: str) -> list[str]:
@@ -85,7 +90,12 @@ def _python_flip(a: str, b: str) -> bool:
 
 
 def remember_many(new: DataFrame, existing: DataFrame, now, threshold: float = 0.85, low: float = 0.65) -> DataFrame:
-    """The rows to store after writing ``new`` in order of seq, each seeing the writes before it.
+    """The rows to store after writing ``new`` in order of seq, each seeing the writes before it."""
+    return folded(new, existing, now, threshold, low).drop("sources")
+
+
+def folded(new: DataFrame, existing: DataFrame, now, threshold: float = 0.85, low: float = 0.65) -> DataFrame:
+    """The rows to store, each with ``sources``: the ids of the new rows that it holds, itself or merged into it.
 
     A row whose first duplicate in store order exists rewrites it; another is inserted, flagged if it has conflicts.  The
     fold is ordered within a user, so a user is one group; its similarities are one matrix product, in blocks."""
@@ -103,6 +113,7 @@ def remember_many(new: DataFrame, existing: DataFrame, now, threshold: float = 0
         dims = [len(x) for x in [*old["embedding"], *rows["embedding"]] if x is not None]
         dim, total = (dims[0] if dims else 1), len(old) + len(rows)
         unit, there, held, changed = np.zeros((total, dim)), np.zeros(total, bool), len(store), {}
+        sources: dict[int, list[str]] = {}
 
         def put(at, x):
             if x is not None and len(x) == dim:
@@ -122,13 +133,15 @@ def remember_many(new: DataFrame, existing: DataFrame, now, threshold: float = 0
                 there[held] = False
                 store[match] = store[match] | {"content": row["content"], "tags": row["tags"], "last_accessed_at": stamp}
                 changed[match] = store[match]
+                sources.setdefault(match, []).append(row["memory_id"])
                 continue
             if (live & (near > low) & (near < threshold)).any():
                 row["metadata"] = json.dumps(json.loads(row["metadata"] or "{}") | {"conflict_flagged": True})
             store.append(row)
             changed[held] = row
+            sources[held] = [row["memory_id"]]
             held += 1
-        return pd.DataFrame(list(changed.values()), columns=columns)
+        return pd.DataFrame([r | {"sources": sources[k]} for k, r in changed.items()], columns=[*columns, "sources"])
 
     live = existing.where(F.col("lifecycle_state") != DELETED).select(*columns)
-    return live.groupBy("user_id").cogroup(new.select(*columns).groupBy("user_id")).applyInPandas(fold, RECORD)
+    return live.groupBy("user_id").cogroup(new.select(*columns).groupBy("user_id")).applyInPandas(fold, FOLDED)

@@ -6,13 +6,14 @@ query_id after one join on user_id; after the candidate step a query holds over-
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrywell.functions.scoring import bm25_single, bm25_term, classic_score, hybrid_score, recency
+from quarrywell.functions.scoring import HALF_LIFE_HOURS, bm25_single, bm25_term, classic_score, hybrid_score, recency
 from quarrywell.functions.text import token_count, tokens
-from quarrywell.functions.vector import cosine, dot, norm, semantic
+from quarrywell.functions.vector import cosine, ncos, norm, semantic
 from quarrywell.schema import RECALLED
 
 OVERFETCH, LAMBDA = 3, 0.7
@@ -24,22 +25,25 @@ def in_states(states: tuple[str, ...] | list[str] | None = None) -> Column:
     return F.col("lifecycle_state").isin(list(states)) if states else F.lit(False)
 
 
-def check_dimension(memories: DataFrame, expected: int) -> DataFrame:
+def dimension_guard(value: Column, expected: int | None) -> Column:
+    """``value``, or a failure where the row's stored dimension is another one.  Part of the value itself, so no plan
+    that needs the value can leave it out."""
+    if expected is None:
+        return value
     bad = F.col("embedding_dim").isNotNull() & (F.col("embedding_dim") != expected)
     told = F.concat(F.lit(f"dimension mismatch: expected {expected}, stored "), F.col("embedding_dim").cast("string"))
-    return memories.withColumn("embedding_dim", F.when(bad, F.raise_error(told)).otherwise(F.col("embedding_dim")))
+    return F.when(bad, F.raise_error(told).cast("double")).otherwise(value)
 
 
-def candidates(queries: DataFrame, memories: DataFrame, k: int, states=None) -> DataFrame:
-    """The k nearest rows of each query's user, with ``sim`` and ``pos``; ties by seq."""
+def candidates(queries: DataFrame, memories: DataFrame, k: int, states=None, dimension: int | None = None) -> DataFrame:
+    """The k nearest rows of each query's user, with ``sim`` and ``pos``; ties by seq.  ``dimension``: the embedder's; a
+    candidate of another one fails."""
     q = queries.select("query_id", F.col("user_id").alias("q_user"), "query", F.col("embedding").alias("q_emb"), norm("embedding").alias("q_norm"))
     m = memories.where(in_states(states) & F.col("embedding").isNotNull()).withColumn("m_norm", norm("embedding"))
     joined = m.join(q, m["user_id"] == q["q_user"]).drop("q_user")
-    size = F.col("q_norm") * F.col("m_norm")
-    cos = F.when(size > 0, dot("q_emb", "embedding") / F.nullif(size, F.lit(0.0))).otherwise(0.0)
+    sim = dimension_guard(ncos("q_emb", "embedding", F.col("q_norm"), F.col("m_norm")), dimension)
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "seq")
-    scored = joined.withColumn("sim", (F.when(F.isnan(cos), 0.0).otherwise(cos) + 1) / 2)
-    return scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).drop("q_norm", "m_norm")
+    return joined.withColumn("sim", sim).withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).drop("q_norm", "m_norm")
 
 
 def keyword_scores(cand: DataFrame) -> DataFrame:
@@ -57,10 +61,10 @@ def keyword_scores(cand: DataFrame) -> DataFrame:
     return one.unionByName(terms.groupBy("query_id", "memory_id").agg(F.sum(share).alias("keyword")))
 
 
-def rank(cand: DataFrame, now, hybrid: bool = True) -> DataFrame:
+def rank(cand: DataFrame, now, hybrid: bool = True, half_life: float = HALF_LIFE_HOURS) -> DataFrame:
     """Adds score and rank (ties by candidate position).  A blank query is scored without key words."""
     now = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
-    s, r = semantic("q_emb", "embedding"), recency("created_at" if "scored_at" not in cand.columns else "scored_at", now)
+    s, r = semantic("q_emb", "embedding"), recency("created_at" if "scored_at" not in cand.columns else "scored_at", now, half_life)
     classic = classic_score(s, r, F.col("importance"))
     if hybrid:
         scored = cand.join(keyword_scores(cand), ["query_id", "memory_id"])
@@ -104,27 +108,39 @@ def mmr(ranked: DataFrame, k: int, lam: float = LAMBDA) -> DataFrame:
     return ranked.join(chosen, ["query_id", "rank"]).withColumn("rank", (F.col("place") + 1).cast("int")).drop("place")
 
 
-def token_budget(ranked: DataFrame, max_tokens: int | None) -> DataFrame:
-    """The ranks up to the first that overflows the budget; the first rank always stays."""
+def counted_by(counter) -> Column:
+    """Tokens of ``content`` by a Python function from a text to a number, in Arrow batches."""
+
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(counter)
+
+    return run(F.col("content"))
+
+
+def token_budget(ranked: DataFrame, max_tokens: int | None, counter=None) -> DataFrame:
+    """The ranks up to the first that overflows the budget; the first rank always stays.  ``counter``: a function from a text
+    to its number of tokens, in place of words times 1.3."""
     if max_tokens is None:
         return ranked
     upto = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    spent = F.sum(token_count("content")).over(upto)
-    return ranked.withColumn("spent", spent).where((F.col("rank") == 1) | (F.col("spent") <= max_tokens)).drop("spent")
+    sized = ranked.withColumn("tokens", token_count("content") if counter is None else counted_by(counter))
+    return sized.withColumn("spent", F.sum("tokens").over(upto)).drop("tokens").where((F.col("rank") == 1) | (F.col("spent") <= max_tokens)).drop("spent")
 
 
-def recall_many(queries: DataFrame, memories: DataFrame, now, top_k: int = 5, max_tokens: int | None = None, states=None, hybrid: bool = True) -> DataFrame:
+def recall_many(queries: DataFrame, memories: DataFrame, now, top_k: int = 5, max_tokens: int | None = None, states=None, hybrid: bool = True, half_life: float = HALF_LIFE_HOURS, counter=None, dimension: int | None = None) -> DataFrame:
     """Up to top_k rows for each query, with score and rank."""
     if top_k < 1:
         raise ValueError("top_k must be 1 or more")
-    ranked = rank(candidates(queries, memories, OVERFETCH * top_k, states), now, hybrid)
-    return token_budget(mmr(ranked, top_k), max_tokens).where(F.col("rank") <= top_k)
+    ranked = rank(candidates(queries, memories, OVERFETCH * top_k, states, dimension), now, hybrid, half_life)
+    return token_budget(mmr(ranked, top_k), max_tokens, counter).where(F.col("rank") <= top_k)
 
 
 def recall_since(queries: DataFrame, memories: DataFrame, now, hours: float = 24, top_k: int = 5, **kwargs) -> DataFrame:
     """Recall of three times as many, then those created since, then top_k of them."""
     wide = recall_many(queries, memories, now, OVERFETCH * top_k, **kwargs)
-    cutoff = F.lit(now).cast("timestamp") - F.expr(f"make_dt_interval(0, 0, 0, {float(hours) * 3600})")
+    now = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
+    cutoff = now - F.expr(f"make_dt_interval(0, 0, 0, {float(hours) * 3600})")
     order = Window.partitionBy("query_id").orderBy("rank")
     recent = wide.where(F.col("created_at") >= cutoff).withColumn("rank", F.row_number().over(order))
     return recent.where(F.col("rank") <= top_k)

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+# States, sources, the version of the record, its fields, and the defaults of the configuration.
 ACTIVE, DECAYING, ARCHIVED, DELETED = STATES = ("active", "decaying", "archived", "deleted")
 USER_STATED, AGENT_INFERRED, SYSTEM_GENERATED = SOURCES = ("user_stated", "agent_inferred", "system_generated")
 RECALLED = (ACTIVE, DECAYING)

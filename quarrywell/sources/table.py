@@ -1,11 +1,15 @@
 """The memory table: an append-only log of Parquet files, a snapshot by the last write of each id, JSON in and out.
 
-Layout: ``log/user_bucket=<n>`` holds rows with ``op`` (put or del) and ``version``, a number that grows with each write.
-Deletion is physical: the touched user buckets are rewritten without the rows.  One writer at a time.
+Layout: ``log/gen=<g>/user_bucket=<n>`` holds rows with ``version``, a number that grows with each write.  ``state/<n>.json``
+says which generation of each bucket is alive (0 if none is named) and the schema's version; the last one counts.
+Deletion is physical: the touched buckets are written anew as a generation of their own, one small state file makes
+it count, and only then the old files go.  So a crash leaves the table as it was before or as it is after, and files
+that no state names are no part of it.  One writer at a time: of two, the second to write a state fails.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
@@ -14,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quarrywell.operators.recall import in_states
+from quarrywell.operators.recall import candidates, in_states
 from quarrywell.schema import ACTIVE, RECORD, SOURCES, STATES, USER_STATED, VERSION
+from quarrywell.sources import folders
 
 BUCKETS = 64
-LOG = T.StructType([*RECORD.fields, T.StructField("version", T.LongType()), T.StructField("user_bucket", T.IntegerType())])
+LOG = T.StructType([*RECORD.fields, T.StructField("version", T.LongType()), T.StructField("gen", T.LongType()), T.StructField("user_bucket", T.IntegerType())])
 EXPORTED = ["memory_id", "user_id", "content", "embedding", "score", "created_at", "last_accessed_at", "source", "importance", "lifecycle_state", "metadata", "embedding_dim", "tags"]
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
@@ -46,15 +51,34 @@ class MemoryTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    # -- state
+
+    def _state(self) -> tuple[int, dict]:
+        """Number and content of the state that counts."""
+        names = [n for n in folders.names_in(self.spark, f"{self.path}/state") if n.endswith(".json")]
+        if not names:
+            return 0, {"gens": {}, "version": None}
+        return int(names[-1].removesuffix(".json")), json.loads(folders.text_of(self.spark, f"{self.path}/state/{names[-1]}"))
+
+    def _commit(self, number: int, state: dict) -> None:
+        folders.put(self.spark, f"{self.path}/state/{number + 1:012d}.json", [json.dumps(state).encode()])
+
+    @staticmethod
+    def _alive(state: dict) -> Column:
+        """The generation that counts of a row's bucket."""
+        gens = [x for b, g in state["gens"].items() for x in (F.lit(int(b)), F.lit(int(g)).cast("long"))]
+        return F.coalesce(F.create_map(*gens)[F.col("user_bucket")], F.lit(0).cast("long")) if gens else F.lit(0).cast("long")
+
     # -- reading
 
     def _log(self) -> DataFrame:
         try:
-            return self.spark.read.schema(LOG).parquet(f"{self.path}/log")
+            rows = self.spark.read.schema(LOG).parquet(f"{self.path}/log")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], LOG)
+            rows = self.spark.createDataFrame([], LOG)
+        return upgrade_schema(rows.where(F.coalesce("gen", F.lit(0).cast("long")) == self._alive(self._state()[1])).drop("gen"))
 
     def get_all(self) -> DataFrame:
         return latest(self._log()).drop("version", "user_bucket")
@@ -71,43 +95,59 @@ class MemoryTable:
             raise ValueError("tag must not be blank")
         return self.get_all_by_user(user_id, states).where(F.array_contains("tags", tag))
 
+    def search(self, user_id: str, embedding: list[float], top_k: int = 10, states=None) -> DataFrame:
+        """The user's rows nearest to the vector, with ``sim``."""
+        asked = self.spark.createDataFrame([(0, user_id, "", embedding)], "query_id long, user_id string, query string, embedding array<double>")
+        return candidates(asked, self.get_all_by_user(user_id, states), top_k, states).orderBy("pos").drop("query_id", "query", "q_emb", "pos")
+
     def get_all_users(self) -> DataFrame:
         return self._log().select("user_id").distinct()
 
     def count(self, user_id: str) -> int:
         return self.get_all_by_user(user_id, list(STATES)).count()
 
+    def next_seq(self) -> int:
+        top = self._log().agg(F.max("seq")).first()[0]
+        return 0 if top is None else top + 1
+
+    def size(self) -> int:
+        """Bytes on disk."""
+        return folders.bytes_in(self.spark, self.path)
+
     # -- writing
 
     def _next(self) -> int:
         return (self._log().agg(F.max("version")).first()[0] or 0) + 1
 
+    def _append(self, rows: DataFrame, gen: Column) -> None:
+        rows.withColumn("gen", gen).select(LOG.fieldNames()).write.mode("append").partitionBy("gen", "user_bucket").parquet(f"{self.path}/log")
+
     def store(self, rows: DataFrame) -> None:
         """Insert or replace by memory_id."""
         rows = upgrade_schema(rows).select([f.name for f in RECORD.fields])
-        rows.withColumn("version", F.lit(self._next()).cast("long")).withColumn("user_bucket", bucket_of(F.col("user_id"))).write.mode("append").partitionBy("user_bucket").parquet(f"{self.path}/log")
+        rows = rows.withColumn("version", F.lit(self._next()).cast("long")).withColumn("user_bucket", bucket_of(F.col("user_id")))
+        self._append(rows, self._alive(self._state()[1]))
 
     update = store
 
+    def _replace(self, rows: DataFrame, touched: list[int]) -> None:
+        """Take ``rows`` in place of all that the touched buckets hold."""
+        number, state = self._state()
+        gen = uuid.uuid4().int >> 66
+        self._append(rows, F.lit(gen).cast("long"))
+        old = {b: state["gens"].get(str(b), 0) for b in touched}
+        self._commit(number, state | {"gens": state["gens"] | {str(b): gen for b in touched}})
+        for b, g in old.items():
+            folders.remove(self.spark, f"{self.path}/log/gen={g}/user_bucket={b}")
+        self.spark.catalog.refreshByPath(f"{self.path}/log")
+
     def _erase(self, gone: Column, bucket: Column | None = None) -> int:
-        """Rewrite the touched buckets without the rows, then take the new files in place of the old."""
         log = self._log() if bucket is None else self._log().where(bucket)
         hit = log.where(gone)
         n = latest(hit).count()
-        if not n:
-            return 0
-        touched = [r[0] for r in hit.select("user_bucket").distinct().collect()]  # BUCKETS at most
-        temp = f"{self.path}/rewrite-{uuid.uuid4().hex}"
-        self._log().where(F.col("user_bucket").isin(touched) & ~gone).write.partitionBy("user_bucket").parquet(temp)
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path
-        fs = at(temp).getFileSystem(conf)
-        for b in touched:
-            fs.delete(at(f"{self.path}/log/user_bucket={b}"), True)
-            if fs.exists(at(f"{temp}/user_bucket={b}")):
-                fs.rename(at(f"{temp}/user_bucket={b}"), at(f"{self.path}/log/user_bucket={b}"))
-        fs.delete(at(temp), True)
-        self.spark.catalog.refreshByPath(f"{self.path}/log")
+        if n:
+            touched = [r[0] for r in hit.select("user_bucket").distinct().collect()]  # BUCKETS at most
+            self._replace(self._log().where(F.col("user_bucket").isin(touched) & ~F.coalesce(gone, F.lit(False))), touched)
         return n
 
     def delete_by_user(self, user_id: str) -> int:
@@ -118,34 +158,56 @@ class MemoryTable:
 
     def compact(self) -> None:
         """Keep the last version of each row only."""
-        self.spark.conf.get("spark.sql.session.timeZone")
-        whole = self.get_all()
-        temp = f"{self.path}/compact-{uuid.uuid4().hex}"
-        whole.withColumn("version", F.lit(self._next()).cast("long")).withColumn("user_bucket", bucket_of(F.col("user_id"))).write.partitionBy("user_bucket").parquet(temp)
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path
-        fs = at(temp).getFileSystem(conf)
-        fs.delete(at(f"{self.path}/log"), True)
-        fs.rename(at(temp), at(f"{self.path}/log"))
-        self.spark.catalog.refreshByPath(f"{self.path}/log")
+        touched = [r[0] for r in self._log().select("user_bucket").distinct().collect()]  # BUCKETS at most
+        self._replace(latest(self._log()), touched)
+
+    def schema_version(self) -> int:
+        """As recorded; a table without a record has the current one."""
+        return self._state()[1].get("version") or VERSION
+
+    def upgrade_schema(self, from_version: int, to_version: int) -> None:
+        """Record the version; rows of older files are read with the columns of this one (see ``upgrade_schema`` above)."""
+        if to_version < from_version:
+            raise ValueError("versions only go up")
+        number, state = self._state()
+        self._commit(number, state | {"version": to_version})
 
     def upgrade(self) -> int:
+        now = self.schema_version()
+        if self._state()[1].get("version") != VERSION:
+            self.upgrade_schema(now, VERSION)
         return VERSION
 
     # -- JSON
 
     def export(self, path: str) -> int:
         """JSON lines, a file for each partition; the number of rows."""
-        rows = exported(self.get_all())
-        rows.write.mode("overwrite").json(path)
+        exported(self.get_all()).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
         return self.spark.read.text(path).count()
 
+    def export_array(self, path: str) -> int:
+        """One file with one JSON array, in store order; the number of rows.  Rows pass through the driver one partition at a
+        time, never all at once; ``export`` writes in parallel."""
+        rows = exported(self.get_all().orderBy("seq"))
+        n = 0
+
+        def parts():
+            nonlocal n
+            yield b"["
+            for r in rows.select(F.to_json(F.struct(*EXPORTED), {"ignoreNullFields": "false"})).toLocalIterator():
+                yield (b",\n" if n else b"\n") + r[0].encode()
+                n += 1
+            yield b"\n]\n"
+
+        folders.remove(self.spark, path)
+        folders.put(self.spark, path, parts())
+        return n
+
     def import_from(self, path: str, now=None) -> int:
         """Rows of a JSON array or JSON lines whose ids are neither stored nor earlier in the file."""
         rows = imported(self.spark, path, now)
         fresh = rows.join(self._log().select("memory_id").distinct(), "memory_id", "left_anti")
-        top = self._log().agg(F.max("seq")).first()[0]
-        fresh = fresh.withColumn("seq", F.col("seq") + F.lit((-1 if top is None else top) + 1))
+        fresh = fresh.withColumn("seq", F.col("seq") + F.lit(self.next_seq()))
         n = fresh.count()
         if n:
             self.store(fresh)
@@ -153,15 +215,15 @@ class MemoryTable:
 
 
 def exported(rows: DataFrame) -> DataFrame:
-    """The 13 fields, times as ISO text, metadata as an object."""
+    """The 13 fields, times as ISO text, metadata as the object that it is (a variant: all values keep their types)."""
     iso = lambda c: F.date_format(c, _ISO)
-    out = rows.withColumns({"score": F.lit(0.0), "created_at": iso("created_at"), "last_accessed_at": iso("last_accessed_at"), "metadata": F.from_json(F.coalesce("metadata", F.lit("{}")), "map<string,string>")})
+    out = rows.withColumns({"score": F.lit(0.0), "created_at": iso("created_at"), "last_accessed_at": iso("last_accessed_at"), "metadata": F.parse_json(F.coalesce("metadata", F.lit("{}")))})
     return out.select(EXPORTED)
 
 
 def as_json_array(rows: DataFrame) -> DataFrame:
     """One row, one JSON array of all rows: for small tables; ``export`` scales."""
-    return exported(rows).agg(F.to_json(F.collect_list(F.struct(*EXPORTED))).alias("json"))
+    return exported(rows).agg(F.to_json(F.collect_list(F.struct(*EXPORTED)), {"ignoreNullFields": "false"}).alias("json"))
 
 
 _FILE = "memory_id string, user_id string, content string, embedding array<float>, score double, created_at string, last_accessed_at string, source string, importance double, lifecycle_state string, metadata string, embedding_dim int, tags array<string>"

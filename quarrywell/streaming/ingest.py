@@ -1,22 +1,37 @@
-"""Streaming ingest: each micro-batch goes through the ordered fold and is stored; a batch that is replayed after a
-failure changes nothing, as ids are put again with the same rows."""
+"""Streaming ingest: each micro-batch goes through the ordered fold and is stored.
+
+The ids of all rows that came in, those merged into others too, are kept beside the table after each batch.  A batch that
+comes again, at once after a failure or later under a new checkpoint, so finds nothing new and changes nothing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarrywell.operators.dedup import remember_many
+from quarrywell.operators.dedup import folded
+from quarrywell.sources import folders
 from quarrywell.sources.table import MemoryTable
 
 
-def ingest(stream: DataFrame, table: MemoryTable, now, checkpoint: str, threshold: float = 0.85, low: float = 0.65, once: bool = True) -> StreamingQuery:
-    """``stream`` has the columns of the memory table."""
+def taken(table: MemoryTable) -> DataFrame:
+    """memory_id of all rows that came in."""
+    stored, path = table.get_all().select("memory_id"), f"{table.path}/taken"
+    known = folders.names_in(table.spark, path)
+    return stored.unionByName(table.spark.read.schema("memory_id string").parquet(path)).distinct() if known else stored
+
 
-    def write(batch: DataFrame, _: int) -> None:
-        fresh = batch.join(table.get_all().select("memory_id"), "memory_id", "left_anti")
-        rows = remember_many(fresh, table.get_all(), now, threshold, low)
-        table.store(rows)
+def ingest_batch(batch: DataFrame, table: MemoryTable, now, threshold: float = 0.85, low: float = 0.65) -> None:
+    fresh = batch.dropDuplicates(["memory_id"]).join(taken(table), "memory_id", "left_anti").select(*batch.columns)
+    path = folders.shared_path(table.spark, "ingest")
+    folded(fresh, table.get_all(), now, threshold, low).write.parquet(path)
+    rows = table.spark.read.parquet(path)
+    table.store(rows.drop("sources"))
+    rows.select(F.explode("sources").alias("memory_id")).write.mode("append").parquet(f"{table.path}/taken")
+    folders.remove(table.spark, path)
 
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+def ingest(stream: DataFrame, table: MemoryTable, now, checkpoint: str, threshold: float = 0.85, low: float = 0.65, once: bool = True) -> StreamingQuery:
+    """``stream`` has the columns of the memory table."""
+    writer = stream.writeStream.foreachBatch(lambda batch, _: ingest_batch(batch, table, now, threshold, low)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

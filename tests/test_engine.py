@@ -1,6 +1,7 @@
 """The table and the facade, end to end on small data."""
 
 import json
+import os
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
@@ -86,6 +87,149 @@ def test_dimension_guard(memory):
     assert memory.recall("u", "abc").count() == 1
 
 
+def test_dimension_guard_holds_whatever_is_selected(memory):
+    """No query may leave the check out, one that doesn't ask for the dimension either."""
+    memory.remember("u", "abc")
+    memory.remember("other", "abc")
+    memory.embed = FunctionEmbedder(lambda t: [[1.0] * 8] * len(t), 8)
+    with pytest.raises(Exception, match="dimension mismatch"):
+        memory.context_block("u", "abc")
+    assert memory.context_block("nobody", "abc") == ""
+
+
+def test_nan_is_no_duplicate(spark):
+    nan = float("nan")
+    rows = [(f"m{k}", "u", f"text number {k}", v, 2, T0, T0, "user_stated", 0.5, "active", "{}", [], k) for k, v in enumerate([[1.0, 0.0], [0.0, 1.0], [nan, 1.0]])]
+    df = spark.createDataFrame(rows, RECORD)
+    assert dedup.duplicates(df, df, 0.85).where("new_id <> old_id").count() == 0
+    assert dedup.duplicates(df, df, 0.85).where("new_id = 'm2'").count() == 0
+
+
+def test_ids_that_come_back_are_stored(memory):
+    ids = memory.remember_many("u", ["abc", "bca", "cab", "xyz"])
+    assert len({*ids[:3]}) == 1 and ids[3] != ids[0]
+    old = memory.remember("u", "pizza")
+    two = memory.remember_many("u", ["pizza", "zapiz"])
+    assert two == [old, old]
+    stored = {r["memory_id"] for r in memory.table.get_all().collect()}
+    assert {*ids, old} == stored
+    assert not os.listdir(f"{memory.path.removeprefix('file://')}/staged") or all(not n.endswith(".parquet") for n in os.listdir(f"{memory.path.removeprefix('file://')}/staged"))
+
+
+def test_metadata_keeps_its_types(memory, spark, tmp_path):
+    meta = {"n": 1, "x": 2.5, "o": {"k": [1, None, "a"]}, "t": True, "z": None}
+    a = memory.remember("u", "abc", metadata=meta)
+    path = f"{tmp_path}/all.json"
+    assert memory.export(path) == 1
+    whole = json.loads(open(path).read())
+    assert len(whole) == 1 and len(whole[0]) == 13 and whole[0]["metadata"] == meta and whole[0]["score"] == 0.0 and whole[0]["tags"] == []
+    other = Memory(spark, f"file://{tmp_path}/other", FunctionEmbedder(hot, 26), now=lambda: T0)
+    assert other.import_from(f"file://{path}") == 1
+    assert json.loads(other.table.get(a).first()["metadata"]) == meta
+    rows = memory.table.get_all()
+    found = rows.select(rows.memory_id.alias("new_id"))
+    assert json.loads(dedup.flag_conflicts(rows, found).first()["metadata"]) == meta | {"conflict_flagged": True}
+
+
+def test_a_crash_loses_nothing(memory, monkeypatch):
+    """Whatever is interrupted, the table is as before or as after."""
+    from quarrywell.sources import folders
+
+    ids = memory.remember_many("u", ["abc", "xyz"])
+    memory.remember("v", "mno")
+    before = sorted(r["memory_id"] for r in memory.table.get_all().collect())
+    with monkeypatch.context() as m:
+        m.setattr(memory.table, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("power cut")))
+        for f in (lambda: memory.forget("u"), lambda: memory.forget("u", ids[0]), memory.table.compact):
+            with pytest.raises(RuntimeError):
+                f()
+            assert sorted(r["memory_id"] for r in memory.table.get_all().collect()) == before
+    with monkeypatch.context() as m:
+        m.setattr(folders, "remove", lambda *_: (_ for _ in ()).throw(RuntimeError("power cut")))
+        with pytest.raises(RuntimeError):
+            memory.forget("u", ids[0])
+    assert sorted(r["memory_id"] for r in memory.table.get_all().collect()) == sorted(set(before) - {ids[0]})
+    assert memory.forget("u") == 1 and memory.table.get_all_users().collect()[0][0] == "v" and memory.table.get_all().count() == 1
+
+
+def test_schema_version(memory):
+    assert memory.table.schema_version() == 2 and memory.upgrade() == 2
+    memory.table.upgrade_schema(2, 3)
+    assert memory.table.schema_version() == 3
+    memory.remember("u", "abc")
+    assert memory.table.schema_version() == 3 and memory.table.get_all().count() == 1
+
+
+def test_callback_store(spark, tmp_path):
+    from quarrywell.sources.stores import CallbackStore, Store
+    from quarrywell.sources.table import MemoryTable
+
+    inner = MemoryTable(spark, f"file://{tmp_path}/t")
+    made = CallbackStore(store_fn=inner.store, get_fn=inner.get, get_all_by_user_fn=inner.get_all_by_user, get_all_fn=inner.get_all, update_fn=inner.update)
+    assert isinstance(made, Store) and isinstance(inner, Store)
+    m = Memory(spark, embed=FunctionEmbedder(hot, 26), store=made, now=lambda: T0)
+    a = m.remember("u", "abc", tags=["x"])
+    assert m.list_users() == ["u"] and m.recall("u", "abc").first()["memory_id"] == a and m.recall_by_tag("u", "x").count() == 1
+    with pytest.raises(NotImplementedError, match="delete_by_user"):
+        m.forget("u")
+    with pytest.raises(TypeError):
+        CallbackStore(nothing_fn=print)
+
+
+def test_chat_and_tools(memory):
+    from quarrywell import ChatMemory
+    from quarrywell.tools import call_tool
+
+    chat = ChatMemory("u", memory)
+    chat.save_context({"session": "zzz", "input": "abc"}, {"output": "answer"})
+    chat.save_context({"session": "zzz"}, {})
+    assert [r["content"] for r in memory.table.get_all().collect()] == ["abc"]
+    assert chat.load_memory_variables({"session": "zzz", "input": "abc"})["history"].endswith("- abc") and chat.load_memory_variables({})["history"] == ""
+    assert call_tool(memory, "recall", {"user_id": "u", "query": "abc"}) == "- abc"
+    assert call_tool(memory, "remember", {"user_id": "u", "content": "xyz", "importance": 0.9}).startswith("Stored memory: ")
+    assert "- xyz" in call_tool(memory, "context_block", {"user_id": "u", "query": "xyz"})
+    chat.clear()
+    assert memory.table.get_all().count() == 0 and call_tool(memory, "recall", {"user_id": "u", "query": "abc"}) == "No memories found"
+    assert call_tool(memory, "forget", {"user_id": "u"}) == "Deleted 0 memory(ies)" and call_tool(memory, "x", {}) == "Unknown tool: x"
+    with pytest.raises(KeyError):
+        call_tool(memory, "recall", {"user_id": "u"})
+
+
+def test_owner_counter_and_half_life(memory, spark, tmp_path):
+    from quarrywell.schema import Config
+
+    a, b = memory.remember_many("u", ["abc", "xyz"])
+    with pytest.raises(ValueError):
+        memory.update(a, content="q", user_id="v", strict_owner=True)
+    assert memory.update(a, importance=1.0, user_id="u", strict_owner=True) == a
+    assert memory.recall("u", "abc", max_tokens=5, token_counter=lambda t: 5).count() == 1
+    assert memory.recall("u", "abc", max_tokens=5, token_counter=len).count() == 1
+    assert memory.recall("u", "abc", max_tokens=6, token_counter=len).count() == 2
+    memory.now = lambda: T0 + timedelta(hours=100)
+    slow = memory.recall("u", "abc").first()["score"]
+    memory.config = Config(decay_half_life_hours=10)
+    assert memory.recall("u", "abc").first()["score"] < slow
+    stats = memory.stats("u")
+    assert stats["by_lifecycle"] == {"active": 2, "decaying": 0, "archived": 0, "deleted": 0} and stats["by_source"]["user_stated"] == 2 and stats["total_with_tags"] == 0
+    with pytest.raises(ValueError):
+        memory.migrate("u", memory.embed, 0)
+    assert memory.migrate("u", memory.embed, 1) == 2
+
+
+def test_ingest_of_a_batch_that_comes_again(spark, tmp_path):
+    from quarrywell.sources.table import MemoryTable
+    from quarrywell.streaming.ingest import ingest_batch
+
+    row = lambda k, content, v: (f"m{k}", "u", content, v, 2, T0, T0, "user_stated", 0.5, "active", "{}", [], k)
+    one = spark.createDataFrame([row(1, "first text", [1.0, 0.0]), row(2, "second text", [1.0, 0.01])], RECORD)
+    two = spark.createDataFrame([row(3, "third text", [1.0, 0.02])], RECORD)
+    table = MemoryTable(spark, f"file://{tmp_path}/t")
+    for batch in (one, two, one, two):
+        ingest_batch(batch, table, "2024-02-02 00:00:00")
+        seen = [(r["memory_id"], r["content"]) for r in table.get_all().collect()]
+    assert seen == [("m1", "third text")]
+
+
 def test_async(memory):
     import asyncio
 
