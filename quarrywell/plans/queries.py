@@ -7,15 +7,20 @@ document and the time of an event each.  Queries are made from each user's first
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrywell.embedding import HashEmbedder
+from quarrywell.engine import Memory
 from quarrywell.functions import scoring, text, vector
-from quarrywell.operators import dedup, lifecycle, recall
+from quarrywell.operators import chat, dedup, lifecycle, recall
 from quarrywell.operators import stats as counts
-from quarrywell.sources.table import exported, latest, upgrade_schema
+from quarrywell.sources.folders import shared_path
+from quarrywell.sources.stores import CallbackStore
+from quarrywell.sources.table import MemoryTable, latest, upgrade_schema
 
 NOW = "2024-02-15 00:00:00"
 QUERY = "the of and the ing"
@@ -48,16 +53,27 @@ def mem(spark: SparkSession, d: str) -> DataFrame:
         F.col("ts").alias("created_at"), F.timestamp_micros(F.unix_micros("ts") + (v % 48) * 3_600_000_000).alias("last_accessed_at"),
         F.when(v % 3 == 0, "user_stated").when(v % 3 == 1, "agent_inferred").otherwise("system_generated").alias("source"), ((v % 101) / 100.0).alias("importance"),
         F.when(v % 20 == 0, "archived").when(v % 20 == 1, "deleted").when(v % 20 < 5, "decaying").otherwise("active").alias("lifecycle_state"),
-        F.lit("{}").alias("metadata"), F.array("lang", "doc_source").alias("tags"), v.alias("seq"),
+        F.concat(F.lit('{"n":'), v, F.lit(',"o":{"k":[1,null,"a"]}}')).alias("metadata"), F.array("lang", "doc_source").alias("tags"), v.alias("seq"),
     )
 
 
-MEM = """WITH mem AS (
+def stored(spark: SparkSession, d: str, rows: DataFrame | None = None) -> MemoryTable:
+    """A memory table in the shared folder with the rows of ``mem``, or others."""
+    out = MemoryTable(spark, shared_path(spark, "memories"))
+    out.store(mem(spark, d) if rows is None else rows)
+    return out
+
+
+def _memory(spark: SparkSession, table: MemoryTable, embed=None) -> Memory:
+    return Memory(spark, table.path, embed or HashEmbedder(), now=lambda: datetime(2024, 2, 15, tzinfo=timezone.utc))
+
+
+MEM = """WITH mem AS MATERIALIZED (
   SELECT 'm' || e.vec_id AS memory_id, 'u' || e.label AS user_id, d.text AS content, e.embedding::DOUBLE[] AS embedding, ev.ts::TIMESTAMP AS created_at,
     ev.ts::TIMESTAMP + INTERVAL 1 HOUR * (e.vec_id % 48)::INT AS last_accessed_at,
     CASE e.vec_id % 3 WHEN 0 THEN 'user_stated' WHEN 1 THEN 'agent_inferred' ELSE 'system_generated' END AS source, (e.vec_id % 101) / 100.0::DOUBLE AS importance,
     CASE WHEN e.vec_id % 20 = 0 THEN 'archived' WHEN e.vec_id % 20 = 1 THEN 'deleted' WHEN e.vec_id % 20 < 5 THEN 'decaying' ELSE 'active' END AS lifecycle_state,
-    [d.lang, d.source] AS tags, e.vec_id AS seq
+    [d.lang, d.source] AS tags, '{"n":' || e.vec_id || ',"o":{"k":[1,null,"a"]}}' AS metadata, e.vec_id AS seq
   FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id % (SELECT count(*) FROM documents) JOIN events ev ON ev.event_id = e.vec_id)"""
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -212,22 +228,24 @@ def q16_context_block(spark, d):
     return recall.context_blocks(recall.rank(recall.candidates(first_queries(m), m, 15), NOW))
 
 
-@query(_ranked(15) + ", w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM r WHERE created_at >= TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 1070 HOUR) SELECT query_id, memory_id, nth::INT AS rank FROM w WHERE nth <= 5")
-def q17_recall_since(spark, d):
-    m = mem(spark, d)
-    ranked = recall.rank(recall.candidates(first_queries(m), m, 15), NOW)
-    recent = ranked.where(F.col("created_at") >= F.expr(f"timestamp '{NOW}' - interval 1070 hours"))
-    recent = recent.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    return recent.where("rank <= 5").select("query_id", "memory_id", "rank")
+def _mmr(k: int) -> str:
+    """Diverse ranks 1 to k among three times as many candidates, in ``f``."""
+    out = _ranked(3 * k) + """, pairs AS MATERIALIZED (SELECT a.query_id, a.rank AS a, b.rank AS b, list_cosine_similarity(a.embedding, b.embedding) AS cos FROM r a JOIN r b USING (query_id)),
+  s1 AS (SELECT query_id, [rank] AS sel FROM r WHERE rank = 1)"""
+    for n in range(2, k + 1):
+        out += f""", v{n} AS (SELECT r.query_id, r.rank, s.sel, 0.7 * r.score - (1 - 0.7) * greatest(0.0, (SELECT max(p.cos) FROM pairs p WHERE p.query_id = r.query_id AND p.a = r.rank AND list_contains(s.sel, p.b))) AS m
+      FROM r JOIN s{n - 1} s USING (query_id) WHERE NOT list_contains(s.sel, r.rank)),
+    s{n} AS MATERIALIZED (SELECT query_id, list_append(sel, rank) AS sel FROM v{n} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY m DESC, rank) = 1)"""
+    return out + f", o AS (SELECT query_id, unnest(sel) AS old, generate_subscripts(sel, 1) AS rank FROM s{k}), f AS (SELECT o.query_id, r.memory_id, r.content, r.created_at, o.rank FROM o JOIN r ON r.query_id = o.query_id AND r.rank = o.old)"
 
 
-_MMR = _ranked(15) + """, pairs AS (SELECT a.query_id, a.rank AS a, b.rank AS b, list_cosine_similarity(a.embedding, b.embedding) AS cos FROM r a JOIN r b USING (query_id)),
-  s1 AS (SELECT query_id, [rank] AS sel FROM r WHERE rank = 1)"""
-for _k in range(2, 6):
-    _MMR += f""", v{_k} AS (SELECT r.query_id, r.rank, s.sel, 0.7 * r.score - (1 - 0.7) * greatest(0.0, (SELECT max(p.cos) FROM pairs p WHERE p.query_id = r.query_id AND p.a = r.rank AND list_contains(s.sel, p.b))) AS m
-      FROM r JOIN s{_k - 1} s USING (query_id) WHERE NOT list_contains(s.sel, r.rank)),
-    s{_k} AS (SELECT query_id, list_append(sel, rank) AS sel FROM v{_k} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY m DESC, rank) = 1)"""
-_MMR += ", o AS (SELECT query_id, unnest(sel) AS old, generate_subscripts(sel, 1) AS rank FROM s5), f AS (SELECT o.query_id, r.memory_id, r.content, o.rank FROM o JOIN r ON r.query_id = o.query_id AND r.rank = o.old)"
+_MMR = _mmr(5)
+
+
+@query(_mmr(15) + f", w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM f WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 1070 HOUR) SELECT query_id, memory_id, nth::INT AS rank FROM w WHERE nth <= 5")
+def q17_recall_since(spark, d):
+    m = mem(spark, d)
+    return recall.recall_since(first_queries(m), m, NOW, 1070, 5).select("query_id", "memory_id", "rank")
 
 
 @query(_MMR + " SELECT query_id, memory_id, rank::INT AS rank FROM f")
@@ -247,22 +265,22 @@ def q18b_recall_full(spark, d):
 
 @query(MEM + f" SELECT memory_id, user_id, lifecycle_state FROM mem WHERE user_id = 'u3' AND {_LIVE}")
 def q19_scan_user_state(spark, d):
-    return mem(spark, d).where((F.col("user_id") == "u3") & recall.in_states()).select("memory_id", "user_id", "lifecycle_state")
+    return stored(spark, d).get_all_by_user("u3").select("memory_id", "user_id", "lifecycle_state")
 
 
 @query(MEM + " SELECT memory_id, user_id, content FROM mem WHERE memory_id = 'm7'")
 def q20_point_get(spark, d):
-    return mem(spark, d).where("memory_id = 'm7'").select("memory_id", "user_id", "content")
+    return stored(spark, d).get("m7").select("memory_id", "user_id", "content")
 
 
-@query(MEM + f" SELECT memory_id, user_id FROM mem WHERE list_contains(tags, 'en') AND {_LIVE}")
+@query(MEM + f" SELECT memory_id, user_id FROM mem WHERE user_id = 'u3' AND list_contains(tags, 'en') AND {_LIVE}")
 def q21_tag_filter(spark, d):
-    return mem(spark, d).where(F.array_contains("tags", "en") & recall.in_states()).select("memory_id", "user_id")
+    return stored(spark, d).get_by_tag("u3", "en").select("memory_id", "user_id")
 
 
 @query(MEM + " SELECT DISTINCT user_id FROM mem")
 def q22_list_users(spark, d):
-    return mem(spark, d).select("user_id").distinct()
+    return stored(spark, d).get_all_users()
 
 
 @query(MEM + " SELECT user_id, count(*) AS n FROM mem GROUP BY 1")
@@ -372,42 +390,47 @@ def q32_sentiment_flip(spark, d):
 
 # Duplicates and conflicts: each row against the rows before it, at thresholds that these vectors reach
 
-_PAIRS = MEM + f""", p AS (SELECT a.user_id, a.memory_id AS new_id, b.memory_id AS old_id, b.seq AS old_seq, {_NCOS.format("a.embedding", "b.embedding")} AS sim FROM mem a JOIN mem b ON a.user_id = b.user_id AND b.seq < a.seq)"""
+def _pairs(low: float) -> str:
+    """Each row with those of its user before it, above ``low``."""
+    return MEM + f""", p AS MATERIALIZED (SELECT * FROM (SELECT a.user_id, a.memory_id AS new_id, b.memory_id AS old_id, a.seq AS new_seq, b.seq AS old_seq, {_NCOS.format("a.embedding", "b.embedding")} AS sim FROM mem a JOIN mem b ON a.user_id = b.user_id) WHERE old_seq < new_seq AND sim > {low})"""
 
 
 def _before(found: DataFrame) -> DataFrame:
     return found.where("old_seq < new_seq")
 
 
-_DUP = _PAIRS + f""", tok AS (SELECT memory_id AS doc_id, {_tok("content")} AS tok FROM mem), {_WORDS.replace("p AS (SELECT *,", "pr AS (SELECT *,").replace("FROM p)", "FROM pr)")}, kw AS (SELECT doc_id, list(word) AS k FROM k GROUP BY 1),
+def _dup(low: float) -> str:
+    """The pairs above ``low`` that don't say the opposite of each other; words are taken only of rows in such pairs."""
+    return _pairs(low) + f""", tok AS MATERIALIZED (SELECT memory_id AS doc_id, {_tok("content")} AS tok FROM mem WHERE memory_id IN (SELECT new_id FROM p UNION ALL SELECT old_id FROM p)), {_WORDS.replace("p AS (SELECT *,", "pr AS (SELECT *,").replace("FROM p)", "FROM pr)")}, kw AS MATERIALIZED (SELECT doc_id, list(word) AS k FROM k GROUP BY 1),
   two AS (SELECT p.*, x.tok AS a, y.tok AS b, kx.k AS ka, ky.k AS kb FROM p JOIN tok x ON x.doc_id = new_id JOIN tok y ON y.doc_id = old_id LEFT JOIN kw kx ON kx.doc_id = new_id LEFT JOIN kw ky ON ky.doc_id = old_id),
   dup AS (SELECT new_id, old_id, old_seq, sim FROM two WHERE NOT (len(list_intersect(coalesce(ka, []), coalesce(kb, []))) > 0 AND ({_PAIR} OR ({_SAID.format('a')}) <> ({_SAID.format('b')}))))"""
 
 
-@query(_DUP + " SELECT new_id, old_id, round(sim, 6) AS sim FROM dup WHERE sim > 0.7")
+@query(_dup(0.7) + " SELECT new_id, old_id, round(sim, 6) AS sim FROM dup")
 def q34_duplicate_pairs(spark, d):
     m = mem(spark, d)
     return _before(dedup.duplicates(m, m, 0.7)).select("new_id", "old_id", _r6("sim").alias("sim"))
 
 
-@query(_PAIRS + " SELECT new_id, old_id, round(sim, 6) AS sim FROM p WHERE sim > 0.62 AND sim < 0.7")
+@query(_pairs(0.62) + " SELECT new_id, old_id, round(sim, 6) AS sim FROM p WHERE sim < 0.7")
 def q35_conflict_pairs(spark, d):
     m = mem(spark, d)
     return _before(dedup.conflicts(m, m, 0.62, 0.7)).select("new_id", "old_id", _r6("sim").alias("sim"))
 
 
-@query(_DUP + f", f AS (SELECT * FROM dup WHERE sim > 0.62 QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY old_seq) = 1) SELECT o.memory_id, n.content, n.tags, o.importance, o.lifecycle_state, TIMESTAMP '{NOW}' AS last_accessed_at FROM f JOIN mem o ON o.memory_id = f.old_id JOIN mem n ON n.memory_id = f.new_id")
+@query(_dup(0.62) + f", f AS (SELECT * FROM dup QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY old_seq) = 1) SELECT o.memory_id, n.content, n.tags, o.importance, o.lifecycle_state, TIMESTAMP '{NOW}' AS last_accessed_at FROM f JOIN mem o ON o.memory_id = f.old_id JOIN mem n ON n.memory_id = f.new_id")
 def q36_resolve_duplicate(spark, d):
     m = mem(spark, d)
     out = dedup.resolve(m, m, _before(dedup.duplicates(m, m, 0.62)), _now())
     return out.select("memory_id", "content", "tags", "importance", "lifecycle_state", F.col("last_accessed_at").cast("timestamp_ntz").alias("last_accessed_at"))
 
 
-@query(_PAIRS + " SELECT memory_id, memory_id IN (SELECT new_id FROM p WHERE sim > 0.62 AND sim < 0.7) AS flagged FROM mem")
+@query(_pairs(0.62) + """, h AS (SELECT DISTINCT new_id FROM p WHERE sim < 0.7) SELECT memory_id, new_id IS NOT NULL AS flagged,
+  CASE WHEN new_id IS NULL THEN metadata ELSE left(metadata, -1) || ',"conflict_flagged":true}' END AS metadata FROM mem LEFT JOIN h ON new_id = memory_id""")
 def q37_conflict_flag(spark, d):
     m = mem(spark, d)
     out = dedup.flag_conflicts(m, _before(dedup.conflicts(m, m, 0.62, 0.7)))
-    return out.select("memory_id", F.coalesce(F.get_json_object("metadata", "$.conflict_flagged") == "true", F.lit(False)).alias("flagged"))
+    return out.select("memory_id", F.coalesce(F.get_json_object("metadata", "$.conflict_flagged") == "true", F.lit(False)).alias("flagged"), "metadata")
 
 
 # The table
@@ -423,27 +446,35 @@ def q38_upsert_snapshot(spark, d):
 
 @query(MEM + " SELECT memory_id, user_id FROM mem WHERE user_id <> 'u3'")
 def q39_delete_user(spark, d):
-    gone = spark.createDataFrame([("u3",)], "user_id string")
-    return mem(spark, d).join(F.broadcast(gone), "user_id", "left_anti").select("memory_id", "user_id")
+    t = stored(spark, d)
+    t.delete_by_user("u3")
+    return t.get_all().select("memory_id", "user_id")
 
 
 @query(MEM + " SELECT memory_id FROM mem WHERE memory_id <> 'm7'")
 def q40_delete_id(spark, d):
-    return mem(spark, d).where("memory_id <> 'm7'").select("memory_id")
+    t = stored(spark, d)
+    t.delete_by_id("m7")
+    return t.get_all().select("memory_id")
 
 
-@query(MEM + ", f AS (SELECT memory_id, content, seq FROM mem WHERE seq % 2 = 0 UNION ALL SELECT memory_id, 'again', seq + 1000000 FROM mem WHERE seq % 4 = 0) SELECT memory_id, content FROM f WHERE memory_id NOT IN (SELECT memory_id FROM mem WHERE seq % 6 = 0) QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY seq) = 1")
+@query(MEM + ", f AS (SELECT memory_id, content, seq FROM mem WHERE seq % 2 = 0 UNION ALL SELECT memory_id, 'again', seq + 1000000 FROM mem WHERE seq % 4 = 0) SELECT memory_id, content FROM f WHERE memory_id NOT IN (SELECT memory_id FROM mem WHERE seq % 6 = 0) QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY seq) = 1 UNION ALL SELECT memory_id, content FROM mem WHERE seq % 6 = 0")
 def q41_import_antijoin(spark, d):
-    m = mem(spark, d)
-    file = m.where("seq % 2 = 0").select("memory_id", "content", "seq").unionAll(m.where("seq % 4 = 0").select("memory_id", F.lit("again"), F.col("seq") + 1_000_000))
-    stored = m.where("seq % 6 = 0").select("memory_id")
-    first = Window.partitionBy("memory_id").orderBy("seq")
-    return file.join(stored, "memory_id", "left_anti").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("memory_id", "content")
+    m, path = mem(spark, d), shared_path(spark, "import")
+    again = m.where("seq % 4 = 0").withColumns({"content": F.lit("again"), "seq": F.col("seq") + 1_000_000})
+    m.where("seq % 2 = 0").unionByName(again).repartition(1).sortWithinPartitions("seq").drop("seq").write.json(path)  # one file, in order
+    t = stored(spark, d, m.where("seq % 6 = 0"))
+    t.import_from(path, NOW)
+    return t.get_all().select("memory_id", "content")
 
 
-@query(MEM + " SELECT memory_id, user_id, content, 0.0::DOUBLE AS score, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS created_at, source, round(importance, 6) AS importance, lifecycle_state, len(embedding)::INT AS embedding_dim, tags FROM mem")
+@query(MEM + " SELECT memory_id, user_id, content, 0.0::DOUBLE AS score, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS created_at, strftime(last_accessed_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS last_accessed_at, source, round(importance, 6) AS importance, lifecycle_state, len(embedding)::INT AS embedding_dim, round(embedding[1], 6) AS first_component, tags, metadata FROM mem")
 def q42_export_shape(spark, d):
-    return exported(mem(spark, d)).select("memory_id", "user_id", "content", "score", "created_at", "source", _r6("importance").alias("importance"), "lifecycle_state", "embedding_dim", "tags")
+    path = shared_path(spark, "export")
+    stored(spark, d).export(path)
+    file = "memory_id string, user_id string, content string, embedding array<double>, score double, created_at string, last_accessed_at string, source string, importance double, lifecycle_state string, metadata string, embedding_dim int, tags array<string>"
+    rows = spark.read.schema(file).json(path)
+    return rows.select("memory_id", "user_id", "content", "score", "created_at", "last_accessed_at", "source", _r6("importance").alias("importance"), "lifecycle_state", "embedding_dim", _r6(F.col("embedding")[0].cast("float").cast("double")).alias("first_component"), "tags", "metadata")
 
 
 @query(MEM + " SELECT memory_id, user_id, [] :: VARCHAR[] AS tags FROM mem")
@@ -473,6 +504,115 @@ def q47_recall_touch(spark, d):
     return lifecycle.touch(mem(spark, d).where(recall.in_states()), _now()).select("memory_id", F.col("lifecycle_state").alias("state"))
 
 
-@query("SELECT conv_id, turn, text AS content, 'u' || conv_id AS user_id FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, turn, text AS content, 'u' || conv_id AS user_id FROM conversations WHERE role = 'user' AND trim(text) <> ''")
 def q48_chat_ingest(spark, d):
-    return _table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("content"), F.concat(F.lit("u"), "conv_id").alias("user_id"))
+    rows = chat.spoken(_table(spark, d, "conversations"), HashEmbedder(), _now())
+    t = MemoryTable(spark, shared_path(spark, "memories"))
+    t.store(dedup.remember_many(rows, t.get_all(), NOW, 1.0, 1.0))  # nothing is above 1: all are kept
+    kept = t.get_all().select(F.split("memory_id", "-").alias("k"), "content", "user_id")
+    return kept.select(F.col("k")[1].cast("long").alias("conv_id"), F.col("k")[2].cast(_table(spark, d, "conversations").schema["turn"].dataType).alias("turn"), "content", "user_id")
+
+
+# The facade and what belongs to it
+
+
+@query(MEM + """ SELECT memory_id, t AS new_state, (lifecycle_state = 'active' AND t IN ('decaying', 'deleted')) OR (lifecycle_state = 'decaying' AND t IN ('active', 'deleted')) AS allowed
+  FROM mem, (SELECT unnest(['active', 'decaying', 'archived', 'deleted']) AS t)""")
+def q49_allowed_transitions(spark, d):
+    to = mem(spark, d).select("memory_id", "lifecycle_state", F.explode(F.array(*map(F.lit, counts.STATES))).alias("new_state"))
+    return to.select("memory_id", "new_state", lifecycle.may_change(F.col("lifecycle_state"), F.col("new_state")).alias("allowed"))
+
+
+@query(MEM + f" SELECT memory_id, 'deleted' AS lifecycle_state, tags FROM mem WHERE {_LIVE}")
+def q50_transition(spark, d):
+    return lifecycle.transition(mem(spark, d).where(recall.in_states()), "deleted").select("memory_id", "lifecycle_state", "tags")
+
+
+@query("SELECT 'u3' AS user_id, 'I live in Mumbai' AS content, 64 AS embedding_dim, 'agent_inferred' AS source, 1.0::DOUBLE AS importance, 'active' AS lifecycle_state, '{\"n\": 1}' AS metadata, ['city'] AS tags, true AS returned")
+def q51_remember(spark, d):
+    t = MemoryTable(spark, shared_path(spark, "memories"))
+    made = _memory(spark, t).remember("u3", "I live in Mumbai", importance=7, source="agent_inferred", metadata={"n": 1}, tags=["city"])
+    return t.get_all().select("user_id", "content", "embedding_dim", "source", "importance", "lifecycle_state", "metadata", "tags", (F.col("memory_id") == made).alias("returned"))
+
+
+@query(MEM + " SELECT memory_id, CASE WHEN memory_id = 'm7' THEN 'changed' ELSE content END AS content, round(CASE WHEN memory_id = 'm7' THEN 1.0 ELSE importance END, 6) AS importance, lifecycle_state, tags FROM mem")
+def q52_update(spark, d):
+    t = stored(spark, d)
+    _memory(spark, t).update("m7", content="changed", importance=3)
+    return t.get_all().select("memory_id", "content", _r6("importance").alias("importance"), "lifecycle_state", "tags")
+
+
+@query(MEM + f" SELECT memory_id, CASE WHEN user_id = 'u3' AND {_LIVE} THEN 32 ELSE len(embedding) END::INT AS embedding_dim, CASE WHEN user_id = 'u3' AND {_LIVE} THEN 32 ELSE len(embedding) END::INT AS size FROM mem")
+def q53_migrate(spark, d):
+    t = stored(spark, d)
+    _memory(spark, t).migrate("u3", HashEmbedder(32))
+    return t.get_all().select("memory_id", "embedding_dim", F.size("embedding").alias("size"))
+
+
+@query("SELECT 'u3' AS user_id, true AS failed UNION ALL SELECT 'u4', false")
+def q54_dimension_guard(spark, d):
+    t = stored(spark, d)
+    memory = _memory(spark, t)
+    memory.migrate("u3", HashEmbedder(32))
+
+    def failed(user: str) -> bool:
+        try:
+            memory.context_block(user, QUERY)
+        except Exception as e:
+            if "dimension mismatch" not in str(e):
+                raise
+            return True
+        return False
+
+    return spark.createDataFrame([(u, failed(u)) for u in ("u3", "u4")], "user_id string, failed boolean")
+
+
+@query("SELECT * FROM (VALUES ('blank user', 'ValueError'), ('blank content', 'ValueError'), ('blank query', 'ValueError'), ('blank tag', 'ValueError'), ('importance', 'TypeError'), ('top_k', 'ValueError'), ('no such memory', 'ValueError'), ('batch_size', 'ValueError')) v(input, error)")
+def q55_input_validation(spark, d):
+    memory = _memory(spark, MemoryTable(spark, shared_path(spark, "memories")))
+    calls = {
+        "blank user": lambda: memory.remember(" ", "x"), "blank content": lambda: memory.remember("u", "\t"), "blank query": lambda: memory.recall("u", ""), "blank tag": lambda: memory.recall_by_tag("u", " "),
+        "importance": lambda: memory.remember("u", "x", importance="high"), "top_k": lambda: memory.recall("u", "x", 0), "no such memory": lambda: memory.update("m", content="x"), "batch_size": lambda: memory.migrate("u", HashEmbedder(), 0),
+    }
+
+    def error(f) -> str:
+        try:
+            f()
+        except Exception as e:
+            return type(e).__name__
+        return "none"
+
+    return spark.createDataFrame([(k, error(f)) for k, f in calls.items()], "input string, error string")
+
+
+@query(MEM + " SELECT memory_id, user_id, content, len(embedding)::INT AS n, created_at, last_accessed_at, source, round(importance, 6) AS importance, lifecycle_state, metadata, tags, seq FROM mem")
+def q56_full_scan(spark, d):
+    rows = stored(spark, d).get_all().withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "last_accessed_at")})
+    return rows.select("memory_id", "user_id", "content", F.size("embedding").alias("n"), "created_at", "last_accessed_at", "source", _r6("importance").alias("importance"), "lifecycle_state", "metadata", "tags", "seq")
+
+
+@query(MEM + " SELECT memory_id, user_id, [] :: VARCHAR[] AS tags, 2 AS version FROM mem")
+def q57_upgrade_stored(spark, d):
+    """Files of the first version, without tags, under a table of this one."""
+    t = MemoryTable(spark, shared_path(spark, "memories"))
+    old = mem(spark, d).drop("tags").withColumns({"version": F.lit(1).cast("long"), "user_bucket": F.lit(0)})
+    old.write.partitionBy("user_bucket").parquet(f"{t.path}/log")
+    t.upgrade_schema(1, 1)
+    return t.get_all().select("memory_id", "user_id", "tags", F.lit(t.upgrade()).alias("version"))
+
+
+@query(MEM + " SELECT DISTINCT user_id FROM mem")
+def q58_callback_store(spark, d):
+    return CallbackStore(get_all_fn=lambda: mem(spark, d)).get_all_users()
+
+
+@query(_ranked(15) + ", b AS (SELECT *, sum(length(content)) OVER (PARTITION BY query_id ORDER BY rank) AS spent FROM r) SELECT query_id, memory_id, rank::INT AS rank FROM b WHERE rank = 1 OR spent <= 9000")
+def q59_token_counter(spark, d):
+    m = mem(spark, d)
+    return recall.token_budget(recall.rank(recall.candidates(first_queries(m), m, 15), NOW), 9000, counter=len).select("query_id", "memory_id", "rank")
+
+
+@query(_cand(7) + " SELECT memory_id, round(sim, 6) AS sim FROM cand WHERE query_id = 'u3'")
+def q60_store_search(spark, d):
+    vector_ = [float(x) for x in first_queries(mem(spark, d)).where("user_id = 'u3'").first()["embedding"]]
+    return stored(spark, d).search("u3", vector_, 7).select("memory_id", _r6("sim").alias("sim"))
