@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,3 +56,13 @@ def dropped(df: DataFrame) -> None:
     """Delete the files behind a table that ``written`` made."""
     for p in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         forget(df.sparkSession, p)
+
+
+def text_runs(batch, column: int, most: int = 1 << 22):
+    """An Arrow batch in slices of about ``most`` bytes of the text in ``column``; a longer text ends its slice."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    part = np.cumsum(size + 1) // most
+    edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edge, edge[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)

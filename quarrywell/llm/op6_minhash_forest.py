@@ -1,19 +1,23 @@
 """MinHash near-dedup with an LSH forest.
 
 Documents with the same set of word shingles are one class.  A class has ``HASHES`` MinHash values; each of ``TREES``
-sorted orders reads its own permutation of them.  Classes whose keys agree on the first ``DEPTH`` values lie in one
-region of an order.  Within a region the order goes on by the further values, so neighbours are those with the
-longest common prefix: the denser a region, the deeper the prefixes that neighbours share, and only where a region
-is small do they fall back to its least depth.  Each class is paired with the next ``NEAR`` of its region.
+orders sorts the classes by ``LEVELS`` of them, read in its own permutation.  The sequence of all orders is dealt by ranges,
+and what stands at the ends of a range is compared with its neighbours in one more step, so no region is one task's.
+
+Neighbours in an order are candidates by the length of their common prefix, at least ``DEPTH`` values.  How deep depends on
+the region: a class meets all others of its region of ``DEPTH`` values if these are ``SMALL`` at most; else the region is
+deepened, value by value, until what is left of it around the class is as small; where even the deepest is larger, the
+class meets the next ``NEAR``.
 
 Candidates are confirmed on the full shingle sets.  First the best partner of each class (the one met in most orders) is
-tried, then all candidates that the components found so far don't join already.  Regions that are too large for their
-neighbours to be all of them and whose classes are still in several components are gone through once more: the classes
-outside a region's largest component meet all its classes, in blocks, and the pairs that their signatures don't rule out
-(five standard deviations) are confirmed as well, inside the task.  So dense regions lose no link to the limit on neighbours.
+tried, then all candidates that the components found so far don't join already.  Regions of more than ``SMALL`` classes
+that are still in several components are gone through once more: the classes outside a region's largest component meet all
+its classes, in blocks bounded by their number and bytes, and the pairs that their signatures don't rule out (five standard
+deviations, which loses less than one such link in a million) are confirmed as well, inside the task.  So dense regions
+lose no link to deeper prefixes.
 
-With similarity s an order brings two classes into one region with probability s ** DEPTH; at s = 0.8 all of them fail
-with probability (1 - 0.8 ** 4) ** 40 < 1e-9.
+With similarity s an order brings two classes into one region with probability s ** DEPTH; at s = 0.8 all of them fail with
+probability (1 - 0.8 ** 4) ** 40 < 1e-9, as no two orders begin with the same values.
 
 Defined results: A-Z are lower-cased; words are separated by space and U+0009 to U+000D; fewer words than a shingle
 are one shingle; texts without words, null ones too, have empty sets and link with nothing; equal rows are one class;
@@ -29,70 +33,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarrywell.llm.common import table, written
 from quarrywell.llm.components import components
+from quarrywell.llm.wordhash import Words, by_bytes, mixed
 
 WORDS, PERCENT = 4, 80
-HASHES, TREES, DEPTH, NEAR, BLOCK = 128, 40, 4, 3, 256
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_WHITE = np.zeros(256, bool)
-_WHITE[[32, *range(9, 14)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+TREES, DEPTH, LEVELS, SMALL, NEAR = 40, 4, 8, 8, 3
+HASHES, BLOCK, BLOCK_BYTES = TREES * DEPTH, 256, 16 << 20
 
 
 def _draw(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_A, _B, _MARK = _draw(6, HASHES), _draw(66, HASHES), _draw(666, 256)
-_ORDERS = np.stack([np.random.default_rng(1000 + t).permutation(HASHES)[:8] for t in range(TREES)])
-
+_A, _B = _draw(6, HASHES), _draw(66, HASHES)
+_HEADS = np.random.default_rng(1000).permutation(HASHES).reshape(TREES, DEPTH)  # each value heads one order
+_ORDERS = np.stack([np.concatenate([h, np.random.default_rng(1001 + t).permutation(np.setdiff1d(np.arange(HASHES), h))[: LEVELS - DEPTH]]) for t, h in enumerate(_HEADS)])
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
-
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    joined = b"\n".join((t or "").encode() for t in texts)
-    sizes = np.fromiter((len((t or "").encode()) for t in texts), np.int64, len(texts))
-    ends = np.cumsum(sizes + 1) - 1
-    if not joined:
-        return [np.empty(0, np.uint64) for _ in texts]
-    raw = _LOWER[np.frombuffer(joined, np.uint8)]
-    solid = ~_WHITE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    if not len(begin):
-        return [np.empty(0, np.uint64) for _ in texts]
-    # Hash of a word: a polynomial in the marks of its bytes, by differences of prefix sums.
-    power = np.full(len(raw) + 1, _STEP, np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    back = np.full(len(raw) + 1, np.uint64(pow(int(_STEP), -1, 1 << 64)), np.uint64)
-    back[0] = 1
-    np.cumprod(back, out=back)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_MARK[raw] * power[:-1])])
-    word = _mixed((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64) * _STEP)
-    doc = np.searchsorted(ends, begin, side="right")
-    first = np.searchsorted(doc, np.arange(len(texts) + 1))
+    w = Words(texts)
+    grams = w.grams(words)
     out = []
-    for k in range(len(texts)):
-        own = word[first[k] : first[k + 1]]
-        n = len(own)
-        if not n:
-            out.append(np.empty(0, np.uint64))
-            continue
-        width = min(n, words)
-        h = np.full(n - width + 1, np.uint64(width), np.uint64)
-        for j in range(width):
-            h = _mixed(h * _STEP + own[j : n - width + 1 + j])
-        out.append(np.unique(h))
+    for first, after in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+        if after - first >= words:
+            own = grams[first : after - words + 1]
+        else:
+            own = w.runs(np.array([first]), np.array([after])) if after > first else grams[:0]
+        out.append(np.unique(own.view(np.uint64)))
     return out
 
 
@@ -101,25 +71,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     best = np.full(HASHES, np.uint64(2**64 - 1), np.uint64)
     for k in range(0, len(shingles), 1024):
         np.minimum(best, (shingles[k : k + 1024, None] * _A + _B).min(axis=0), out=best)
-    return (_mixed(best) & np.uint64(0xFFFF)).astype(">u2")
+    return (mixed(best) & np.uint64(0xFFFF)).astype(">u2")
 
 
 def _digest(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
-def _in_runs(batches, most: int = 1 << 20):
-    """Rows of Arrow batches, cut to runs of about ``most`` bytes of text (the last column)."""
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1).to_pylist()
-        at, held = 0, 0
-        for k, t in enumerate(texts):
-            held += len(t or "")
-            if held >= most or k + 1 == len(texts):
-                yield batch.slice(at, k + 1 - at), texts[at : k + 1]
-                at, held = k + 1, 0
-
-
 def _text_key():
     """With the id it tells a row's text from those of other rows."""
     return F.md5(F.col("text").cast("string").cast("binary"))
@@ -129,18 +87,19 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, text_key, cid (its class; null if the set is empty), n_shingles, sig."""
 
     def run(batches):
-        for batch, texts in _in_runs(batches):
-            sets = shingle_sets(texts, words)
-            cid = [_digest(s) if len(s) else None for s in sets]
-            sig = [signature(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cid, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "text_key", "cid", "n_shingles", "sig"])
+        for batch in batches:
+            for some, texts in by_bytes(batch, 2):
+                sets = shingle_sets(texts, words)
+                cid = [_digest(s) if len(s) else None for s in sets]
+                sig = [signature(s).tobytes() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array(cid, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "text_key", "cid", "n_shingles", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_key string, cid long, n_shingles long, sig binary")
 
 
 def _forest(classes: DataFrame) -> DataFrame:
-    """tree, prefix, rest, cid: a class's place in each order; the prefix holds DEPTH values, the rest four more."""
+    """tree, prefix, rest, cid: a class's place in each order; the prefix holds DEPTH values, the rest those behind them."""
 
     def run(batches):
         for batch in batches:
@@ -154,25 +113,94 @@ def _forest(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "sig").mapInArrow(run, "tree int, prefix long, rest long, cid long")
 
 
+def neighbours(tree: np.ndarray, prefix: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of the candidates in a sorted part of the orders."""
+    n = len(tree)
+    rows = np.arange(n)
+    same = np.concatenate([[False], (tree[1:] == tree[:-1]) & (prefix[1:] == prefix[:-1])]) if n else np.empty(0, bool)
+    differ = np.concatenate([np.zeros(1, np.uint64), (rest[1:] ^ rest[:-1]).view(np.uint64)]) if n else np.empty(0, np.uint64)
+    end = np.minimum(rows + 1 + NEAR, n)  # the places after those that each row meets
+    found = np.zeros(n, bool)
+    for extra in range(LEVELS - DEPTH + 1):
+        # A new region begins where the common prefix with the row before is shorter than DEPTH + extra values.
+        shared = same if not extra else same & (differ >> np.uint64(64 - 16 * extra) == 0)
+        start = np.flatnonzero(~shared)
+        size = np.diff(np.append(start, n))
+        if not extra:
+            end = np.minimum(end, np.repeat(start + size, size))
+        fits = ~found & np.repeat(size <= SMALL, size)
+        end[fits] = np.repeat(start + size, size)[fits]
+        found |= fits
+    count = end - rows - 1
+    i = np.repeat(rows, count)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+
+
 def candidates(classes: DataFrame) -> DataFrame:
-    """u < v, n: pairs of classes that are near each other in some order, and in how many."""
-    order = Window.partitionBy("tree", "prefix").orderBy("rest", "cid")
-    near = _forest(classes).select("cid", F.array(*(F.lead("cid", k).over(order) for k in range(1, NEAR + 1))).alias("next"))
-    pairs = near.where(F.col("next")[0].isNotNull()).select("cid", F.explode("next").alias("other")).where("other IS NOT NULL")
-    return pairs.groupBy(F.least("cid", "other").alias("u"), F.greatest("cid", "other").alias("v")).agg(F.count("*").alias("n"))
+    """u < v, n: pairs of classes that are neighbours in some order, and in how many."""
+    places = ["tree", "prefix", "rest", "cid"]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, left = TaskContext.get().partitionId(), None
+        for batch in batches:
+            rows = [c.to_numpy() for c in batch.columns]
+            if not len(rows[0]):
+                continue
+            if left is None:  # the first rows are neighbours of the range before
+                head = [r[:SMALL] for r in rows]
+                yield told(head[3], head[3] * 0, head, part)
+            known = 0 if left is None else len(left[0])
+            rows = [np.concatenate(x) for x in zip(left, rows)] if known else rows
+            yield from pairs(rows, known)
+            left = [r[-SMALL:] for r in rows]
+        if left is not None:
+            yield told(left[3], left[3] * 0, left, part)
+
+    def pairs(rows, known):
+        """The first ``known`` rows are those carried over from the batch before."""
+        i, j = neighbours(*rows[:3])
+        i, j = i[j >= known], j[j >= known]
+        for k in range(0, len(i), 1 << 18):
+            yield told(rows[3][i[k : k + (1 << 18)]], rows[3][j[k : k + (1 << 18)]], None, None)
+
+    def told(u, v, edge, part):
+        none = np.ones(len(u), bool) if edge is None else np.zeros(len(u), bool)
+        own = edge or [np.zeros(len(u), np.int32), u * 0, u * 0, u]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v) if edge is None else u), pa.array(np.maximum(u, v) if edge is None else v), pa.array(own[0], pa.int32(), mask=none), pa.array(own[1]), pa.array(own[2]), pa.array(np.full(len(u), part or 0, np.int32))], ["u", "v", "tree", "prefix", "rest", "part"])
+
+    spark = classes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = _forest(classes).repartitionByRange(parts, *places).sortWithinPartitions(*places)
+    found = written(order.mapInArrow(run, "u long, v long, tree int, prefix long, rest long, part int"), "neighbours")
+    inner = found.where("tree IS NULL").select("u", "v")
+
+    def across(batches):
+        rows = [np.concatenate(x) for x in zip(*([c.to_numpy() for c in b.columns] for b in batches if b.num_rows))]
+        if rows:
+            i, j = neighbours(*rows[:3])
+            apart = rows[4][i] != rows[4][j]
+            u, v = rows[3][i[apart]], rows[3][j[apart]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    # The ends of the ranges: 2 * SMALL rows of each at most.
+    edges = found.where("tree IS NOT NULL").select("tree", "prefix", "rest", F.col("u").alias("cid"), "part").distinct()
+    edges = edges.repartition(1).sortWithinPartitions(*places, "part").mapInArrow(across, "u long, v long")
+    return inner.unionByName(edges).where("u <> v").groupBy("u", "v").agg(F.count("*").alias("n"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """cid, shingles of the classes in ``wanted`` (doc_id of one member, cid)."""
+    """cid, shingles of the classes in ``wanted`` (doc_id and text_key of one member, cid)."""
 
     def run(batches):
-        for batch, texts in _in_runs(batches):
-            sets = shingle_sets(texts, words)
-            ok = [_digest(s) == c for s, c in zip(sets, batch.column(0).to_pylist())]  # an id can have several texts
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), pa.array([s.tobytes() for s, o in zip(sets, ok) if o], pa.binary())], ["cid", "shingles"])
+        for batch in batches:
+            for some, texts in by_bytes(batch, 1):
+                sets = shingle_sets(texts, words)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["member"])).select("cid", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    found = rows.join(wanted.select("cid", "member", F.col("member_key")), (rows["text_key"] == F.col("member_key")) & rows["doc_id"].eqNullSafe(F.col("member"))).select("cid", "text")
     return found.mapInArrow(run, "cid long, shingles binary").dropDuplicates(["cid"])
 
 
@@ -209,26 +237,30 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _dense(classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v: links between classes that share a region too large for its neighbours to be all of it and that are still
+    """u, v: links between classes that share a region too large to have been gone through whole and that are still
     in different components.
 
     In each such region the classes outside its largest component meet all its classes, block by block.  Pairs whose
     signatures rule a link out are passed over, others are confirmed on their full sets inside the task; a pair is looked
-    at once, in the first order that brings it together, and one link from a class to a component is enough there."""
-    held = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "sig", F.coalesce("component", "cid").alias("component"))
-    placed = written(_forest(held).drop("rest").join(held.select("cid", "component"), "cid"), "placed")
-    sizes = placed.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n")).groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max_by("component", "n").alias("main"))
-    mixed = written(sizes.where((F.col("n") > NEAR + 1) & (F.col("parts") > 1)).select("tree", "prefix", "main"), "mixed-regions")
-    rows = written(placed.join(mixed, ["tree", "prefix"]).select("tree", "prefix", "cid", "component", (F.col("component") == F.col("main")).alias("in_main")), "region-rows")
-    order = Window.partitionBy("tree", "prefix", "in_main").orderBy("cid")
-    blocked = written(rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)), "region-rows")
+    at once, in the first order that brings it together, and one link from a class to a component is enough there.  The
+    classes of a region are dealt to blocks by a hash, so no region is sorted or numbered in one task."""
+    held = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "sig", "n_shingles", F.coalesce("component", "cid").alias("component"))
+    placed = written(_forest(held).drop("rest").join(held.select("cid", "component", "n_shingles"), "cid"), "placed")
+    sizes = placed.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m")).groupBy("tree", "prefix").agg(
+        F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("parts"), F.max_by(F.struct("component", "n", "m"), F.struct("n", "component")).alias("main"))
+    blocks_of = lambda n, m: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(m * 8 / BLOCK_BYTES)).cast("int")
+    mixed_ = sizes.where((F.col("n") > SMALL) & (F.col("parts") > 1)).select(
+        "tree", "prefix", F.col("main.component").alias("main"), blocks_of(F.col("main.n"), F.col("main.m")).alias("inside"), blocks_of(F.col("n") - F.col("main.n"), F.col("m") - F.col("main.m")).alias("outside"))
+    mixed_ = written(mixed_, "mixed-regions")
+    rows = placed.join(mixed_, ["tree", "prefix"]).withColumn("in_main", F.col("component") == F.col("main"))
+    blocked = written(rows.select("tree", "prefix", "cid", "component", "in_main", F.pmod(F.xxhash64("cid"), F.when(F.col("in_main"), F.col("inside")).otherwise(F.col("outside"))).alias("block")), "region-rows")
     whole = blocked.join(held.select("cid", "sig"), "cid").join(sets, "cid")
     blocks = whole.groupBy("tree", "prefix", "in_main", "block").agg(F.collect_list("cid").alias("cid"), F.collect_list("component").alias("component"), F.collect_list("sig").alias("sig"), F.collect_list("shingles").alias("sets"))
     blocks = written(blocks, "region-blocks")
     outer = blocks.where("NOT in_main").select("tree", "prefix", *(F.col(c).alias(f"x_{c}") for c in ("block", "cid", "component", "sig", "sets")))
     pairs = outer.join(blocks, ["tree", "prefix"]).where("in_main OR block >= x_block")
     least = int(HASHES * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5))
-    heads = _ORDERS[:, :DEPTH]
+    heads = _HEADS
 
     def run(batches):
         for batch in batches:
@@ -284,10 +316,12 @@ def _settled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, text_key, n_shingles, cid, component_id of every row."""
     marked = written(signatures(docs, words), "signatures")
-    classes = written(marked.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("member"), F.first("sig").alias("sig")), "classes")
+    member = F.min_by(F.struct("doc_id", "text_key"), F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), "text_key"))
+    classes = marked.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least"), member.alias("m"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    classes = written(classes.select("cid", F.col("least").alias("member"), F.col("m.text_key").alias("member_key"), "sig", "n_shingles"), "classes")
     pairs = written(candidates(classes), "candidates")
     involved = written(pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct().join(classes, "cid"), "involved")
-    sets = written(_sets(docs, involved.select("cid", "member"), words), "shingles")
+    sets = written(_sets(docs, involved.select("cid", "member", "member_key"), words), "shingles")
     labels = _settled(pairs, sets, percent)
     labels = _merged(labels, written(_dense(involved, labels, sets, percent), "dense-links"))
     named = classes.select("cid", "member").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from quarrywell.llm.common import text_runs
+
 BLOCK = 1 << 20
 _STEPS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _WHITE = np.zeros(256, bool)
@@ -95,14 +97,6 @@ class Words:
 
 
 def by_bytes(batch, column: int, most: int = BLOCK):
-    """The rows of an Arrow batch in runs of about ``most`` bytes of the text in ``column``: (slice, texts as bytes; null is empty)."""
-    texts = batch.column(column).cast("binary")
-    at, held, run = 0, 0, []
-    for k in range(len(texts)):
-        run.append(texts[k].as_py() or b"")
-        held += len(run[-1])
-        if held >= most:
-            yield batch.slice(at, len(run)), run
-            at, held, run = k + 1, 0, []
-    if run:
-        yield batch.slice(at, len(run)), run
+    """An Arrow batch in slices of about ``most`` bytes of text, each with its texts as bytes (null is empty)."""
+    for some in text_runs(batch, column, most):
+        yield some, [t or b"" for t in some.column(column).cast("binary").to_pylist()]

@@ -131,6 +131,18 @@ def test_op2(spark, docs, none, rows):
     assert o2.encode_decode(none, o2.ship(spark, o2.build_lexicon(none))).count() == 0
 
 
+def test_op2_all_scripts_meet_the_lexicon(spark):
+    """Words of texts beyond the class tables are counted and found; none goes round the automaton."""
+    texts = ["It’s fine — “quoted”…", "日本語 テキスト", "naïve résumé العربية", "emoji 😀 and <|endoftext|> inside"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = {bytes(r["word"]).decode(): r["n"] for r in o2.word_counts(docs).collect() if r["word"] is not None}
+    assert {" fine", "日本語", " テキスト", " العربية", " inside"} <= set(words)
+    asked = []
+    enc = o2.BatchEncoder(o2.TOKENIZER, encode=lambda w: (asked.extend(w), o2.WordMerger(o2.path_of(o2.TOKENIZER)).merge(w))[1])
+    enc.encode(texts)
+    assert {w.decode() for w in asked} == set(words) - {""}
+
+
 def test_op2_automaton(tmp_path):
     words = sorted({w.encode() for w in VOCAB} | {b"", b"a", b"ab", b"abc", b"xbc"} - {b""})
     auto = o2.Automaton.build(words, [[k, k] for k in range(len(words))])
@@ -148,7 +160,9 @@ def test_batch_encoding_equals_the_library(name):
 
     r = random.Random(7)
     alphabet = [*"''' \n\tstrevmdlaA1.-", "é", "ß", "½", "\xa0", "\x85", "İ"]
+    world = [*alphabet, "’", "“", "—", "…", "日", "本", "か\u3099", "ע", "ع", "\u0301", "е", "😀", "👩\u200d💻", "\u2028", "\u3000", "\x00", "\x1c", "Σ", "ς", "Ⅷ", "²", "<|endoftext|>", "<|", "ﬁ", "Å"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(4000)] + [t or "" for t in TEXTS]
+    texts += ["".join(r.choice(world) for _ in range(r.randint(0, 30))) for _ in range(4000)]
     ids, counts = BatchEncoder(name, most=500).encode(texts)
     expected = [x.ids for x in library(name).encode_batch(texts, add_special_tokens=False)]
     assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for x in expected for i in x]
@@ -303,6 +317,53 @@ def test_op6(docs, none, rows):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted([k for k in range(len(TEXTS)) if k not in (5, 6)] + [4])
 
 
+def test_op6_neighbours_by_common_prefix():
+    """Small regions whole, large ones by deeper prefixes, the largest by the next few; every batch cut alike."""
+    r = np.random.default_rng(8)
+    prefix = np.sort(r.integers(0, 60, 600)).astype(np.int64)
+    rest = np.stack([r.integers(0, 3, 600) for _ in range(4)], axis=1).astype(">u2").copy().view(">i8").ravel().astype(np.int64)
+    rest[prefix == 7], rest[prefix == 8] = 5, 6
+    order = np.lexsort((rest, prefix))
+    prefix, rest = prefix[order], rest[order]
+    got = set(zip(*(x.tolist() for x in o6.neighbours(np.zeros(600, np.int32), prefix, rest))))
+    parts = [(p, *(x >> s & 0xFFFF for s in (48, 32, 16, 0))) for p, x in zip(prefix.tolist(), rest.tolist())]
+    expected = set()
+    for i, a in enumerate(parts):
+        for depth in range(1, 6):
+            own = [j for j, b in enumerate(parts) if b[:depth] == a[:depth]]
+            if len(own) <= o6.SMALL:
+                expected |= {(i, j) for j in own if j > i}
+                break
+        else:
+            expected |= {(i, j) for j in range(i + 1, i + 1 + o6.NEAR) if j < 600 and parts[j][0] == a[0]}
+    assert got == expected
+
+
+def test_op6_candidates_in_ranges(spark):
+    """However the orders are dealt, classes of small regions meet all of them."""
+    r = random.Random(4)
+    base = [prose(120, 700 + k).split() for k in range(30)]
+    texts = [" ".join([*base[k % 30][: r.randrange(90, 121)], *base[k % 30][119:]]) for k in range(150)]
+    marked = o6.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("cid IS NOT NULL")
+    classes = marked.groupBy("cid").agg(F.first("sig").alias("sig")).cache()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        found = []
+        for parts in (1, 7, 61):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append({(x["u"], x["v"]) for x in o6.candidates(classes).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    sig = {x["cid"]: np.frombuffer(x["sig"], ">u2") for x in classes.collect()}
+    must = set()
+    for order in o6._ORDERS:
+        regions = {}
+        for cid, s in sig.items():
+            regions.setdefault(tuple(s[order[: o6.DEPTH]]), []).append(cid)
+        must |= {(min(a, b), max(a, b)) for x in regions.values() if len(x) <= o6.SMALL for a in x for b in x if a != b}
+    assert must and all(must <= f for f in found)
+
+
 def test_op6_dense_region(spark):
     """Many texts that share most of their words: links must be found among many near misses."""
     r, base, rows = random.Random(3), prose(160, 77).split(), []
@@ -476,6 +537,9 @@ def test_op10(spark):
             assert by_id(o10.near_vectors(df), "vec_id", "n_links", "component_id") == expected
         finally:
             o10.BLOCK = old
+    far = [(0, [1e200, 0.0]), (1, [1e200, 1e190]), (2, [1e-200, 0.0]), (3, [3e-200, 0.0]), (4, [0.0, 5e-324]), (5, [1.0, 0.1])]
+    got = by_id(o10.near_vectors(spark.createDataFrame(far, "vec_id long, embedding array<double>")), "vec_id", "n_links", "component_id")
+    assert got == [(k, 4, 0) if k != 4 else (4, 0, 4) for k in range(6)]
     assert o10.near_vectors(df.limit(0)).count() == 0 and o10.near_vectors(df.where("vec_id BETWEEN 302 AND 307")).where("kept").count() == 6
 
 
