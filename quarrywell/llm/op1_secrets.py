@@ -1,15 +1,14 @@
 """Secret scans: base patterns, and character Markov models of random strings and ordinary identifiers.
 
 Both models are first-order chains over ``STATES`` character classes, trained from labelled samples: random strings
-(hexadecimal, base 64 and alphanumeric renderings of digests) and ordinary identifiers (words of the corpus, alone and
-joined in the usual styles).  A run of at least ``LEAST`` identifier characters is a secret if its log-likelihood ratio
-is at least ``EVIDENCE`` in all and ``RATE`` a character.  Training counts bigrams; what reaches the driver is one
-count for each pair of states.  The ratios are a literal array in the scan's expression; the scan runs in the JVM.
+(hexadecimal, base 64 and alphanumeric renderings of digests) and ordinary identifiers (every word of the corpus as often
+as it stands there, alone and joined in the usual styles).  A run of at least ``LEAST`` identifier characters is a secret if its log-likelihood ratio
+is at least ``EVIDENCE`` in all and ``RATE`` a character.  Training counts the words of all documents, then the bigrams of
+the distinct ones, weighted; what reaches the driver is one count for each pair of states.  A pair that was never seen
+counts as one in ``UNSEEN``, whatever the size of the corpus.  The ratios are a literal array in the scan's expression; the scan runs in the JVM.
 
 Code-point offsets come from splitting the text at its matches: lengths of pieces and matches add up.
 
-The bound on the corpus words for training is ``SAMPLE`` documents (about; chosen by a hash of the id).
-
 Defined results: null and empty texts have no spans; equal rows are all reported; a null id is kept; over an empty
 table the identifiers' model is its prior; a text of any length is scanned whole; other columns are ignored
 (``redacted`` returns them all).  Added spans never overlap base ones.
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quarrywell.llm.common import table
 
-SAMPLE, LEAST, EVIDENCE, RATE = 100, 20, 12.0, 0.6
+LEAST, EVIDENCE, RATE, UNSEEN = 20, 12.0, 0.6, 3_000_000
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # Runs of one class: that the greedy run has at least so many characters is the same as matching only such runs.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
@@ -35,7 +34,6 @@ STATES = len(ALPHABET)
 _SPAN = "struct<s: int, k: int, e: int, v: string>"
 
 
-
 def _escaped(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -60,27 +58,28 @@ def _states(text: str) -> str:
     return f"transform(filter(split({text}, ''), c -> c <> ''), c -> instr('{ALPHABET}', c))"
 
 
-def training_samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """label (random or ordinary), v."""
+def training_samples(docs: DataFrame) -> DataFrame:
+    """label (random or ordinary), v, n (how often)."""
     spark = docs.sparkSession
     seeds = spark.range(4096).select(F.sha2(F.col("id").cast("string"), 512).alias("d"))
     b64 = "base64(unhex(d))"
-    random = seeds.select(F.lit("random").alias("label"), F.explode(F.expr(f"array(substr(d, 1, 40), substr(replace(replace({b64}, '/', ''), '+', ''), 1, 40), substr({b64}, 1, 40), upper(substr(replace(replace({b64}, '/', ''), '+', ''), 41, 24)), replace(replace(substr({b64}, 30, 32), '/', '_'), '+', '-'))")).alias("v"))
-    every = max(1, docs.count() // sample)
-    words = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(every)) == 0).select(F.expr(r"filter(split(text, '[^A-Za-z]+'), w -> length(w) >= 2)").alias("w"))
-    joined = "explode(transform(sequence(0, size(w) - 3), i -> concat_ws(',', w[i], concat_ws('_', lower(w[i]), lower(w[i + 1]), lower(w[i + 2])), concat_ws('-', w[i], w[i + 2]), concat(lower(w[i]), initcap(w[i + 1]), initcap(w[i + 2])), concat_ws('/', w[i], w[i + 1]), upper(concat_ws('_', w[i], w[i + 1])), concat(w[i], i % 100))))"
-    ordinary = words.where(F.size("w") >= 3).select(F.expr(joined).alias("l")).select(F.lit("ordinary").alias("label"), F.explode(F.split("l", ",")).alias("v"))
-    return random.unionByName(ordinary)
+    random = seeds.select(F.lit("random").alias("label"), F.explode(F.expr(f"array(substr(d, 1, 40), substr(replace(replace({b64}, '/', ''), '+', ''), 1, 40), substr({b64}, 1, 40), upper(substr(replace(replace({b64}, '/', ''), '+', ''), 41, 24)), replace(replace(substr({b64}, 30, 32), '/', '_'), '+', '-'))")).alias("v"), F.lit(1).cast("long").alias("n"))
+    words = docs.select(F.explode(F.split(F.col("text").cast("string"), "[^A-Za-z]+")).alias("w")).where("length(w) >= 2").groupBy("w").agg(F.count("*").alias("n"))
+    styles = "array(w, concat_ws('_', lower(w), lower(w), lower(w)), concat_ws('-', w, w), concat(lower(w), initcap(w), initcap(w)), concat_ws('/', w, w), upper(concat_ws('_', w, w)), concat(w, pmod(xxhash64(w), 100)))"
+    return random.unionByName(words.select(F.lit("ordinary").alias("label"), F.explode(F.expr(styles)).alias("v"), "n"))
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios of each pair of states (row: the state before, 0 at the front), with add-one priors."""
-    pairs = samples.select("label", F.expr(_states("v")).alias("x")).select("label", F.explode(F.expr("transform(x, (b, i) -> (CASE WHEN i = 0 THEN 0 ELSE x[greatest(i - 1, 0)] END) * 256 + b)")).alias("pair"))
-    counts = pairs.groupBy("label", "pair").count().collect()  # one row for each label and pair of states at most
-    size = STATES + 1
-    n = {label: [[1.0] * size for _ in range(size)] for label in ("random", "ordinary")}
-    for r in counts:
-        n[r["label"]][r["pair"] // 256][r["pair"] % 256] += r["count"]
+    """Log-likelihood ratios of each pair of states (row: the state before, 0 at the front)."""
+    pairs = samples.select("label", "n", F.expr(_states("v")).alias("x")).select("label", "n", F.explode(F.expr("transform(x, (b, i) -> (CASE WHEN i = 0 THEN 0 ELSE x[greatest(i - 1, 0)] END) * 256 + b)")).alias("pair"))
+    counts = pairs.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()  # one row for each label and pair of states at most
+    size, n = STATES + 1, {}
+    for label in ("random", "ordinary"):
+        own = [r for r in counts if r["label"] == label]
+        prior = max(1.0, sum(r["n"] for r in own) / UNSEEN)
+        n[label] = [[prior] * size for _ in range(size)]
+        for r in own:
+            n[label][r["pair"] // 256][r["pair"] % 256] += r["n"]
     return [math.log(n["random"][a][b] / sum(n["random"][a])) - math.log(n["ordinary"][a][b] / sum(n["ordinary"][a])) for a in range(size) for b in range(size)]
 
 
