@@ -4,7 +4,8 @@ The words of the whole corpus are counted; the most frequent ones, with their id
 automaton whose states share prefixes and suffixes.  Outputs on its transitions add up to a word's number, which
 points to its ids.  The file is shipped to every executor once and memory-mapped there, so the workers of a machine
 share its pages.  The distinct words of a chunk walk the automaton together, one byte a step; words that it does
-not hold are merged exactly, so the lexicon's size changes speed, never results.
+not hold are merged exactly, so the lexicon's size changes speed, never results.  Words of all scripts go this way; only
+the splitting differs (class tables, or the library's pattern), and added tokens inside a text keep their ids.
 
 Defined results: null and empty texts have no ids and decode to the empty text; equal rows are all kept; a null id
 is kept; an empty table gives an empty lexicon and an empty result; other columns are ignored.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrywell.llm import wordsplit as ws
-from quarrywell.llm.common import shared_dir, table, written
+from quarrywell.llm.common import shared_dir, table, text_runs, written
 from quarrywell.llm.encoders import BatchEncoder, path_of
 from quarrywell.llm.merging import WordMerger, byte_symbols
 
@@ -149,12 +150,10 @@ class LexiconEncoder:
 
 
 def word_counts(docs: DataFrame, tokenizer: str = TOKENIZER, most: int = 200_000) -> DataFrame:
-    """word, n over the whole corpus; counted per task first, in a table emptied when it holds ``most`` words.
-
-    Texts outside the class tables are encoded by the library and need no words here."""
+    """word, n over the whole corpus; counted per task first, in a table emptied when it holds ``most`` words."""
 
     def run(batches):
-        starts = BatchEncoder(tokenizer, encode=lambda w: w).starts
+        enc = BatchEncoder(tokenizer, encode=lambda w: w)
         held: dict[bytes, int] = {}
 
         def out():
@@ -163,13 +162,16 @@ def word_counts(docs: DataFrame, tokenizer: str = TOKENIZER, most: int = 200_000
             return made
 
         for batch in batches:
-            data = [(t or "").encode() for t in batch.column(0).to_pylist()]
-            for a, b in ws.by_bytes(list(map(len, data))):
-                odd = ws.odd_texts(data[a:b])
-                some = [p for t, o in zip(data[a:b], odd) if not o for p in ws.pieces_of(t)]
-                units = ws.split(some, starts)
+            for part in text_runs(batch, 0):
+                data = [(t or "").encode() for t in part.column(0).to_pylist()]
+                odd = ws.odd_texts(data)
+                units = ws.split([p for t, o in zip(data, odd) if not o for p in ws.pieces_of(t)], enc.starts)
                 for w, n in zip(units.words, np.bincount(units.kind, minlength=len(units.words)).tolist()):
                     held[w] = held.get(w, 0) + n
+                for text in (t for t, o in zip(data, odd) if o):
+                    for w in enc.odd_units(text.decode()):
+                        if isinstance(w, bytes):
+                            held[w] = held.get(w, 0) + 1
                 if len(held) > most:
                     yield out()
         yield out()
@@ -244,8 +246,7 @@ def encode_decode(docs: DataFrame, lexicon: str, tokenizer: str = TOKENIZER, wit
         enc, dec = _opened(tokenizer, SparkFiles.get(lexicon))
         sha = hashlib.sha256
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                some = batch.slice(k, 512)
+            for some in text_runs(batch, 1):
                 ids, counts = enc.encode(some.column(1).to_pylist())
                 lists = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
                 texts = [dec.decode(x) for x in lists]

@@ -5,8 +5,8 @@ Arrow's dictionary encoding gives the distinct units.  An encoder is then asked
 once per occurrence.
 
 Only texts whose code points are all below ``SAFE`` and hold no control characters besides white space go
-this way; for these the class tables are certain.  ``odd_texts`` tells which texts they are not; callers give
-those to the library itself.
+this way; for these the class tables are certain.  ``odd_texts`` tells which texts they are not; callers let the
+library split those.
 """
 
 from __future__ import annotations
