@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrywell.llm import wordsplit as ws
-from quarrywell.llm.common import table
+from quarrywell.llm.common import table, text_runs
 from quarrywell.llm.encoders import encoder, path_of
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
@@ -106,7 +106,9 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, id_col
 
     def run(batches):
         for batch in batches:
-            size, count = lengths(model, batch.column(1).to_pylist())
+            if not batch.num_rows:
+                continue
+            size, count = map(np.concatenate, zip(*(lengths(model, some.column(1).to_pylist()) for some in text_runs(batch, 1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(count, pa.int64()), pa.array(count > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrywell.llm.common import fresh_path, table
+from quarrywell.llm.common import fresh_path, table, text_runs
 from quarrywell.llm.encoders import encoder
 from quarrywell.llm.ordering import in_id_order, partition_offsets
 
@@ -37,8 +37,7 @@ def encode_in_order(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         part, total = TaskContext.get().partitionId(), 0
         enc = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for some in text_runs(batch, 1):
                 ids, counts = enc.encode(some.column(1).to_pylist())
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, np.uint32(end_id)).astype("<u4")
