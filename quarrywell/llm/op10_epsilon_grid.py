@@ -7,7 +7,8 @@ are split into ``FAN`` parts each, and pairs of parts whose boxes are farther ap
 as projections never lengthen distances.  The pairs of blocks that remain are compared in double precision inside a
 task, which gives sums of links and a spanning forest, never the pairs.
 
-Equal vectors are one class with a count, so copies are compared once.
+Equal vectors are one class with a count, so copies are compared once.  Vectors are scaled by a power of two before they are
+multiplied, so lengths far from 1 neither overflow nor vanish; components that four bytes hold exactly travel so.
 
 Defined results: a vector that is null, empty, zero or holds a null or non-finite component links with nothing and is its
 own component; vectors of different lengths link never; rows of one vec_id are rows of their own with equal results
@@ -33,7 +34,7 @@ _SLACK = 1e-9
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """vec_id, cid (null if the vector can't link), dim, v (its components, little-endian doubles)."""
+    """vec_id, cid (null if the vector can't link), dim, v (its components, little-endian in 4 or 8 bytes each)."""
 
     def run(batches):
         for batch in batches:
@@ -42,41 +43,69 @@ def classes_of(rows: DataFrame) -> DataFrame:
                 v = None
                 if x.is_valid and x.values.null_count == 0 and len(x.values):
                     v = np.asarray(x.values.to_numpy(zero_copy_only=False), "<f8") + 0.0
-                    v = v if np.isfinite(v).all() and 0 < np.dot(v, v) < np.inf else None
+                    v = v if np.isfinite(v).all() and v.any() else None
                 raw = None if v is None else v.tobytes()
                 ids.append(None if v is None else int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True))
                 dims.append(None if v is None else len(v))
-                data.append(raw)
+                with np.errstate(over="ignore", under="ignore"):
+                    short = None if v is None else v.astype("<f4")
+                data.append(raw if v is None or not np.array_equal(short.astype("<f8"), v) else short.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(data, pa.binary())], ["vec_id", "cid", "dim", "v"])
 
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, cid long, dim int, v binary")
 
 
-def _units(column) -> np.ndarray:
-    x = np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
+def _matrix(column: list[bytes], dim: int) -> np.ndarray:
+    """The vectors as doubles."""
+    if len({len(v) for v in column}) < 2:
+        return np.frombuffer(b"".join(column), "<f4" if len(column[0]) == 4 * dim else "<f8").reshape(len(column), dim).astype(float)
+    return np.stack([np.frombuffer(v, "<f4" if len(v) == 4 * dim else "<f8") for v in column]).astype(float)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between a half and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def directions(classes: DataFrame, axes: int = AXES) -> dict[int, np.ndarray]:
-    """For each length of vectors its leading principal directions, from the second moments of all of them."""
+    """For each length of vectors its leading principal directions, from the second moments of all of them.
 
-    def run(batches):
+    Each task sends one matrix for each length; these are added up in steps of ``FAN``, so the driver gets one."""
+
+    def moments(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             dims = batch.column(0).to_numpy()
             for d in np.unique(dims).tolist():
-                x = _units(batch.column(1).filter(pa.array(dims == d)).to_pylist())
+                x = _units(_matrix(batch.column(1).filter(pa.array(dims == d)).to_pylist(), d))
                 sums[d] = sums.get(d, 0) + x.T @ x
+        yield from told(sums)
+
+    def added(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for d, m in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[d] = sums.get(d, 0) + np.frombuffer(m.as_buffer(), "<f8").reshape(d, d)
+        yield from told(sums)
+
+    def told(sums):
         for d, m in sums.items():
-            i, j = np.triu_indices(d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(m[i, j])], ["dim", "i", "j", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([m.astype("<f8").tobytes()], pa.binary())], ["dim", "m"])
 
-    moments = classes.select("dim", "v").mapInArrow(run, "dim int, i int, j int, s double").groupBy("dim", "i", "j").agg(F.sum("s").alias("s"))
-    out: dict[int, np.ndarray] = {}
-    for r in moments.collect():  # one number for each pair of components
-        m = out.setdefault(r["dim"], np.zeros((r["dim"], r["dim"])))
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["s"]
-    return {d: np.linalg.eigh(m)[1][:, ::-1][:, :axes] for d, m in out.items()}
+    found = classes.select("dim", "v").mapInArrow(moments, "dim int, m binary")
+    parts = classes.rdd.getNumPartitions()
+    while True:
+        found = written(found, "moments")
+        if parts == 1:
+            break
+        parts = -(-parts // FAN)
+        found = found.repartition(parts).mapInArrow(added, "dim int, m binary")
+    return {r["dim"]: np.linalg.eigh(np.frombuffer(r["m"], "<f8").reshape(r["dim"], -1))[1][:, ::-1][:, :axes] for r in found.collect()}  # one row for each length
 
 
 def _blocks(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float) -> DataFrame:
@@ -88,7 +117,7 @@ def _blocks(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float) ->
             cells = np.zeros((batch.num_rows, AXES), np.int32)
             for d in np.unique(dims).tolist():
                 own = np.flatnonzero(dims == d)
-                p = _units(batch.column("v").take(pa.array(own)).to_pylist()) @ axes[d]
+                p = _units(_matrix(batch.column("v").take(pa.array(own)).to_pylist(), d)) @ axes[d]
                 cells[own, : p.shape[1]] = np.floor(p / epsilon)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(cells[:, k].copy()) for k in range(AXES))], [*batch.schema.names, *(f"c{k}" for k in range(AXES))])
 
@@ -100,7 +129,9 @@ def _blocks(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float) ->
         def close():
             nonlocal nth, held
             cid, n, v = zip(*held)
-            p = _units(v) @ axes[dim]
+            x = _matrix(v, dim)
+            p = _units(x) @ axes[dim]
+            v = v if len({len(b) for b in v}) == 1 else [b.tobytes() for b in x]
             lo, hi = np.zeros(AXES), np.zeros(AXES)
             lo[: p.shape[1]], hi[: p.shape[1]] = p.min(axis=0), p.max(axis=0)
             made = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([dim], pa.int32()), pa.array([lo.tolist()]), pa.array([hi.tolist()]), pa.array([list(cid)], pa.list_(pa.int64())), pa.array([list(n)], pa.list_(pa.int64())), pa.array([b"".join(v)], pa.binary())], ["part", "nth", "dim", "lo", "hi", "cids", "counts", "vs"])
@@ -153,12 +184,13 @@ def _compared(pairs: DataFrame, blocks: DataFrame, cosine: float) -> DataFrame:
 
     left = blocks.select(F.col("seq").alias("a"), F.col("dim").alias("a_dim"), *(F.col(c).alias(f"a_{c}") for c in ("cids", "counts", "vs")))
     right = blocks.select(F.col("seq").alias("b"), F.col("dim").alias("b_dim"), *(F.col(c).alias(f"b_{c}") for c in ("cids", "counts", "vs")))
-    both = pairs.join(left, "a").join(right, "b").where("a_dim = b_dim")
+    both = pairs.join(left, "a").join(right, "b").where("a_dim = b_dim")  # null-free: each block has a length
     return both.mapInArrow(run, "cid long, n long, root long")
 
 
 def _links(row: dict, cosine: float) -> pa.RecordBatch:
-    x, y = (np.frombuffer(row[f"{s}_vs"], "<f8").reshape(len(row[f"{s}_cids"]), -1) for s in "ab")
+    each = lambda s: len(row[f"{s}_vs"]) // len(row[f"{s}_cids"])
+    x, y = (_scaled(_matrix([row[f"{s}_vs"][k : k + each(s)] for k in range(0, len(row[f"{s}_vs"]), each(s))], row["a_dim"])) for s in "ab")
     nx, ny = (np.sqrt((m * m).sum(axis=1)) for m in (x, y))
     hit = np.empty((len(x), len(y)), bool)
     for k in range(0, len(x), 256):
