@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the docs of
 the next.  All but the last return the columns of documents.
+
+Defined results: null and empty texts have too few words and go in the first stage; columns other than text stay as they
+are, nulls too; of equal rows all stay or go together, except that a row without an id goes where its group has one;
+rows of one id are told apart by their texts; an empty table gives no pieces; without labels the base rules alone judge.
 """
 
 from __future__ import annotations

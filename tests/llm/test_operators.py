@@ -292,11 +292,11 @@ def test_op3_zip_reader(tmp_path, zip64):
 # 6
 
 
-def near_brute(rows, percent=80):
+def near_brute(rows, percent=80, words=4):
     sets = []
     for r in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))
-        sets.append({tuple(w[k : k + 4]) for k in range(len(w) - 3)} or ({tuple(w)} if w else set()))
+        sets.append({tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or ({tuple(w)} if w else set()))
     label = list(range(len(rows)))
     for _ in rows:
         for i, a in enumerate(sets):
