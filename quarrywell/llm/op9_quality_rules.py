@@ -95,7 +95,9 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     cuts = {n: sorted(set(found[n] or [])) for n in names}
     if not any(cuts.values()):
         return []
-    bins = F.array(*(F.struct(F.lit(k).alias("f"), sum((F.when(F.col(n) > v, 1).otherwise(0) for v in cuts[n]), F.lit(0)).alias("b")) for k, n in enumerate(names)))
+    # How many cuts lie below a value, by a short expression: a condition for each cut would be a method too long to compile well.
+    below = lambda n: F.size(F.filter(F.array(*map(F.lit, cuts[n])).cast("array<double>"), lambda v: F.col(n) > v))
+    bins = F.array(*(F.struct(F.lit(k).alias("f"), below(n).alias("b")) for k, n in enumerate(names)))
     rows = written(rows.withColumn("bins", bins), "binned")
     rules: list[list[Condition]] = []
     left = F.lit(True)
