@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrywell.llm.common import forget, fresh_path, table
+from quarrywell.llm.common import forget, fresh_path, table, text_runs
 from quarrywell.llm.encoders import encoder
 from quarrywell.llm.ordering import in_id_order, partition_offsets
 
@@ -37,29 +37,33 @@ WINDOW, LEAST, MOST, BITS = 16, 64, 4096, 9  # ids; a cut where BITS bits of the
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids: at the first hash cut LEAST ids or more after the last end, or
-    after MOST ids."""
-    n = len(ids)
+def cuts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of all documents, whose ids stand one after another up to ``ends``.  A chunk ends with its document,
+    at the first hash cut LEAST ids or more after its beginning, or after MOST ids."""
     found = np.empty(0, np.int64)
-    if n > LEAST:
+    if len(ids) > LEAST:
         key = (ids.astype(np.uint64) + np.uint64(1)) * _STEP
         key ^= key >> np.uint64(29)
-        rolling = np.zeros(n - WINDOW + 1, np.uint64)
+        rolling = np.zeros(len(ids) - WINDOW + 1, np.uint64)
         for k in range(WINDOW):
-            rolling = rolling * np.uint64(3) + key[k : n - WINDOW + 1 + k]
+            rolling = rolling * np.uint64(3) + key[k : len(ids) - WINDOW + 1 + k]
         rolling *= _STEP
         found = np.flatnonzero(rolling >> np.uint64(64 - BITS) == 0) + WINDOW
-    out, last = [], 0
-    for c in [*found.tolist(), n]:
-        while c - last > MOST:
-            last += MOST
-            out.append(last)
-        if c - last >= LEAST or c == n:
-            if c > last:
+    start = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    own = start[np.searchsorted(ends, found)]
+    found = found[found - own >= LEAST]  # those whose window begins in an earlier document, and others that can't be used
+    at = np.searchsorted(found, ends, "right").tolist()
+    found, out, k = found.tolist(), [], 0
+    for last, end, upto in zip(start.tolist(), ends.tolist(), at):
+        for c in [*found[k:upto], end]:
+            while c - last > MOST:
+                last += MOST
+                out.append(last)
+            if c > last and (c - last >= LEAST or c == end):
                 out.append(c)
-            last = c
-    return out
+                last = c
+        k = upto
+    return np.array(out, np.int64)
 
 
 def merkle_root(digests: list[bytes]) -> bytes:
@@ -69,11 +73,16 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-def narrow(ids: np.ndarray) -> bytes:
-    return ids.astype("<u2" if ids.max() < 65_536 else "<u4").tobytes()
+def narrow(ids: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The stored form of each chunk [edges[k], edges[k + 1]) and its width."""
+    width = np.where(np.maximum.reduceat(ids, edges[:-1]) < 65_536, 2, 4) if len(edges) > 1 else np.empty(0, np.int64)
+    if (width == 2).all():
+        return pa.BinaryArray.from_buffers(pa.binary(), len(width), [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))]), width
+    return pa.array([ids[a:b].astype(f"<u{w}").tobytes() for a, b, w in zip(edges.tolist(), edges[1:].tolist(), width.tolist())], pa.binary()), width
 
 
 def wide(data: bytes, width: int) -> bytes:
+    """A chunk's ids in four bytes each."""
     return data if width == 4 else np.frombuffer(data, "<u2").astype("<u4").tobytes()
 
 
@@ -106,31 +115,29 @@ def moved(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Each document with its chunks, where it was read."""
-    chunk = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary())])
 
     def run(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for some in text_runs(batch, 2):
                 ids, counts = enc.encode(some.column(2).to_pylist())
-                ends = np.cumsum(counts)
-                starts = (ends - counts).tolist()
-                rows, total = [], []
-                for a, n in zip(starts, counts.tolist()):
-                    own = np.append(ids[a : a + n], np.uint32(end_id)).astype("<u4")
-                    edges = cuts(own)
-                    parts = [own[x:y] for x, y in zip([0, *edges], edges)]
-                    rows.append([{"digest": hashlib.sha256(p.tobytes()).digest(), "n": len(p), "width": 2 if p.max() < 65_536 else 4, "ids": narrow(p)} for p in parts])
-                    total.append(len(own))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(total, pa.int64()), pa.array(rows, pa.list_(chunk))], ["doc_id", "row", "n_tokens", "chunks"])
+                ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id)).astype("<u4")
+                ends = np.cumsum(counts + 1)
+                edges = np.concatenate([[0], cuts(ids, ends)]).astype(np.int64)
+                whole = memoryview(ids).cast("B")
+                digests = [hashlib.sha256(whole[4 * a : 4 * b]).digest() for a, b in zip(edges.tolist(), edges[1:].tolist())]
+                data, width = narrow(ids, edges)
+                chunks = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(np.diff(edges).astype(np.int32)), pa.array(width.astype(np.int32)), data], ["digest", "n", "width", "ids"])
+                offsets = np.concatenate([[0], np.searchsorted(edges, ends)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(counts + 1), pa.ListArray.from_arrays(pa.array(offsets), chunks)], ["doc_id", "row", "n_tokens", "chunks"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, row long, n_tokens long, chunks array<struct<digest: binary, n: int, width: int, ids: binary>>")
 
 
-def _roots(df: DataFrame, with_part: bool) -> DataFrame:
-    """Adds each document's Merkle root and, when writing, its place in its range partition."""
+def _roots(df: DataFrame, writing: bool) -> DataFrame:
+    """Adds each document's Merkle root and, when writing, its place in its range partition; when reading, the bytes
+    behind each of its chunks."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -138,14 +145,19 @@ def _roots(df: DataFrame, with_part: bool) -> DataFrame:
         part, total = TaskContext.get().partitionId(), 0
         for batch in batches:
             n = batch.column("n_tokens").to_numpy()
-            roots = [merkle_root(x) for x in batch.column("digests").to_pylist()]
-            out = [*batch.columns, pa.array(roots, pa.binary())]
-            if with_part:
-                out += [pa.array(np.full(len(n), part, np.int32)), pa.array(total + np.cumsum(n) - n)]
+            roots = pa.array([merkle_root(x) for x in batch.column("digests").to_pylist()], pa.binary())
+            if writing:
+                out, names = [roots, pa.array(np.full(len(n), part, np.int32)), pa.array(total + np.cumsum(n) - n)], ["root", "part", "local_start"]
                 total += int(n.sum())
-            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names, "root" if with_part else "found_root", *(["part", "local_start"] if with_part else [])])
-
-    extra = ", root binary, part int, local_start long" if with_part else ", found_root binary"
+            else:
+                lists = batch.column("lengths")
+                size, offsets = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                upto = np.concatenate([[0], np.cumsum(size)])
+                behind = 4 * (np.repeat(n + upto[offsets[:-1]], np.diff(offsets)) - upto[1:])
+                out, names = [roots, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(behind))], ["found_root", "behind"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, *names])
+
+    extra = ", root binary, part int, local_start long" if writing else ", found_root binary, behind array<long>"
     return df.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in df.dtypes) + extra)
 
 
@@ -159,7 +171,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     each = staged.select(F.explode("chunks").alias("c")).select("c.digest", "c.width", "c.ids")
     each.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     slim = staged.select("doc_id", "row", "n_tokens", F.col("chunks.digest").alias("digests"), F.col("chunks.n").alias("lengths"))
-    placed = _roots(in_id_order(slim, ["doc_id", "row"]), with_part=True).drop("row")
+    placed = _roots(in_id_order(slim, ["doc_id", "row"]), writing=True).drop("row")
     recipes = f"{path}/recipes-local"
     placed.write.parquet(recipes)
     placed = spark.read.schema(placed.schema).parquet(recipes)
@@ -173,7 +185,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 
 def _manifest(recipes: DataFrame) -> DataFrame:
     """Per partition a digest over its documents' roots in order: roots of bounded runs, then over the runs."""
-    runs = recipes.groupBy("part", F.expr("start div 1048576").alias("run")).agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("start", F.hex("root").alias("root")))), lambda x: x["root"])), 256).alias("root"))
+    runs = recipes.groupBy("part", F.expr("start div 65536").alias("run")).agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("start", F.hex("root").alias("root")))), lambda x: x["root"])), 256).alias("root"))
     return runs.groupBy("part").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("run", "root"))), lambda x: x["root"])), 256).alias("root"))
 
 
@@ -182,7 +194,14 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            bodies = list(map(wide, batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            data, width = batch.column(1), batch.column(2).to_numpy()
+            if len(width) and (width == 2).all():  # all at once
+                offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(width) + 1]
+                ids = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+                whole, at = (b"" if len(ids) % 2 else wide(ids.tobytes(), 2)), (2 * (offsets - offsets[0])).tolist()
+                bodies = [whole[a:b] for a, b in zip(at, at[1:])]
+            else:
+                bodies = list(map(wide, data.to_pylist(), width.tolist()))
             for d, b in zip(batch.column(0).to_pylist(), bodies):
                 if hashlib.sha256(b).digest() != d:
                     raise ValueError(f"chunk {d.hex()} does not match its digest")
@@ -196,14 +215,14 @@ def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
     found, stored = _manifest(recipes), spark.read.parquet(f"{path}/manifest")
     if not (found.exceptAll(stored).isEmpty() and stored.exceptAll(found).isEmpty()):
         raise ValueError("recipes do not match the manifest")
-    found = _roots(recipes.select("doc_id", "start", "n_tokens", "digests", "lengths", "root"), with_part=False)
+    found = _roots(recipes.select("doc_id", "start", "n_tokens", "digests", "lengths", "root"), writing=False)
     return found.withColumn("root", F.when(F.col("root") == F.col("found_root"), F.col("root")).otherwise(F.raise_error(F.lit("a recipe does not match its Merkle root")))).drop("found_root")
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from verified files."""
-    behind = F.expr("transform(lengths, (x, k) -> named_struct('digest', digests[k], 'behind', 4 * (n_tokens - aggregate(slice(lengths, 1, k + 1), 0L, (a, y) -> a + y))))")
-    parts = verified_recipes(spark, path).where(F.col("root").isNotNull()).select("doc_id", "start", "n_tokens", F.explode(behind).alias("p")).select("doc_id", "start", "n_tokens", "p.*")
+    each = F.explode(F.arrays_zip("digests", "behind"))
+    parts = verified_recipes(spark, path).where(F.col("root").isNotNull()).select("doc_id", "start", "n_tokens", each.alias("p")).select("doc_id", "start", "n_tokens", F.col("p.digests").alias("digest"), "p.behind")
 
     def shares(batches):
         for batch in batches:
