@@ -303,3 +303,55 @@ def test_cli(memory, capsys):
     for args in (["list", "u"], ["recall", "u", "abc"], ["list-users"], ["stats"], ["forget", "u", "--yes"]):
         assert cli.run(cli.parser().parse_args(["--path", "x", *args]), memory, out=sys.stdout) == 0
     assert "abc" in capsys.readouterr().out
+
+
+def _opposite(a, b):
+    """Whether two texts share a key word and say the opposite, by plain loops."""
+    from quarrywell.functions.text import NEGATIONS, OPPOSITES, PREPOSITIONS, PUNCTUATION
+
+    def keys(words):
+        out, before = set(), None  # before: whether the word before was taken as a preposition
+        for w in words:
+            taken = before is False and w in PREPOSITIONS
+            if taken or len(w.strip(PUNCTUATION)) > 2:
+                out.add(w.strip(PUNCTUATION))
+            before = taken
+        return out
+
+    x, y = a.lower().split(), b.lower().split()
+    if not keys(x) & keys(y):
+        return False
+    negated = [any(w in NEGATIONS for w in t) for t in (x, y)]
+    return negated[0] != negated[1] or any((p in x and n in y) or (n in x and p in y) for p, n in OPPOSITES)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_fold_of_many_writes_by_brute_force(spark):
+    from quarrywell.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    stores, expected = {}, {}
+    rows = sorted((r.asDict() for r in queries.mem(spark, sf).collect()), key=lambda r: r["seq"])
+    ncos = lambda a, b: (float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))) + 1) / 2
+    for r in rows:
+        r["v"] = np.array(r["embedding"], float)
+        if r["seq"] % 2 == 0 and r["lifecycle_state"] != "deleted":
+            stores.setdefault(r["user_id"], []).append(r)
+    for r in (r for r in rows if r["seq"] % 2):
+        store = stores.setdefault(r["user_id"], [])
+        near = [ncos(r["v"], o["v"]) for o in store]
+        same = next((o for o, n in zip(store, near) if n > 0.62 and not _opposite(r["content"], o["content"])), None)
+        if same is not None:
+            same["content"] = r["content"]
+        else:
+            if any(0.55 < n < 0.62 for n in near):
+                r["metadata"] = json.dumps(json.loads(r["metadata"]) | {"conflict_flagged": True})
+            store.append(r)
+            same = r
+        expected[same["memory_id"]] = same
+    got = {r["memory_id"]: r for r in queries.QUERIES["q45_remember_many"](spark, sf).collect()}
+    assert set(got) == set(expected) and any("conflict_flagged" in r["metadata"] for r in got.values())
+    for k, r in got.items():
+        e = expected[k]
+        assert (r["user_id"], r["content"], r["lifecycle_state"], r["seq"]) == (e["user_id"], e["content"], e["lifecycle_state"], e["seq"])
+        assert json.loads(r["metadata"]) == json.loads(e["metadata"])
