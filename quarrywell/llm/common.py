@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -52,10 +53,12 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files behind a table that ``written`` made."""
-    for p in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        forget(df.sparkSession, p)
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files under ``fresh_path`` that these tables read, once what needs them is written.  Other files stay."""
+    for df in tables:
+        for p in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if re.search(r"/quarrywell/[a-z_-]+-[0-9a-f]{32}$", p):
+                forget(df.sparkSession, p)
 
 
 def text_runs(batch, column: int, most: int = 1 << 22):

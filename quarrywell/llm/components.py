@@ -20,14 +20,18 @@ ROUNDS = 60  # far above what log-like convergence needs; more is an error, not
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    out = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+    dropped(least)
+    return out
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    """Edges have u > v."""
+    """Edges have u > v; the result is contracted."""
     least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+    out = written(_contracted(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()), "edges")
+    dropped(least)
+    return out
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -57,16 +61,18 @@ def _contracted(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """u, v of undirected edges -> node, component (the smallest node reachable), for nodes with edges."""
+    """u, v of undirected edges -> node, component (the smallest node reachable), for nodes with edges; a written table."""
     now = written(_contracted(edges.where("u <> v")), "edges")
     before = None
     for _ in range(ROUNDS):
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == before:
             break
-        before, last = mark, now
-        now = written(_contracted(_small(written(_large(now), "edges"))), "edges")
-        dropped(last)
+        before, last, wide = mark, now, _large(now)
+        now = _small(wide)
+        dropped(last, wide)
     else:
         raise RuntimeError("components did not converge")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "labels")
+    dropped(now)
+    return out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrywell.llm.common import table, written
+from quarrywell.llm.common import dropped, table, written
 from quarrywell.llm.components import components
 
 COSINE, AXES, BLOCK, FAN = 0.9, 8, 2048, 8
@@ -99,13 +99,14 @@ def directions(classes: DataFrame, axes: int = AXES) -> dict[int, np.ndarray]:
 
     found = classes.select("dim", "v").mapInArrow(moments, "dim int, m binary")
     parts = classes.rdd.getNumPartitions()
-    while True:
-        found = written(found, "moments")
-        if parts == 1:
-            break
-        parts = -(-parts // FAN)
-        found = found.repartition(parts).mapInArrow(added, "dim int, m binary")
-    return {r["dim"]: np.linalg.eigh(np.frombuffer(r["m"], "<f8").reshape(r["dim"], -1))[1][:, ::-1][:, :axes] for r in found.collect()}  # one row for each length
+    found = written(found, "moments")
+    while parts > 1:
+        parts, last = -(-parts // FAN), found
+        found = written(last.repartition(parts).mapInArrow(added, "dim int, m binary"), "moments")
+        dropped(last)
+    out = {r["dim"]: np.linalg.eigh(np.frombuffer(r["m"], "<f8").reshape(r["dim"], -1))[1][:, ::-1][:, :axes] for r in found.collect()}  # one row for each length
+    dropped(found)
+    return out
 
 
 def _blocks(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float) -> DataFrame:
@@ -150,7 +151,10 @@ def _blocks(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float) ->
     names = ["dim", *(f"c{k}" for k in range(AXES)), "cid"]
     placed = written(classes.select("cid", "n", "dim", "v").mapInArrow(project, "cid long, n long, dim int, v binary, " + ", ".join(f"c{k} int" for k in range(AXES))), "cells")
     parts = int(max(1, min(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), placed.count() // BLOCK)))
-    return placed.repartitionByRange(parts, *names).sortWithinPartitions(*names).mapInArrow(cut, "part int, nth int, dim int, lo array<double>, hi array<double>, cids array<long>, counts array<long>, vs binary")
+    out = placed.repartitionByRange(parts, *names).sortWithinPartitions(*names).mapInArrow(cut, "part int, nth int, dim int, lo array<double>, hi array<double>, cids array<long>, counts array<long>, vs binary")
+    out = written(out, "blocks")
+    dropped(placed)
+    return out
 
 
 def _block_pairs(boxes: DataFrame, n_blocks: int, epsilon: float) -> DataFrame:
@@ -169,7 +173,8 @@ def _block_pairs(boxes: DataFrame, n_blocks: int, epsilon: float) -> DataFrame:
         split = split.select((F.col("a0") + F.col("i")).alias("a"), (F.col("b0") + F.col("j")).alias("b")).where("a <= b")
         gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"a_lo{k}") - F.col(f"b_hi{k}"), F.col(f"b_lo{k}") - F.col(f"a_hi{k}")), F.lit(2.0)) for k in range(AXES)), F.lit(0.0))
         near = (gap <= epsilon * epsilon + _SLACK) & (F.col("a_d0") <= F.col("b_d1")) & (F.col("b_d0") <= F.col("a_d1"))
-        pairs = written(split.join(named("a"), "a").join(named("b"), "b").where(near).select("a", "b"), "block-pairs")
+        last, pairs = pairs, written(split.join(named("a"), "a").join(named("b"), "b").where(near).select("a", "b"), "block-pairs")
+        dropped(last)
     return pairs
 
 
@@ -222,17 +227,20 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     epsilon = (2 - 2 * cosine) ** 0.5
     marked = written(classes_of(rows), "vectors")
     classes = written(marked.where("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("n"), F.min("vec_id").alias("member"), F.first("dim").alias("dim"), F.first("v").alias("v")), "vector-classes")
-    cut = written(_blocks(classes, directions(classes), epsilon), "blocks")
+    cut = _blocks(classes, directions(classes), epsilon)
     # One short row for each block is numbered in sequence.
     order = cut.select("part", "nth", (F.row_number().over(Window.orderBy("part", "nth")) - 1).cast("long").alias("seq"))
     blocks = written(cut.join(order, ["part", "nth"]), "blocks")
+    dropped(cut)
     pairs = _block_pairs(blocks.select("seq", "dim", "lo", "hi"), blocks.count(), epsilon)
     found = written(_compared(pairs, blocks, cosine), "vector-links")
+    dropped(blocks, pairs)
     sums = found.groupBy("cid").agg(F.sum("n").alias("n_links"))
-    labels = written(components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")).where("u <> v")), "labels")
+    labels = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")).where("u <> v"))
     named = classes.select("cid", "n", "member").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     name = written(named.groupBy("component").agg(F.min("member").alias("component_id")), "names")
     by_class = written(named.join(name, "component").join(sums, "cid", "left").select("cid", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "classes-named")
+    dropped(classes, found, labels, name)
     out = marked.select("vec_id", "cid").join(by_class, "cid", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

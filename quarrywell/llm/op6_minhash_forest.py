@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrywell.llm.common import table, written
+from quarrywell.llm.common import dropped, table, written
 from quarrywell.llm.components import components
 from quarrywell.llm.wordhash import Words, by_bytes, mixed
 
@@ -187,7 +187,9 @@ def candidates(classes: DataFrame) -> DataFrame:
     # The ends of the ranges: 2 * SMALL rows of each at most.
     edges = found.where("tree IS NOT NULL").select("tree", "prefix", "rest", F.col("u").alias("cid"), "part").distinct()
     edges = edges.repartition(1).sortWithinPartitions(*places, "part").mapInArrow(across, "u long, v long")
-    return inner.unionByName(edges).where("u <> v").groupBy("u", "v").agg(F.count("*").alias("n"))
+    out = written(inner.unionByName(edges).where("u <> v").groupBy("u", "v").agg(F.count("*").alias("n")), "candidates")
+    dropped(found)
+    return out
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -285,20 +287,25 @@ def _dense(classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
                             v.append(row["cid"][j])
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return pairs.mapInArrow(run, "u long, v long")
+    out = written(pairs.mapInArrow(run, "u long, v long"), "dense-links")
+    dropped(placed, mixed_, blocked, blocks)
+    return out
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links: the components found so far are the nodes that the new links join."""
+    """Components after more links: the components found so far are the nodes that the new links join.  Both tables go."""
     if links.isEmpty():
+        dropped(links)
         return labels
     a = labels.select(F.col("node").alias("u"), F.col("component").alias("cu"))
     b = labels.select(F.col("node").alias("v"), F.col("component").alias("cv"))
     over = links.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    new = written(components(over), "labels").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    new = components(over).select(F.col("node").alias("component"), F.col("component").alias("to"))
     moved = labels.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     alone = new.select(F.col("component").alias("node"), F.col("to").alias("component")).join(labels.select("node"), "node", "left_anti")
-    return written(moved.unionByName(alone), "labels")
+    out = written(moved.unionByName(alone), "labels")
+    dropped(labels, links, new)
+    return out
 
 
 def _settled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -308,9 +315,14 @@ def _settled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # Ties go by a hash of the pair, so that no class is everyone's partner.
     best = both.groupBy("x").agg(F.max_by(F.struct("u", "v"), F.struct("n", F.xxhash64("u", "v"))).alias("p")).select("p.*").distinct()
     best = written(best, "best-pairs")
-    labels = written(components(written(_confirmed(best, sets, percent), "links")), "labels")
+    links = written(_confirmed(best, sets, percent), "links")
+    labels = components(links)
     rest = written(_across(pairs.join(best, ["u", "v"], "left_anti"), labels), "rest-pairs")
-    return labels if rest.isEmpty() else _merged(labels, written(_confirmed(rest, sets, percent), "links"))
+    dropped(links, best)
+    if not rest.isEmpty():
+        labels = _merged(labels, written(_confirmed(rest, sets, percent), "links"))
+    dropped(rest)
+    return labels
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -319,14 +331,17 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     member = F.min_by(F.struct("doc_id", "text_key"), F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), "text_key"))
     classes = marked.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least"), member.alias("m"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     classes = written(classes.select("cid", F.col("least").alias("member"), F.col("m.text_key").alias("member_key"), "sig", "n_shingles"), "classes")
-    pairs = written(candidates(classes), "candidates")
+    pairs = candidates(classes)
     involved = written(pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct().join(classes, "cid"), "involved")
     sets = written(_sets(docs, involved.select("cid", "member", "member_key"), words), "shingles")
     labels = _settled(pairs, sets, percent)
-    labels = _merged(labels, written(_dense(involved, labels, sets, percent), "dense-links"))
+    dropped(pairs)
+    labels = _merged(labels, _dense(involved, labels, sets, percent))
+    dropped(involved, sets)
     named = classes.select("cid", "member").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    name = named.groupBy("component").agg(F.min("member").alias("component_id"))
-    by_class = written(named.join(written(name, "names"), "component").select("cid", "component_id"), "classes-named")
+    name = written(named.groupBy("component").agg(F.min("member").alias("component_id")), "names")
+    by_class = written(named.join(name, "component").select("cid", "component_id"), "classes-named")
+    dropped(classes, labels, name)
     out = marked.select("doc_id", "text_key", "n_shingles", "cid").join(by_class, "cid", "left")
     return out.select("doc_id", "text_key", "n_shingles", "cid", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -342,8 +357,10 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     and rows without shingles stay."""
     groups = near_groups(docs, percent, words)
     lost = groups.where("cid IS NOT NULL").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("qw_id"), F.col("text_key").alias("qw_key")).distinct()
+    lost = written(lost, "lost")
+    dropped(groups)
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("qw_id")) & (_text_key() == F.col("qw_key"))
-    return docs.join(written(lost, "dropped"), own, "left_anti")
+    return docs.join(lost, own, "left_anti")
 
 
 def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

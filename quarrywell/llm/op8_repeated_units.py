@@ -188,13 +188,15 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     whole = units.where((F.col("kind") == WHOLE) & (F.col("n") >= PASSAGE_WORDS)).select("key", "th", F.col("b").alias("other"), "n")
     copied = whole.groupBy("th", "other").agg(F.min("key").alias("by"), F.max("key").alias("last")).where("by < last").select("th", "other", "by")
-    copies = written(whole.join(written(copied, "equal-texts"), ["th", "other"]).where("key > by").select("key", "th", F.lit(0).alias("pos"), "n", "by").distinct(), "copies")
+    copied = written(copied, "equal-texts")
+    copies = written(whole.join(copied, ["th", "other"]).where("key > by").select("key", "th", F.lit(0).alias("pos"), "n", "by").distinct(), "copies")
 
     prints = units.where(F.col("kind") == PRINT).select("key", "th", F.col("a").alias("print"), (F.col("n") > 0).alias("twice"))
     shared = prints.groupBy("print").agg(F.min("key").alias("by"), F.max("key").alias("last"), F.max("twice").alias("own")).where("by < last OR own").select("print")
-    marked = prints.join(written(shared, "shared-prints"), "print").groupBy("key", "th").agg(F.collect_set("print").alias("prints"), F.max("twice").alias("own"))
+    shared = written(shared, "shared-prints")
+    marked = prints.join(shared, "print").groupBy("key", "th").agg(F.collect_set("print").alias("prints"), F.max("twice").alias("own"))
     marked = written(marked.join(copies.select("key", "th"), ["key", "th"], "left_anti"), "marked")
-    dropped(units)
+    dropped(units, copied, shared)
     near = written(_passages(docs, marked), "passages")
     held = near.where("hash IS NOT NULL").groupBy("hash").agg(F.min("key").alias("by"), F.max("key").alias("last")).where("by < last").select("hash", "by")
     held = written(held, "first-passages")
@@ -207,8 +209,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     by_line = gone.groupBy("key", "th").agg(F.collect_set(unit).alias("lines"))
     by_span = spans.unionByName(copies).groupBy("key", "th").agg(F.collect_set(unit).alias("passages"))
     out = written(by_line.join(by_span, ["key", "th"], "full"), "repeats")
-    for done in (first, gone, marked, held, spans, copies):
-        dropped(done)
+    dropped(first, gone, marked, held, spans, copies)
     return out
 
 

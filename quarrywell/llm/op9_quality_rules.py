@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrywell.llm.common import table, written
+from quarrywell.llm.common import dropped, table, written
 
 BINS, RULES, CONDITIONS, PRECISION, FLOOR, SUPPORT = 24, 8, 4, 0.97, 0.85, 20
 WHITE = " \t\n\x0b\x0c\r"
@@ -89,16 +89,18 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     by_id = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("quality") == 0, 0).otherwise(1)).alias("good"))
     names = [f"r_{n}" for n in RATES]
     rows = stats.select("doc_id", *names).join(by_id, "doc_id")
-    rows = written(rows.select(*names, "bad", "good", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2).alias("grow")), "labelled")
+    labelled = written(rows.select(*names, "bad", "good", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2).alias("grow")), "labelled")
     points = [k / BINS for k in range(1, BINS)]
-    found = rows.agg(*(F.percentile_approx(n, F.array(*map(F.lit, points)), F.lit(10_000)).alias(n) for n in names)).first()
+    found = labelled.agg(*(F.percentile_approx(n, F.array(*map(F.lit, points)), F.lit(10_000)).alias(n) for n in names)).first()
     cuts = {n: sorted(set(found[n] or [])) for n in names}
     if not any(cuts.values()):
+        dropped(labelled)
         return []
     # How many cuts lie below a value, by a short expression: a condition for each cut would be a method too long to compile well.
     below = lambda n: F.size(F.filter(F.array(*map(F.lit, cuts[n])).cast("array<double>"), lambda v: F.col(n) > v))
     bins = F.array(*(F.struct(F.lit(k).alias("f"), below(n).alias("b")) for k, n in enumerate(names)))
-    rows = written(rows.withColumn("bins", bins), "binned")
+    rows = written(labelled.withColumn("bins", bins), "binned")
+    dropped(labelled)
     rules: list[list[Condition]] = []
     left = F.lit(True)
     while len(rules) < RULES:
@@ -124,6 +126,7 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
             break
         rules.append(rule[:size])
         left = left & ~_all(rules[-1])
+    dropped(rows)
     return rules
 
 
