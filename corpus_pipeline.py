@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrywell.llm import op1_secrets, op6_minhash_forest, op7_packing, op8_repeated_units, op9_quality_rules
-from quarrywell.llm.common import table, written
+from quarrywell.llm.common import dropped, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        out = stage(spark, docs, sf_dir)
+        docs = written(out, f"pipeline-{name}")
+        dropped(out)
     return docs
