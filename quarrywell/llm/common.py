@@ -11,7 +11,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes after which a batch from the JVM to Python ends.  Spark's own 64 MB, held several times over on both sides of each
+#: task, is much for rows of long texts or whole blocks.
+BATCH_BYTES = 4 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Set the session's limit on the bytes of an Arrow batch, unless it has one."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
+    short_batches(spark)
     return f"{shared_dir(spark)}/quarrywell/{kind}-{uuid.uuid4().hex}"
 
 
