@@ -11,7 +11,7 @@ import numpy as np
 
 from quarrywell.llm.common import text_runs
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _STEPS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
