@@ -4,8 +4,10 @@ very long texts, ties, repeated rows, empty tables, and extra columns whose name
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import io
+import itertools
 import random
 import re
 import zipfile
@@ -114,6 +116,47 @@ def test_op1_offsets_are_code_points(spark):
     assert got == {k: named(base_spans(t)) for k, t in ((1, "😀é token=abcdefg" + " 😀 secret: abc-def.1"), (2, "token=token=abcdefgh"))}
 
 
+def test_op1_many_matches_in_one_text(spark):
+    """Every kind thousands of times in one text: spans, and the masked text, by a plain loop; work grows with the matches."""
+    r = random.Random(3)
+    one = lambda k: r.choice([f"password=abcdefgh{k}", "%030x" % r.getrandbits(120), "é 😀 word", "token: short", "AKIA" + "ABCD1234" * 2, "X_" * 12 + str(k), "secret=" + "AKIA" + "Q" * 20])
+    text = " ".join(one(k) for k in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, "x" * 4096 + " token=abcdefg" + "y" * 8192), (3, "token=abcdefg")], "doc_id long, text string")
+    ratios = [1.0] * (o1.STATES + 1) ** 2  # every run is random
+    got, masked = {r["doc_id"]: r["spans"] for r in o1.scan(df, ratios).collect()}, {r["doc_id"]: r["text"] for r in o1.redacted(df, ratios).collect()}
+    for k, t in ((r["doc_id"], r["text"]) for r in df.collect()):
+        base = base_spans(t)
+        starts = [s for s, _, _ in base]
+        reach = list(itertools.accumulate((e for _, _, e in base), max))
+        free = lambda m: (n := bisect.bisect_left(starts, m.end())) == 0 or reach[n - 1] <= m.start()  # noqa: B023, E731
+        spans = sorted(base + [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t) if free(m)])
+        assert got[k] == named(spans)
+        out, at = [], 0
+        for s, _, e in spans:
+            if s >= at:
+                out += [t[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert masked[k] == "".join(out) + t[at:]
+
+
+def test_op1_samples_are_the_styles(spark):
+    """Pairs that are worked out from a word's features are those of its styles, character by character."""
+    words = {"ab": 3, "Ab": 1, "Hello": 2, "zzz": 1, "QX": 5}
+    docs = spark.createDataFrame([(1, " ".join(w for w, n in words.items() for _ in range(n)) + " a 9")], "doc_id long, text string")
+    number = {r["w"]: r["n"] for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "pmod(xxhash64(w), 100) AS n").collect()}
+    want = Counter()
+    for w, n in words.items():
+        low = w.lower()
+        for v in (w, f"{low}_{low}_{low}", f"{w}-{w}", low + 2 * low.capitalize(), f"{w}/{w}", f"{w}_{w}".upper(), f"{w}{number[w]}"):
+            x = [0, *(o1.ALPHABET.index(c) + 1 for c in v)]
+            for a, b in zip(x, x[1:]):
+                want[a * 256 + b] += n
+    got = Counter()
+    for r in o1.training_samples(docs).where("label = 'ordinary'").collect():
+        got[r["pair"]] += r["n"]
+    assert +got == want
+
+
 # 2, 4, 5, 7
 
 
