@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarrywell.embedding import HashEmbedder
 from quarrywell.functions import text
 from quarrywell.operators import dedup, lifecycle, recall, stats
+from quarrywell.operators.recall import PREFIX
 from quarrywell.schema import ACTIVE, RECORD, STATES, USER_STATED, Config
 from quarrywell.sources import folders
 from quarrywell.sources.stores import next_seq
@@ -40,9 +41,10 @@ class Memory:
         self.now = now or (lambda: datetime.now(timezone.utc))
 
     def _held(self, rows: DataFrame, name: str) -> DataFrame:
-        """The rows as files beside the table, so that ids and vectors are made once."""
-        path = f"{self.path.rstrip('/')}/staged/{name}" if self.path else folders.shared_path(self.spark, name)
-        rows.write.mode("overwrite").parquet(path)
+        """The rows as files of the table, so that ids and vectors are made once; what a failure leaves goes with the next write."""
+        staged = getattr(self.table, "staged", None)
+        path = staged(name) if staged else folders.shared_path(self.spark, name)
+        rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def _stamp(self) -> F.Column:
@@ -62,7 +64,7 @@ class Memory:
             "embedding": self.embed.column(F.col("content")), "embedding_dim": F.lit(self.embed.dimension()), "created_at": self._stamp(), "last_accessed_at": self._stamp(), "source": F.lit(source),
             "importance": F.lit(max(0.0, min(1.0, float(importance)))), "lifecycle_state": F.lit(ACTIVE), "metadata": F.lit(json.dumps(metadata or {})), "tags": F.array(*map(F.lit, tags or [])).cast("array<string>"),
         })
-        return self._held(made.select([F.col(f.name).cast(f.dataType) for f in RECORD.fields]), f"new-{uuid.uuid4().hex}")
+        return self._held(made.select([F.col(f.name).cast(f.dataType) for f in RECORD.fields]), "new")
 
     def remember(self, user_id: str, content: str, importance: float | None = None, source: str = USER_STATED, metadata: dict | None = None, sanitize_input: bool = False, tags=None) -> str:
         return self.remember_many(user_id, [content], importance, source, metadata, sanitize_input, tags)[0]
@@ -73,8 +75,7 @@ class Memory:
         if not contents:
             return []
         rows = self._rows(user_id, contents, self.config.default_importance if importance is None else importance, source, metadata, sanitize_input, tags)
-        name = f"folded-{uuid.uuid4().hex}"
-        out = self._held(dedup.folded(rows, self.table.get_all_by_user(user_id, list(STATES)), self.now().astimezone(timezone.utc).replace(tzinfo=None), self.config.dedup_threshold, self.config.conflict_threshold), name)
+        out = self._held(dedup.folded(rows, self.table.get_all_by_user(user_id, list(STATES)), self.now().astimezone(timezone.utc).replace(tzinfo=None), self.config.dedup_threshold, self.config.conflict_threshold), "folded")
         self.table.store(out.drop("sources"))
         holder = {r["new"]: r["memory_id"] for r in out.select(F.explode("sources").alias("new"), "memory_id").collect()}  # ids of this batch
         ids = [holder[r["memory_id"]] for r in rows.select("memory_id", "seq").orderBy("seq").collect()]
@@ -129,7 +130,11 @@ class Memory:
         asked = queries.withColumn("embedding", self.embed.column(F.col("query")))
         limit = self.config.max_tokens_default if max_tokens is None else max_tokens
         hybrid = self.config.hybrid_search if hybrid_search is None else hybrid_search
-        return recall.recall_many(asked, self.table.get_all(), self._stamp(), top_k or self.config.default_top_k, limit, lifecycle_filter, hybrid, self.config.decay_half_life_hours, token_counter, self.embed.dimension())
+        return recall.recall_many(asked, self._rows_of(queries), self._stamp(), self.config.default_top_k if top_k is None else top_k, limit, lifecycle_filter, hybrid, self.config.decay_half_life_hours, token_counter, self.embed.dimension())
+
+    def _rows_of(self, queries: DataFrame) -> DataFrame:
+        """The rows of the users that ask, where the store can tell them apart without reading all."""
+        return self.table.of_users(queries) if hasattr(self.table, "of_users") else self.table.get_all()
 
     def recall(self, user_id: str, query: str, top_k: int | None = None, **kwargs) -> DataFrame:
         _given(user_id=user_id, query=query)
@@ -137,16 +142,18 @@ class Memory:
             raise ValueError("top_k must be 1 or more")
         return self.recall_many(self.spark.createDataFrame([(0, user_id, query)], "query_id long, user_id string, query string"), top_k, **kwargs).orderBy("rank")
 
-    def recall_since(self, user_id: str, query: str, hours: float = 24, top_k: int | None = None, lifecycle_filter=None) -> DataFrame:
+    def recall_since(self, user_id: str, query: str, hours: float = 24, top_k: int | None = None, max_tokens: int | None = None, lifecycle_filter=None) -> DataFrame:
+        """The token budget is spent on what is recalled before the time is looked at."""
         _given(user_id=user_id, query=query)
         asked = self.spark.createDataFrame([(0, user_id, query)], "query_id long, user_id string, query string").withColumn("embedding", self.embed.column(F.col("query")))
-        return recall.recall_since(asked, self.table.get_all(), self._stamp(), hours, top_k or self.config.default_top_k, max_tokens=self.config.max_tokens_default, states=lifecycle_filter, hybrid=self.config.hybrid_search, half_life=self.config.decay_half_life_hours, dimension=self.embed.dimension()).orderBy("rank")
+        limit = self.config.max_tokens_default if max_tokens is None else max_tokens
+        return recall.recall_since(asked, self._rows_of(asked), self._stamp(), hours, self.config.default_top_k if top_k is None else top_k, max_tokens=limit, states=lifecycle_filter, hybrid=self.config.hybrid_search, half_life=self.config.decay_half_life_hours, dimension=self.embed.dimension()).orderBy("rank")
 
     def recall_by_tag(self, user_id: str, tag: str, lifecycle_filter=None) -> DataFrame:
         _given(user_id=user_id, tag=tag)
         return self.table.get_by_tag(user_id, tag, lifecycle_filter)
 
-    def context_block(self, user_id: str, query: str, top_k: int | None = None, max_tokens: int = 1500, prefix: str = "Relevant memories:") -> str:
+    def context_block(self, user_id: str, query: str, top_k: int | None = None, max_tokens: int = 1500, prefix: str = PREFIX) -> str:
         found = recall.context_blocks(self.recall(user_id, query, top_k, max_tokens=max_tokens), prefix).first()
         return found["block"] if found else ""
 

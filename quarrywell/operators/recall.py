@@ -17,6 +17,8 @@ from quarrywell.functions.vector import cosine, ncos, norm, semantic
 from quarrywell.schema import RECALLED
 
 OVERFETCH, LAMBDA = 3, 0.7
+#: Fixed value: the line above the memories of a context block.
+PREFIX = "Relevant context from memory:"
 
 
 def in_states(states: tuple[str, ...] | list[str] | None = None) -> Column:
@@ -46,29 +48,37 @@ def candidates(queries: DataFrame, memories: DataFrame, k: int, states=None, dim
     return joined.withColumn("sim", sim).withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).drop("q_norm", "m_norm")
 
 
-def keyword_scores(cand: DataFrame) -> DataFrame:
-    """query_id, memory_id, keyword: BM25 over each query's own candidates."""
-    a = cand.select("query_id", "memory_id", tokens("content").alias("d"), tokens("query").alias("q"))
+def with_keywords(cand: DataFrame) -> DataFrame:
+    """cand with ``keyword``: BM25 over each query's own candidates.  A window of over-fetched rows gathers how often each query word
+    stands in each of them, so candidates are worked out once."""
     own = Window.partitionBy("query_id")
-    a = a.withColumn("len", F.size("d").cast("double")).withColumns({"n_docs": F.count("*").over(own), "mean": F.avg("len").over(own)})
-    one = a.where("n_docs = 1").select("query_id", "memory_id", bm25_single(F.col("q"), F.col("d")).alias("keyword"))
-    terms = a.where("n_docs > 1").withColumn("term", F.explode_outer(F.array_distinct("q")))
-    count = lambda arr: F.coalesce(F.size(F.filter(arr, lambda x: x == F.col("term"))), F.lit(0)).cast("double")
-    terms = terms.select("query_id", "memory_id", "term", "len", "n_docs", "mean", count(F.col("q")).alias("times"), count(F.col("d")).alias("tf"))
-    df = F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).over(Window.partitionBy("query_id", "term"))
-    terms = terms.withColumn("df", F.col("times") * df)
-    share = F.when(F.col("tf") > 0, bm25_term(*(F.col(c) for c in ("times", "tf", "df", "n_docs", "len", "mean")))).otherwise(0.0)
-    return one.unionByName(terms.groupBy("query_id", "memory_id").agg(F.sum(share).alias("keyword")))
+    a = cand.withColumns({"qw_d": tokens("content"), "qw_q": tokens("query")}).withColumns({"qw_terms": F.array_distinct("qw_q"), "qw_len": F.size("qw_d").cast("double")})
+    a = a.withColumn("qw_tf", F.transform("qw_terms", lambda t: F.size(F.filter("qw_d", lambda x: x == t)).cast("double")))
+    a = a.withColumns({"qw_n": F.count("*").over(own), "qw_mean": F.avg("qw_len").over(own), "qw_all": F.collect_list("qw_tf").over(own)})
+
+    def share(t, i):
+        times, tf = F.size(F.filter("qw_q", lambda x: x == t)).cast("double"), F.col("qw_tf")[i]
+        df = times * F.size(F.filter("qw_all", lambda r: r[i] > 0))
+        return F.when(tf > 0, bm25_term(times, tf, df, F.col("qw_n"), F.col("qw_len"), F.col("qw_mean"))).otherwise(0.0)
+
+    over = F.aggregate(F.transform("qw_terms", share), F.lit(0.0), lambda s, x: s + x)
+    return a.withColumn("keyword", F.when(F.col("qw_n") == 1, bm25_single(F.col("qw_q"), F.col("qw_d"))).otherwise(over)).drop(*(f"qw_{c}" for c in ("d", "terms", "len", "tf", "n", "mean", "all")))
+
+
+def keyword_scores(cand: DataFrame) -> DataFrame:
+    """query_id, memory_id, keyword."""
+    return with_keywords(cand).select("query_id", "memory_id", "keyword")
 
 
 def rank(cand: DataFrame, now, hybrid: bool = True, half_life: float = HALF_LIFE_HOURS) -> DataFrame:
-    """Adds score and rank (ties by candidate position).  A blank query is scored without key words."""
+    """Adds score and rank (ties by candidate position).  Recency is that of the last access.  A blank query is scored without key
+    words."""
     now = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
-    s, r = semantic("q_emb", "embedding"), recency("created_at" if "scored_at" not in cand.columns else "scored_at", now, half_life)
+    s, r = semantic("q_emb", "embedding"), recency("last_accessed_at", now, half_life)
     classic = classic_score(s, r, F.col("importance"))
     if hybrid:
-        scored = cand.join(keyword_scores(cand), ["query_id", "memory_id"])
-        scored = scored.withColumn("score", F.when(F.size(tokens("query")) > 0, hybrid_score(s, r, F.col("keyword"))).otherwise(classic)).drop("keyword")
+        scored = with_keywords(cand)
+        scored = scored.withColumn("score", F.when(F.size("qw_q") > 0, hybrid_score(s, r, F.col("keyword"))).otherwise(classic)).drop("keyword", "qw_q")
     else:
         scored = cand.withColumn("score", classic)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")))
@@ -102,10 +112,11 @@ def mmr(ranked: DataFrame, k: int, lam: float = LAMBDA) -> DataFrame:
     """Re-ranks each query that has more than k rows to k diverse ones (k > 1); others stay."""
     if k <= 1:
         return ranked
-    items = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("pos"), "score", F.col("embedding").alias("v"))))
-    chosen = ranked.groupBy("query_id").agg(items.alias("items")).select("query_id", F.size("items").alias("n"), F.when(F.size("items") > k, mmr_positions(F.col("items"), k, lam)).otherwise(F.transform("items", lambda x: x["pos"])).alias("order"))
-    chosen = chosen.select("query_id", F.posexplode("order").alias("place", "rank"))
-    return ranked.join(chosen, ["query_id", "rank"]).withColumn("rank", (F.col("place") + 1).cast("int")).drop("place")
+    items = F.array_sort(F.collect_list(F.struct("rank", "score", F.struct(*ranked.columns).alias("row"))), lambda x, y: x["rank"] - y["rank"])
+    light = F.transform("items", lambda x: F.struct(x["rank"].alias("pos"), x["score"].alias("score"), x["row"]["embedding"].alias("v")))
+    order = F.when(F.size("items") > k, mmr_positions(light, k, lam)).otherwise(F.transform("items", lambda x: x["rank"]))
+    chosen = ranked.groupBy("query_id").agg(items.alias("items")).select(F.posexplode(F.transform(order, lambda p: F.element_at("items", p)["row"])).alias("place", "row"))
+    return chosen.select("row.*", (F.col("place") + 1).cast("int").alias("qw_place")).withColumn("rank", F.col("qw_place")).drop("qw_place")
 
 
 def counted_by(counter) -> Column:
@@ -146,7 +157,7 @@ def recall_since(queries: DataFrame, memories: DataFrame, now, hours: float = 24
     return recent.where(F.col("rank") <= top_k)
 
 
-def context_blocks(ranked: DataFrame, prefix: str = "Relevant memories:") -> DataFrame:
+def context_blocks(ranked: DataFrame, prefix: str = PREFIX) -> DataFrame:
     """query_id, block: the prefix and a line for each row, in rank order."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: F.concat(F.lit("- "), x["content"]))
     return ranked.groupBy("query_id").agg(F.concat_ws("\n", F.lit(prefix), rows).alias("block"))

@@ -20,7 +20,7 @@ from quarrywell.operators import chat, dedup, lifecycle, recall
 from quarrywell.operators import stats as counts
 from quarrywell.sources.folders import shared_path
 from quarrywell.sources.stores import CallbackStore
-from quarrywell.sources.table import MemoryTable, latest, upgrade_schema
+from quarrywell.sources.table import MemoryTable, bucket_of, latest, upgrade_schema
 
 NOW = "2024-02-15 00:00:00"
 QUERY = "the of and the ing"
@@ -103,7 +103,7 @@ def _ranked(k: int) -> str:
     df AS (SELECT query_id, term, sum(CASE WHEN tf > 0 THEN times ELSE 0 END) AS df FROM terms GROUP BY 1, 2),
     kw AS (SELECT terms.query_id, terms.memory_id, sum(CASE WHEN tf > 0 THEN times * ln((s.n + 1) / (df.df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * terms.len / s.mean)) ELSE 0 END) AS keyword
       FROM terms JOIN df USING (query_id, term) JOIN s USING (query_id) GROUP BY 1, 2),
-    ranked AS (SELECT c.*, kw.keyword, 0.6 * c.sim + 0.25 * ({_RECENCY.format("c.created_at")}) + 0.15 * kw.keyword AS score FROM cand c JOIN kw USING (query_id, memory_id)),
+    ranked AS (SELECT c.*, kw.keyword, 0.6 * c.sim + 0.25 * ({_RECENCY.format("c.last_accessed_at")}) + 0.15 * kw.keyword AS score FROM cand c JOIN kw USING (query_id, memory_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM ranked)"""
 
 
@@ -179,7 +179,7 @@ def q09_score_hybrid(spark, d):
     return recall.rank(recall.candidates(first_queries(m), m, 15), NOW).select("query_id", "memory_id", _r6("score").alias("score"))
 
 
-@query(_cand(15) + f" SELECT query_id, memory_id, round(0.5 * sim + 0.3 * ({_RECENCY.format('created_at')}) + 0.2 * greatest(0.0, least(1.0, importance)), 6) AS score FROM cand")
+@query(_cand(15) + f" SELECT query_id, memory_id, round(0.5 * sim + 0.3 * ({_RECENCY.format('last_accessed_at')}) + 0.2 * greatest(0.0, least(1.0, importance)), 6) AS score FROM cand")
 def q10_score_classic(spark, d):
     m = mem(spark, d)
     return recall.rank(recall.candidates(first_queries(m), m, 15), NOW, hybrid=False).select("query_id", "memory_id", _r6("score").alias("score"))
@@ -222,7 +222,7 @@ def q15_token_budget(spark, d):
     return recall.token_budget(recall.rank(recall.candidates(first_queries(m), m, 15), NOW), 1500).select("query_id", "memory_id", "rank")
 
 
-@query(_ranked(15) + " SELECT query_id, 'Relevant memories:' || chr(10) || string_agg('- ' || content, chr(10) ORDER BY rank) AS block FROM r GROUP BY query_id")
+@query(_ranked(15) + " SELECT query_id, 'Relevant context from memory:' || chr(10) || string_agg('- ' || content, chr(10) ORDER BY rank) AS block FROM r GROUP BY query_id")
 def q16_context_block(spark, d):
     m = mem(spark, d)
     return recall.context_blocks(recall.rank(recall.candidates(first_queries(m), m, 15), NOW))
@@ -468,7 +468,7 @@ def q41_import_antijoin(spark, d):
     return t.get_all().select("memory_id", "content")
 
 
-@query(MEM + " SELECT memory_id, user_id, content, 0.0::DOUBLE AS score, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS created_at, strftime(last_accessed_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS last_accessed_at, source, round(importance, 6) AS importance, lifecycle_state, len(embedding)::INT AS embedding_dim, round(embedding[1], 6) AS first_component, tags, metadata FROM mem")
+@query(MEM + " SELECT memory_id, user_id, content, 0.0::DOUBLE AS score, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS created_at, strftime(last_accessed_at, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS last_accessed_at, source, round(importance, 6) AS importance, lifecycle_state, len(embedding)::INT AS embedding_dim, round(embedding[1], 6) AS first_component, tags, metadata FROM mem")
 def q42_export_shape(spark, d):
     path = shared_path(spark, "export")
     stored(spark, d).export(path)
@@ -593,10 +593,10 @@ def q56_full_scan(spark, d):
 
 @query(MEM + " SELECT memory_id, user_id, [] :: VARCHAR[] AS tags, 2 AS version FROM mem")
 def q57_upgrade_stored(spark, d):
-    """Files of the first version, without tags, under a table of this one."""
+    """Files of the first version, without tags and without an index, under a table of this one."""
     t = MemoryTable(spark, shared_path(spark, "memories"))
-    old = mem(spark, d).drop("tags").withColumns({"version": F.lit(1).cast("long"), "user_bucket": F.lit(0)})
-    old.write.partitionBy("user_bucket").parquet(f"{t.path}/log")
+    old = mem(spark, d).drop("tags").withColumns({"version": F.lit(1).cast("long"), "user_bucket": bucket_of(F.col("user_id"))})
+    old.write.partitionBy("user_bucket").parquet(f"{t.path}/log/write=1")
     t.upgrade_schema(1, 1)
     return t.get_all().select("memory_id", "user_id", "tags", F.lit(t.upgrade()).alias("version"))
 

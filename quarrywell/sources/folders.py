@@ -50,6 +50,21 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def remove_but_last(spark: SparkSession, path: str) -> None:
+    """Keep only the last file of a folder, by name."""
+    for name in names_in(spark, path)[:-1]:
+        remove(spark, f"{path}/{name}")
+
+
+def put_over(spark: SparkSession, temp: str, path: str) -> None:
+    """Move a finished file to path, in place of what is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, p = at(spark, path)
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(at(spark, temp)[1], p, how)
+
+
 def text_of(spark: SparkSession, path: str) -> str:
     fs, p = at(spark, path)
     stream = fs.open(p)

@@ -39,7 +39,7 @@ def test_remember_recall_forget(memory):
     rows = {r["memory_id"]: r for r in memory.table.get_all().collect()}
     assert rows[a]["content"] == "pasta pizza" and rows[a]["tags"] == [] and rows[b]["importance"] == 1.0
     assert memory.recall("u", "pizza").first()["memory_id"] == a
-    assert memory.context_block("u", "pizza", 1) == "Relevant memories:\n- pasta pizza"
+    assert memory.context_block("u", "pizza", 1) == "Relevant context from memory:\n- pasta pizza"
     assert memory.context_block("nobody", "pizza") == ""
     assert memory.stats("u")["total"] == 2 and memory.stats("x")["total"] == 0 and memory.stats("x")["avg_importance"] == 0
     assert memory.list_users() == ["u"]
@@ -144,6 +144,7 @@ def test_a_crash_loses_nothing(memory, monkeypatch):
             with pytest.raises(RuntimeError):
                 f()
             assert sorted(r["memory_id"] for r in memory.table.get_all().collect()) == before
+    memory.table.clean()  # what the failures left
     with monkeypatch.context() as m:
         m.setattr(folders, "remove", lambda *_: (_ for _ in ()).throw(RuntimeError("power cut")))
         with pytest.raises(RuntimeError):
