@@ -3,8 +3,9 @@
 Each Arrow batch is cut into runs of about equal bytes, and long texts at places that no token crosses (before a
 run of spaces or a line end, see ``wordsplit.piece_starts``).  A sentencepiece model whose pieces hold the space
 mark only at their front, with an identity normaliser, gives a unit the same pieces alone as in its text, so
-distinct units are counted once each; any other model, and any text outside the class tables, goes to the
-library whole.
+distinct units are counted once each.  A text outside the class tables goes to the library in pieces of about
+``PIECE`` bytes, cut before a run of spaces or a line end, which is as safe in any script; only a text that holds the space
+mark itself or a null character goes whole, as does any text where the model's pieces may cross units.
 
 Defined results: null and empty texts have no tokens and no bytes; equal rows are all counted; a null id is
 kept; an empty table gives an empty result; other columns are ignored.
@@ -12,6 +13,8 @@ kept; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +26,7 @@ from quarrywell.llm.encoders import encoder, path_of
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 MARK = "▁"
+PIECE = 1 << 16
 
 
 class PieceCounter:
@@ -62,7 +66,7 @@ class PieceCounter:
             odd = ws.odd_texts(part, marker=MARK.encode()) if self.by_units else [True] * len(part)
             whole = [k for k, o in enumerate(odd) if o]
             if whole:
-                out[[a + k for k in whole]] = [len(x) for x in self.lib.encode([part[k].decode() for k in whole], num_threads=1)]
+                out[[a + k for k in whole]] = self._by_library([part[k] for k in whole])
             run = [k for k, o in enumerate(odd) if not o and part[k]]
             if not run:
                 continue
@@ -72,6 +76,24 @@ class PieceCounter:
                 out[[a + k for k in run]] = self._units([part[k] for k in run], True)
         return size, out
 
+    def _by_library(self, data: list[bytes]) -> list[int]:
+        """Of texts that no class table tells the units of: long ones in pieces."""
+        out = [0] * len(data)
+        long = {k for k, t in enumerate(data) if self.by_units and len(t) > PIECE and MARK.encode() not in t and b"\0" not in t}
+        short = [k for k in range(len(data)) if k not in long]
+        for k, ids in zip(short, self.lib.encode([data[k].decode() for k in short], num_threads=1)):
+            out[k] = len(ids)
+        for k in long:
+            for piece in cut(b" " + data[k]):
+                out[k] += self._count_of(piece)
+        return out
+
+    def _count_of(self, unit: bytes) -> int:
+        """As in ``_new``, of one unit or several."""
+        if unit == b" ":
+            return 1
+        return len(self.lib.encode((unit[1:] if unit[:1] == b" " else unit).decode())) - (unit[:1] == b"\n")
+
     def _units(self, data: list[bytes], at_start: bool) -> np.ndarray:
         """At the start of a text the library adds a space mark: the text then begins as if with a space."""
         if at_start:
@@ -89,6 +111,19 @@ class PieceCounter:
         return np.bincount(units.doc, weights=each[units.kind], minlength=len(data)).astype(np.int64)
 
 
+_CUT = re.compile(rb"\n|(?<! ) ")
+
+
+def cut(text: bytes, size: int | None = None):
+    """Pieces of ``size`` bytes or a little more; each but the first begins with a line end or a run of spaces."""
+    at, size = 0, size or PIECE
+    while at < len(text):
+        found = _CUT.search(text, at + size) if at + size < len(text) else None
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 _counters: dict[str, object] = {}
 
 

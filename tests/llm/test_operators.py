@@ -332,6 +332,30 @@ def test_op3_zip_reader(tmp_path, zip64):
     assert io.BytesIO  # the standard library's reader is the judge above
 
 
+def test_op5_odd_texts_in_pieces(spark, monkeypatch):
+    """Texts of any script are cut at safe places too, and counted as the library counts them whole."""
+    import sentencepiece
+
+    r = random.Random(11)
+    some = ["word", "naïve", "’quoted’", "漢字", "😀", "e\u0301", "  ", "\n", "\n\n ", "   x", "\t", "\u3000", "عربى", "\x07", "a" * 40, "\n \n"]
+    texts = ["".join(r.choice(some) + r.choice([" ", "", " "]) for _ in range(n)) + r.choice(["", " ", "\n"]) for n in (40, 400, 4000, 400, 400, 400)] + ["’" + "a" * 500, " ’" * 300, "\n’" * 300, "’▁ x " * 100, "’\0 x " * 100]
+    counter, lib = o5.PieceCounter(o5.MODEL), sentencepiece.SentencePieceProcessor(model_file=o5.path_of(o5.MODEL))
+    assert counter.by_units
+    asked, encode = [], counter.lib.encode
+    monkeypatch.setattr(o5, "PIECE", 64)
+
+    class Told:
+        def encode(self, x, **kw):
+            asked.extend(len(t.encode()) for t in (x if isinstance(x, list) else [x]))
+            return encode(x, **kw)
+
+    counter.lib = Told()
+    assert counter.count(texts)[1].tolist() == [len(lib.encode(t)) for t in texts]
+    asked.clear()
+    counter.count([texts[2]])
+    assert max(asked) < 400 < len(texts[2])
+
+
 # 6
 
 
