@@ -75,13 +75,13 @@ class Memory:
         if not contents:
             return []
         rows = self._rows(user_id, contents, self.config.default_importance if importance is None else importance, source, metadata, sanitize_input, tags)
-        out = self._held(dedup.folded(rows, self.table.get_all_by_user(user_id, list(STATES)), self.now().astimezone(timezone.utc).replace(tzinfo=None), self.config.dedup_threshold, self.config.conflict_threshold), "folded")
+        scratch: list[str] = []
+        out = self._held(dedup.folded(rows, self.table.get_all_by_user(user_id, list(STATES)), self.now().astimezone(timezone.utc).replace(tzinfo=None), self.config.dedup_threshold, self.config.conflict_threshold, scratch=scratch), "folded")
         self.table.store(out.drop("sources"))
         holder = {r["new"]: r["memory_id"] for r in out.select(F.explode("sources").alias("new"), "memory_id").collect()}  # ids of this batch
         ids = [holder[r["memory_id"]] for r in rows.select("memory_id", "seq").orderBy("seq").collect()]
-        for done in (rows, out):
-            for f in {f.rsplit("/", 1)[0] for f in done.inputFiles()}:
-                folders.remove(self.spark, f)
+        for path in [*scratch, *(f.rsplit("/", 1)[0] for done in (rows, out) for f in done.inputFiles())]:
+            folders.remove(self.spark, path)
         return ids
 
     def update(self, memory_id: str, content: str | None = None, importance: float | None = None, user_id: str | None = None, strict_owner: bool = False) -> str:

@@ -7,24 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrywell.functions.text import sentiment_flip, tokens
-from quarrywell.functions.vector import ncos, norm
+from quarrywell.operators.nearness import linked, near_ids, near_pairs, written
 from quarrywell.schema import DELETED, RECORD
 
+FIELDS = [f.name for f in RECORD.fields]
+#: Rows of a user up to which they are folded in one task.
+MOST = 20_000
+
 #: The record, and the ids of the new rows that it now holds.
 FOLDED = T.StructType([*RECORD.fields, T.StructField("sources", T.ArrayType(T.StringType()))])
 
 
-def _sides(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """new_id, old_id, sim for the rows of one user that both have embeddings.  Plain equality join on the user, so large
-    users are split by adaptive execution."""
-    n = new.where("embedding IS NOT NULL").select("user_id", F.col("memory_id").alias("new_id"), F.col("embedding").alias("a"), norm("embedding").alias("na"), F.col("seq").alias("new_seq"))
-    e = existing.where("embedding IS NOT NULL").select("user_id", F.col("memory_id").alias("old_id"), F.col("embedding").alias("b"), norm("embedding").alias("nb"), F.col("seq").alias("old_seq"))
-    return n.join(e, "user_id").withColumn("sim", ncos("a", "b", F.col("na"), F.col("nb")))
-
-
-def duplicates(new: DataFrame, existing: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """new_id, old_id, sim, old_seq: above the threshold, unless the two say the opposite of each other."""
-    near = _sides(new, existing).where(F.col("sim") > threshold).select("user_id", "new_id", "old_id", "sim", "new_seq", "old_seq")
+def duplicates(new: DataFrame, existing: DataFrame, threshold: float = 0.85, before: bool = False, scratch: list[str] | None = None) -> DataFrame:
+    """new_id, old_id, sim, old_seq: above the threshold, unless the two say the opposite of each other.  ``before``: only pairs whose
+    existing row comes first."""
+    near = near_pairs(new, existing, threshold, None, before, scratch)
     # Only pairs above the threshold meet their texts.
     left = new.select(F.col("memory_id").alias("new_id"), tokens("content").alias("new_tokens"))
     right = existing.select(F.col("memory_id").alias("old_id"), tokens("content").alias("old_tokens"))
@@ -32,9 +29,9 @@ def duplicates(new: DataFrame, existing: DataFrame, threshold: float = 0.85) ->
     return said.where(~sentiment_flip(F.col("new_tokens"), F.col("old_tokens"))).select("user_id", "new_id", "old_id", "sim", "new_seq", "old_seq")
 
 
-def conflicts(new: DataFrame, existing: DataFrame, low: float = 0.65, high: float = 0.85) -> DataFrame:
+def conflicts(new: DataFrame, existing: DataFrame, low: float = 0.65, high: float = 0.85, before: bool = False, scratch: list[str] | None = None) -> DataFrame:
     """new_id, old_id, sim strictly between the two thresholds."""
-    return _sides(new, existing).where((F.col("sim") > low) & (F.col("sim") < high)).select("user_id", "new_id", "old_id", "sim", "new_seq", "old_seq")
+    return near_pairs(new, existing, low, high, before, scratch)
 
 
 def first_duplicates(found: DataFrame) -> DataFrame:
@@ -49,6 +46,11 @@ def resolve(new: DataFrame, existing: DataFrame, found: DataFrame, now: Column)
     return out.withColumns({"content": F.col("new_content"), "tags": F.col("new_tags"), "last_accessed_at": now}).drop("new_id", "old_id", "new_content", "new_tags")
 
 
+def in_conflict(new: DataFrame, existing: DataFrame, low: float = 0.65, high: float = 0.85, before: bool = False, scratch: list[str] | None = None) -> DataFrame:
+    """new_id of the rows that have a conflict, each once; the pairs are never written out."""
+    return near_ids(new, existing, low, high, before, scratch)
+
+
 def flag_conflicts(new: DataFrame, found: DataFrame) -> DataFrame:
     """new with ``conflict_flagged`` set in the metadata of rows that have a conflict."""
     hit = found.select(F.col("new_id").alias("memory_id")).distinct().withColumn("hit", F.lit(True))
@@ -94,15 +96,82 @@ def remember_many(new: DataFrame, existing: DataFrame, now, threshold: float = 0
     return folded(new, existing, now, threshold, low).drop("sources")
 
 
-def folded(new: DataFrame, existing: DataFrame, now, threshold: float = 0.85, low: float = 0.65) -> DataFrame:
+def folded(new: DataFrame, existing: DataFrame, now, threshold: float = 0.85, low: float = 0.65, most: int = MOST, scratch: list[str] | None = None) -> DataFrame:
     """The rows to store, each with ``sources``: the ids of the new rows that it holds, itself or merged into it.
 
-    A row whose first duplicate in store order exists rewrites it; another is inserted, flagged if it has conflicts.  The
-    fold is ordered within a user, so a user is one group; its similarities are one matrix product, in blocks."""
+    A row whose first duplicate in store order exists rewrites it; another is inserted, flagged if it has conflicts.  Users with up to
+    ``most`` rows are folded each in a group of its own; larger ones by ``folded_apart``, with the same results."""
+    new = new.select(*FIELDS)
+    live = existing.where(F.col("lifecycle_state") != DELETED).select(*FIELDS)
+    asked = new.groupBy("user_id").agg(F.count("*").alias("n"))
+    sizes = live.select("user_id").join(asked.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("m"))
+    hot = asked.join(sizes, "user_id", "left").where(F.col("n") + F.coalesce("m", F.lit(0)) > most).select("user_id")
+    live = live.join(asked.select("user_id"), "user_id", "left_semi")
+    if hot.isEmpty():
+        return _folded_alone(new, live, now, threshold, low)
+    pick = lambda df, how: df.join(hot, "user_id", how).select(*FIELDS)
+    return _folded_alone(pick(new, "left_anti"), pick(live, "left_anti"), now, threshold, low).unionByName(folded_apart(pick(new, "left_semi"), pick(live, "left_semi"), now, threshold, low, scratch))
+
+
+def folded_apart(new: DataFrame, live: DataFrame, now, threshold: float = 0.85, low: float = 0.65, scratch: list[str] | None = None) -> DataFrame:
+    """The fold of users of any size.
+
+    Which rows a new one may be merged into is a matter of vectors alone, and these never change: so the pairs above the threshold are
+    found by a distributed join first.  Rows that no such pair links can't touch each other, so the fold goes over the components
+    of these pairs, each in store order and with its own pairs only; rows without any are inserted.  A row then has a conflict if one
+    that was there, or was inserted before it, lies between the thresholds: a second join, that tells rows and no pairs."""
+    scratch = [] if scratch is None else scratch
+    rows = lambda df, old: df.select("user_id", "memory_id", "seq", F.lit(old).alias("old"), "content", "tags")
+    pairs = near_pairs(new, live, threshold, scratch=scratch).unionAll(near_pairs(new, new, threshold, before=True, scratch=scratch))
+    pairs = written(pairs.select("new_id", "old_id"), "fold-pairs", scratch)
+    roots = linked(pairs.select(F.col("new_id").alias("u"), F.col("old_id").alias("v")), scratch)
+    named = lambda df, c: df.join(roots.withColumnRenamed("node", c), c)
+    texts = named(rows(live, True).unionAll(rows(new, False)), "memory_id")
+    fates = texts.groupBy("root").cogroup(named(pairs, "new_id").withColumnRenamed("root", "of").groupBy("of")).applyInPandas(_fates, "memory_id string, held_by string, content string, tags array<string>")
+    fates = written(fates, "fold-fates", scratch)
+    merged = fates.where("held_by IS NOT NULL").select("memory_id")
+    stays = new.join(merged, "memory_id", "left_anti")
+    last = fates.where("content IS NOT NULL").select("memory_id", F.struct("content", "tags").alias("last"))
+    sources = fates.where("held_by IS NOT NULL").groupBy(F.col("held_by").alias("memory_id")).agg(F.collect_list("memory_id").alias("more"))
+    hit = near_ids(stays, live, low, threshold, scratch=scratch).unionAll(near_ids(stays, stays, low, threshold, before=True, scratch=scratch))
+    inserted = flag_conflicts(stays, hit).withColumn("inserted", F.lit(True))
+    rewritten = live.join(last.select("memory_id"), "memory_id", "left_semi").withColumn("inserted", F.lit(False))
+    out = inserted.select(*FIELDS, "inserted").unionByName(rewritten.select(*FIELDS, "inserted")).join(last, "memory_id", "left").join(sources, "memory_id", "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({
+        "sources": F.concat(F.when(F.col("inserted"), F.array("memory_id")).otherwise(none), F.coalesce("more", none)), "content": F.coalesce("last.content", "content"), "tags": F.when(F.col("last").isNotNull(), F.col("last.tags")).otherwise(F.col("tags")),
+        "last_accessed_at": F.when(F.col("last").isNotNull(), F.lit(now).cast("timestamp")).otherwise(F.col("last_accessed_at")),
+    })
+    return out.select(*FIELDS, "sources")
+
+
+def _fates(texts, pairs):
+    """Of one component: each merged row with its holder, and each holder with its last content and tags."""
+    import pandas as pd
+
+    # Store order: what was there by seq, then what comes in by seq; ties by id, a null seq last.
+    texts = texts.assign(at=texts["seq"].fillna(float("inf"))).sort_values(["at", "memory_id"])
+    order = {i: k for k, i in enumerate([*texts.loc[texts["old"], "memory_id"], *texts.loc[~texts["old"], "memory_id"]])}
+    said = dict(zip(texts["memory_id"], texts["content"]))
+    tagged = dict(zip(texts["memory_id"], texts["tags"]))
+    may: dict[str, list[str]] = {}
+    for a, b in zip(pairs["new_id"], pairs["old_id"]):
+        may.setdefault(a, []).append(b)
+    holder, changed = {}, {}
+    for i in texts.loc[~texts["old"], "memory_id"]:
+        at = next((o for o in sorted(may.get(i, []), key=order.get) if o not in holder and not _python_flip(said[i], said[o])), None)
+        if at is not None:
+            holder[i], changed[at], said[at] = at, tagged[i], said[i]
+    out = [(i, h, None, None) for i, h in holder.items()] + [(i, None, said[i], t) for i, t in changed.items()]
+    return pd.DataFrame(out, columns=["memory_id", "held_by", "content", "tags"])
+
+
+def _folded_alone(new: DataFrame, live: DataFrame, now, threshold: float, low: float) -> DataFrame:
+    """Each user's fold in one group; its similarities are one matrix product, in blocks."""
     import numpy as np
     import pandas as pd
 
-    columns = [f.name for f in RECORD.fields]
+    columns = FIELDS
     stamp = pd.Timestamp(now)
 
     def fold(old: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -136,12 +205,12 @@ def folded(new: DataFrame, existing: DataFrame, now, threshold: float = 0.85, lo
                 sources.setdefault(match, []).append(row["memory_id"])
                 continue
             if (live & (near > low) & (near < threshold)).any():
-                row["metadata"] = json.dumps(json.loads(row["metadata"] or "{}") | {"conflict_flagged": True})
+                kept = {k: v for k, v in json.loads(row["metadata"] or "{}").items() if k != "conflict_flagged"}
+                row["metadata"] = json.dumps(kept | {"conflict_flagged": True}, separators=(",", ":"), ensure_ascii=False)
             store.append(row)
             changed[held] = row
             sources[held] = [row["memory_id"]]
             held += 1
         return pd.DataFrame([r | {"sources": sources[k]} for k, r in changed.items()], columns=[*columns, "sources"])
 
-    live = existing.where(F.col("lifecycle_state") != DELETED).select(*columns)
-    return live.groupBy("user_id").cogroup(new.select(*columns).groupBy("user_id")).applyInPandas(fold, FOLDED)
+    return live.groupBy("user_id").cogroup(new.groupBy("user_id")).applyInPandas(fold, FOLDED)

@@ -395,10 +395,6 @@ def _pairs(low: float) -> str:
     return MEM + f""", p AS MATERIALIZED (SELECT * FROM (SELECT a.user_id, a.memory_id AS new_id, b.memory_id AS old_id, a.seq AS new_seq, b.seq AS old_seq, {_NCOS.format("a.embedding", "b.embedding")} AS sim FROM mem a JOIN mem b ON a.user_id = b.user_id) WHERE old_seq < new_seq AND sim > {low})"""
 
 
-def _before(found: DataFrame) -> DataFrame:
-    return found.where("old_seq < new_seq")
-
-
 def _dup(low: float) -> str:
     """The pairs above ``low`` that don't say the opposite of each other; words are taken only of rows in such pairs."""
     return _pairs(low) + f""", tok AS MATERIALIZED (SELECT memory_id AS doc_id, {_tok("content")} AS tok FROM mem WHERE memory_id IN (SELECT new_id FROM p UNION ALL SELECT old_id FROM p)), {_WORDS.replace("p AS (SELECT *,", "pr AS (SELECT *,").replace("FROM p)", "FROM pr)")}, kw AS MATERIALIZED (SELECT doc_id, list(word) AS k FROM k GROUP BY 1),
@@ -409,19 +405,19 @@ def _dup(low: float) -> str:
 @query(_dup(0.7) + " SELECT new_id, old_id, round(sim, 6) AS sim FROM dup")
 def q34_duplicate_pairs(spark, d):
     m = mem(spark, d)
-    return _before(dedup.duplicates(m, m, 0.7)).select("new_id", "old_id", _r6("sim").alias("sim"))
+    return dedup.duplicates(m, m, 0.7, before=True).select("new_id", "old_id", _r6("sim").alias("sim"))
 
 
 @query(_pairs(0.62) + " SELECT new_id, old_id, round(sim, 6) AS sim FROM p WHERE sim < 0.7")
 def q35_conflict_pairs(spark, d):
     m = mem(spark, d)
-    return _before(dedup.conflicts(m, m, 0.62, 0.7)).select("new_id", "old_id", _r6("sim").alias("sim"))
+    return dedup.conflicts(m, m, 0.62, 0.7, before=True).select("new_id", "old_id", _r6("sim").alias("sim"))
 
 
 @query(_dup(0.62) + f", f AS (SELECT * FROM dup QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY old_seq) = 1) SELECT o.memory_id, n.content, n.tags, o.importance, o.lifecycle_state, TIMESTAMP '{NOW}' AS last_accessed_at FROM f JOIN mem o ON o.memory_id = f.old_id JOIN mem n ON n.memory_id = f.new_id")
 def q36_resolve_duplicate(spark, d):
     m = mem(spark, d)
-    out = dedup.resolve(m, m, _before(dedup.duplicates(m, m, 0.62)), _now())
+    out = dedup.resolve(m, m, dedup.duplicates(m, m, 0.62, before=True), _now())
     return out.select("memory_id", "content", "tags", "importance", "lifecycle_state", F.col("last_accessed_at").cast("timestamp_ntz").alias("last_accessed_at"))
 
 
@@ -429,7 +425,7 @@ def q36_resolve_duplicate(spark, d):
   CASE WHEN new_id IS NULL THEN metadata ELSE left(metadata, -1) || ',"conflict_flagged":true}' END AS metadata FROM mem LEFT JOIN h ON new_id = memory_id""")
 def q37_conflict_flag(spark, d):
     m = mem(spark, d)
-    out = dedup.flag_conflicts(m, _before(dedup.conflicts(m, m, 0.62, 0.7)))
+    out = dedup.flag_conflicts(m, dedup.in_conflict(m, m, 0.62, 0.7, before=True))
     return out.select("memory_id", F.coalesce(F.get_json_object("metadata", "$.conflict_flagged") == "true", F.lit(False)).alias("flagged"), "metadata")
 
 
@@ -488,7 +484,26 @@ def q44_hash_embed(spark, d):
     return _table(spark, d, "documents").select("doc_id", F.transform(vector.hash_embed("text"), lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
-@query()
+_FLIPS = f"(len(list_intersect(coalesce(ka, []), coalesce(kb, []))) > 0 AND ({_PAIR} OR ({_SAID.format('a')}) <> ({_SAID.format('b')})))"
+_FOLD = MEM + f""", live AS (SELECT * FROM mem WHERE seq % 2 = 1 OR lifecycle_state <> 'deleted'), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS nth FROM mem WHERE seq % 2 = 1),
+  p AS MATERIALIZED (SELECT n.memory_id AS new_id, o.memory_id AS old_id, {_NCOS.format("n.embedding", "o.embedding")} AS sim FROM n JOIN live o ON n.user_id = o.user_id AND (o.seq % 2 = 0 OR o.seq < n.seq)),
+  tok AS MATERIALIZED (SELECT memory_id AS doc_id, {_tok("content")} AS tok FROM live), {_WORDS.replace("p AS (SELECT *,", "pr AS (SELECT *,").replace("FROM p)", "FROM pr)")}, kw AS MATERIALIZED (SELECT doc_id, list(word) AS k FROM k GROUP BY 1),
+  two AS (SELECT new_id, old_id, x.tok AS a, y.tok AS b, kx.k AS ka, ky.k AS kb FROM p JOIN tok x ON x.doc_id = new_id JOIN tok y ON y.doc_id = old_id LEFT JOIN kw kx ON kx.doc_id = new_id LEFT JOIN kw ky ON ky.doc_id = old_id),
+  flips AS MATERIALIZED (SELECT new_id, list(old_id) AS f FROM two WHERE {_FLIPS} GROUP BY 1),
+  near AS MATERIALIZED (SELECT new_id, list(old_id) FILTER (sim > 0.62) AS s, list(old_id) FILTER (sim > 0.55 AND sim < 0.62) AS c FROM p GROUP BY 1),
+  todo AS MATERIALIZED (SELECT n.user_id, n.nth, n.memory_id AS id, coalesce(near.s, []) AS s, coalesce(near.c, []) AS c, coalesce(flips.f, []) AS f FROM n LEFT JOIN near ON near.new_id = n.memory_id LEFT JOIN flips ON flips.new_id = n.memory_id)"""
+
+
+@query(_FOLD.replace("WITH mem", "WITH RECURSIVE mem", 1) + """, st AS (
+    SELECT u.user_id, 0::BIGINT AS nth, coalesce(e.h, []) AS h, coalesce(e.h, []) AS t, []::VARCHAR[] AS flagged FROM (SELECT DISTINCT user_id FROM n) u LEFT JOIN (SELECT user_id, list(memory_id ORDER BY seq) AS h FROM live WHERE seq % 2 = 0 GROUP BY 1) e USING (user_id)
+    UNION ALL
+    SELECT user_id, nth, CASE WHEN hit IS NULL THEN list_append(h, id) ELSE h END, CASE WHEN hit IS NULL THEN list_append(t, id) ELSE list_transform(t, lambda x, i: CASE WHEN i = hit THEN id ELSE x END) END,
+      CASE WHEN hit IS NULL AND len(list_intersect(c, h)) > 0 THEN list_append(flagged, id) ELSE flagged END
+    FROM (SELECT st.user_id, todo.nth, st.h, st.t, st.flagged, todo.id, todo.c, list_filter(range(1, len(st.h) + 1), lambda i: list_contains(todo.s, st.h[i]) AND NOT list_contains(todo.f, st.t[i]))[1] AS hit FROM st JOIN todo ON todo.user_id = st.user_id AND todo.nth = st.nth + 1)),
+  done AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY nth DESC) = 1),
+  held AS (SELECT unnest(h) AS h, unnest(t) AS t, flagged FROM done)
+  SELECT o.memory_id, o.user_id, said.content, o.lifecycle_state, CASE WHEN list_contains(flagged, o.memory_id) THEN left(o.metadata, -1) || ',"conflict_flagged":true}' ELSE o.metadata END AS metadata, o.seq
+  FROM held JOIN mem o ON o.memory_id = held.h JOIN mem said ON said.memory_id = held.t WHERE held.h <> held.t OR o.seq % 2 = 1""")
 def q45_remember_many(spark, d):
     old, new = mem(spark, d).where("seq % 2 = 0"), mem(spark, d).where("seq % 2 = 1")
     return dedup.remember_many(new, old, NOW, 0.62, 0.55).select("memory_id", "user_id", "content", "lifecycle_state", "metadata", "seq")

@@ -190,9 +190,11 @@ class MemoryTable:
         """Bytes on disk."""
         return folders.bytes_in(self.spark, self.path)
 
-    def known_ids(self) -> DataFrame:
-        """memory_id of all rows, from the index."""
+    def known_ids(self, ids: DataFrame | None = None) -> DataFrame:
+        """memory_id of all rows, or of those among ``ids``, from the index."""
         state = self._indexed()[1]
+        if ids is not None:
+            return self._known(ids, state).select("memory_id")
         return self._ids(state).groupBy("memory_id").agg(F.max_by(F.struct("lives_in"), "write").alias("r")).where("r.lives_in IS NOT NULL").select("memory_id")
 
     # -- writing
