@@ -17,6 +17,10 @@ class _Embedder:
     def dimension(self) -> int:
         return self.dim
 
+    def name(self) -> str:
+        """What its vectors are kept under."""
+        return f"{type(self).__name__}-{getattr(self, 'model', '')}-{self.dim}"
+
     def embed_single(self, text: str) -> list[float]:
         return self.embed([text])[0]
 
@@ -39,8 +43,8 @@ class HashEmbedder(_Embedder):
 class FunctionEmbedder(_Embedder):
     """Any ``list[str] -> list[list[float]]`` of a known dimension."""
 
-    def __init__(self, function: Callable[[list[str]], list[list[float]]], dim: int):
-        self.function, self.dim = function, dim
+    def __init__(self, function: Callable[[list[str]], list[list[float]]], dim: int, model: str = ""):
+        self.function, self.dim, self.model = function, dim, model
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         return self.function(texts) if texts else []
@@ -81,7 +85,7 @@ def fast_embedder(model: str = "BAAI/bge-small-en-v1.5", dim: int = 384) -> Func
 
         return TextEmbedding(model)
 
-    return FunctionEmbedder(lambda texts: [x.tolist() for x in loaded(("fastembed", model), make).embed(texts)], dim)
+    return FunctionEmbedder(lambda texts: [x.tolist() for x in loaded(("fastembed", model), make).embed(texts)], dim, model)
 
 
 def openai_embedder(model: str = "text-embedding-3-small", dim: int = 1536) -> FunctionEmbedder:
@@ -92,4 +96,4 @@ def openai_embedder(model: str = "text-embedding-3-small", dim: int = 1536) -> F
 
         return OpenAI()
 
-    return FunctionEmbedder(lambda texts: [x.embedding for x in loaded("openai", make).embeddings.create(model=model, input=texts).data], dim)
+    return FunctionEmbedder(lambda texts: [x.embedding for x in loaded("openai", make).embeddings.create(model=model, input=texts).data], dim, model)

@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrywell.embedding import HashEmbedder
-from quarrywell.functions import text
-from quarrywell.operators import dedup, lifecycle, recall, stats
+from quarrywell.functions import scoring, text
+from quarrywell.operators import checks, dedup, lifecycle, recall, stats
 from quarrywell.operators.recall import PREFIX
 from quarrywell.schema import ACTIVE, RECORD, STATES, USER_STATED, Config
 from quarrywell.sources import folders
 from quarrywell.sources.stores import next_seq
 from quarrywell.sources.table import MemoryTable
+from quarrywell.sources.vectors import VectorCache
 
 
 def _given(**values: str) -> None:
@@ -31,14 +32,14 @@ def _given(**values: str) -> None:
 
 class Memory:
     """Keeps its rows in a ``MemoryTable`` under ``path``, or in any other ``store``.  ``now`` (a function) gives the time of
-    writes and scores."""
+    writes and scores.  ``vectors``: a path under which the vectors of texts are kept, so that an embedder is asked for a text once."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, embed=None, config: Config | None = None, now=None, store=None):
+    def __init__(self, spark: SparkSession, path: str | None = None, embed=None, config: Config | None = None, now=None, store=None, vectors: str | None = None):
         if path is None and store is None:
             raise ValueError("a path or a store is needed")
         self.spark, self.path, self.table = spark, path, store or MemoryTable(spark, path)
         self.embed, self.config = embed or HashEmbedder(), config or Config()
-        self.now = now or (lambda: datetime.now(timezone.utc))
+        self.now, self.vectors = now or (lambda: datetime.now(timezone.utc)), vectors
 
     def _held(self, rows: DataFrame, name: str) -> DataFrame:
         """The rows as files of the table, so that ids and vectors are made once; what a failure leaves goes with the next write."""
@@ -47,6 +48,14 @@ class Memory:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def _embedded(self, rows: DataFrame, embed, batch_size: int | None = None) -> DataFrame:
+        """rows with the vectors of their contents."""
+        if self.vectors:
+            rows = VectorCache(self.spark, self.vectors, embed.name()).embedded(rows, embed, batch_size=batch_size)
+        else:
+            rows = rows.withColumn("embedding", embed.column(F.col("content"), batch_size))
+        return rows.withColumn("embedding_dim", F.lit(embed.dimension()))
+
     def _stamp(self) -> F.Column:
         return F.lit(self.now().astimezone(timezone.utc).isoformat()).cast("timestamp")
 
@@ -84,6 +93,32 @@ class Memory:
             folders.remove(self.spark, path)
         return ids
 
+    def remember_rows(self, rows: DataFrame, sanitize_input: bool = False) -> DataFrame:
+        """Remember a whole DataFrame: user_id, content, and where they are there row (a name for each; else its place), importance, source,
+        metadata (JSON) and tags.  Rows that ``checks.problem`` finds fault with fail the write, before anything is stored.
+        Gives row and memory_id, the id that now holds it."""
+        last = next_seq(self.table)
+        have = lambda c, default: F.coalesce(F.col(c), default) if c in rows.columns else default
+        content = text.sanitize("content", strict=self.config.sanitize) if sanitize_input else F.col("content")
+        place = (F.col("qw_place") + last).cast("long")
+        told = rows.withColumns({"qw_place": F.monotonically_increasing_id(), "qw_wrong": checks.problem(rows.columns)})
+        made = told.select(
+            (F.col("row") if "row" in rows.columns else F.col("qw_place")).cast("string").alias("row"), F.uuid().alias("memory_id"), checks.fail_where("user_id", "qw_wrong").alias("user_id"), content.alias("content"),
+            self._stamp().alias("created_at"), self._stamp().alias("last_accessed_at"), have("source", F.lit(USER_STATED)).alias("source"), scoring.clamp(have("importance", F.lit(self.config.default_importance))).alias("importance"), F.lit(ACTIVE).alias("lifecycle_state"),
+            have("metadata", F.lit("{}")).alias("metadata"), have("tags", F.array().cast("array<string>")).alias("tags"), place.alias("seq"),
+        )
+        named = self._held(made, "named")  # ids are given once
+        held = self._held(self._embedded(named, self.embed).select("row", *(F.col(f.name).cast(f.dataType) for f in RECORD.fields)), "new")
+        scratch: list[str] = []
+        known = self._rows_of(held.select("user_id"))
+        out = self._held(dedup.folded(held.drop("row"), known, self.now().astimezone(timezone.utc).replace(tzinfo=None), self.config.dedup_threshold, self.config.conflict_threshold, scratch=scratch), "folded")
+        path = folders.shared_path(self.spark, "remembered")
+        out.select("memory_id", F.explode("sources").alias("source")).join(held.select("row", F.col("memory_id").alias("source")), "source").select("row", "memory_id").write.parquet(path)
+        self.table.store(out.drop("sources"))
+        for p in [*scratch, *(f.rsplit("/", 1)[0] for done in (named, held, out) for f in done.inputFiles())]:
+            folders.remove(self.spark, p)
+        return self.spark.read.schema("row string, memory_id string").parquet(path)
+
     def update(self, memory_id: str, content: str | None = None, importance: float | None = None, user_id: str | None = None, strict_owner: bool = False) -> str:
         """``strict_owner``: only a row of ``user_id`` is changed."""
         if content is None and importance is None:
@@ -104,19 +139,28 @@ class Memory:
     def forget(self, user_id: str, memory_id: str | None = None, strict_owner: bool = False) -> int:
         _given(user_id=user_id)
         if memory_id is None:
+            self._forget_vectors(lambda: self.table.texts_of(user_id))
             return self.table.delete_by_user(user_id)
         if strict_owner and self.table.get(memory_id).where(F.col("user_id") == user_id).isEmpty():
             return 0
+        self._forget_vectors(lambda: self.table.texts_under(memory_id))
         return int(self.table.delete_by_id(memory_id))
 
+    def _forget_vectors(self, texts) -> None:
+        """Before the rows go, so that a failure can be repeated; those of all models."""
+        if self.vectors:
+            for name in folders.names_in(self.spark, self.vectors):
+                VectorCache.at(self.spark, f"{self.vectors.rstrip('/')}/{name}").erase(texts())
+
     def migrate(self, user_id: str, embed, batch_size: int = 100) -> int:
         """Embed the user's active and decaying rows anew, ``batch_size`` texts in a call of the embedder."""
         _given(user_id=user_id)
         if batch_size < 1:
             raise ValueError("batch_size must be 1 or more")
-        rows = self.table.get_all_by_user(user_id).withColumn("embedding", embed.column(F.col("content"), batch_size)).withColumn("embedding_dim", F.lit(embed.dimension()))
+        rows = self._held(self._embedded(self.table.get_all_by_user(user_id), embed, batch_size).select([f.name for f in RECORD.fields]), "migrated")
         n = rows.count()
-        self.table.update(rows)
+        if n:
+            self.table.update(rows)
         return n
 
     def touch(self, recalled: DataFrame, persist_access: bool = False) -> None:

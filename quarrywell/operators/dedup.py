@@ -105,12 +105,14 @@ def folded(new: DataFrame, existing: DataFrame, now, threshold: float = 0.85, lo
     live = existing.where(F.col("lifecycle_state") != DELETED).select(*FIELDS)
     asked = new.groupBy("user_id").agg(F.count("*").alias("n"))
     sizes = live.select("user_id").join(asked.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("m"))
-    hot = asked.join(sizes, "user_id", "left").where(F.col("n") + F.coalesce("m", F.lit(0)) > most).select("user_id")
+    each = asked.join(sizes, "user_id", "left").select("user_id", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+    hot, total = each.where(F.col("n") > most).select("user_id"), each.agg(F.sum("n").alias("n"), F.max("n").alias("top")).first()
     live = live.join(asked.select("user_id"), "user_id", "left_semi")
-    if hot.isEmpty():
-        return _folded_alone(new, live, now, threshold, low)
+    groups = max(int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total["n"] or 0) // MOST)
+    if (total["top"] or 0) <= most:
+        return _folded_alone(new, live, now, threshold, low, groups)
     pick = lambda df, how: df.join(hot, "user_id", how).select(*FIELDS)
-    return _folded_alone(pick(new, "left_anti"), pick(live, "left_anti"), now, threshold, low).unionByName(folded_apart(pick(new, "left_semi"), pick(live, "left_semi"), now, threshold, low, scratch))
+    return _folded_alone(pick(new, "left_anti"), pick(live, "left_anti"), now, threshold, low, groups).unionByName(folded_apart(pick(new, "left_semi"), pick(live, "left_semi"), now, threshold, low, scratch))
 
 
 def folded_apart(new: DataFrame, live: DataFrame, now, threshold: float = 0.85, low: float = 0.65, scratch: list[str] | None = None) -> DataFrame:
@@ -166,8 +168,8 @@ def _fates(texts, pairs):
     return pd.DataFrame(out, columns=["memory_id", "held_by", "content", "tags"])
 
 
-def _folded_alone(new: DataFrame, live: DataFrame, now, threshold: float, low: float) -> DataFrame:
-    """Each user's fold in one group; its similarities are one matrix product, in blocks."""
+def _folded_alone(new: DataFrame, live: DataFrame, now, threshold: float, low: float, groups: int) -> DataFrame:
+    """Each user's fold in one task, users dealt to ``groups``."""
     import numpy as np
     import pandas as pd
 
@@ -175,6 +177,12 @@ def _folded_alone(new: DataFrame, live: DataFrame, now, threshold: float, low: f
     stamp = pd.Timestamp(now)
 
     def fold(old: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        known, out = dict(list(old.groupby("user_id", dropna=False))), []
+        for user, own in rows.groupby("user_id", dropna=False):
+            out.append(fold_one(known.get(user, old.iloc[:0]), own))
+        return pd.concat(out) if out else pd.DataFrame([], columns=[*columns, "sources"])
+
+    def fold_one(old: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         import json
 
         old, rows = old.sort_values("seq"), rows.sort_values("seq")
@@ -213,4 +221,5 @@ def _folded_alone(new: DataFrame, live: DataFrame, now, threshold: float, low: f
             held += 1
         return pd.DataFrame([r | {"sources": sources[k]} for k, r in changed.items()], columns=[*columns, "sources"])
 
-    return live.groupBy("user_id").cogroup(new.groupBy("user_id")).applyInPandas(fold, FOLDED)
+    group = lambda df: df.groupBy(F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("of"))
+    return group(live).cogroup(group(new)).applyInPandas(fold, FOLDED)

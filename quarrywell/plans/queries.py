@@ -16,8 +16,10 @@ from pyspark.sql.window import Window
 from quarrywell.embedding import HashEmbedder
 from quarrywell.engine import Memory
 from quarrywell.functions import scoring, text, vector
-from quarrywell.operators import chat, dedup, lifecycle, recall
+from quarrywell.operators import chat, checks, dedup, lifecycle, recall
 from quarrywell.operators import stats as counts
+from quarrywell.operators.nearest import Nearest
+from quarrywell.sources import datasource
 from quarrywell.sources.folders import shared_path
 from quarrywell.sources.stores import CallbackStore
 from quarrywell.sources.table import MemoryTable, bucket_of, latest, upgrade_schema
@@ -543,11 +545,16 @@ def q50_transition(spark, d):
     return lifecycle.transition(mem(spark, d).where(recall.in_states()), "deleted").select("memory_id", "lifecycle_state", "tags")
 
 
-@query("SELECT 'u3' AS user_id, 'I live in Mumbai' AS content, 64 AS embedding_dim, 'agent_inferred' AS source, 1.0::DOUBLE AS importance, 'active' AS lifecycle_state, '{\"n\": 1}' AS metadata, ['city'] AS tags, true AS returned")
+@query(f"""WITH p AS (SELECT doc_id, {_POISON} AS t FROM documents WHERE trim(text) <> '') SELECT 'u' || doc_id AS user_id, CASE WHEN {_SHORT} THEN t ELSE {_replaced('t', _SUSPECT, '[SANITIZED]')} END AS content, 64 AS embedding_dim, 'agent_inferred' AS source,
+  least(1.0, doc_id % 30 / 10.0)::DOUBLE AS importance, 'active' AS lifecycle_state, '{{"n": ' || doc_id || '}}' AS metadata, ['city'] AS tags, 'd' || doc_id AS row FROM p""")
 def q51_remember(spark, d):
+    """Every document as a memory of a user of its own, cleaned, embedded and stored."""
     t = MemoryTable(spark, shared_path(spark, "memories"))
-    made = _memory(spark, t).remember("u3", "I live in Mumbai", importance=7, source="agent_inferred", metadata={"n": 1}, tags=["city"])
-    return t.get_all().select("user_id", "content", "embedding_dim", "source", "importance", "lifecycle_state", "metadata", "tags", (F.col("memory_id") == made).alias("returned"))
+    i = F.col("doc_id")
+    rows = _poisoned(spark, d).join(_table(spark, d, "documents").where("trim(text) <> ''").select("doc_id"), "doc_id").select(
+        F.concat(F.lit("d"), i).alias("row"), F.concat(F.lit("u"), i).alias("user_id"), F.col("t").alias("content"), (i % 30 / 10.0).alias("importance"), F.lit("agent_inferred").alias("source"), F.concat(F.lit('{"n": '), i, F.lit("}")).alias("metadata"), F.array(F.lit("city")).alias("tags"))
+    held = _memory(spark, t).remember_rows(rows, sanitize_input=True)
+    return t.get_all().join(held, "memory_id").select("user_id", "content", "embedding_dim", "source", _r6("importance").alias("importance"), "lifecycle_state", "metadata", "tags", "row")
 
 
 @query(MEM + " SELECT memory_id, CASE WHEN memory_id = 'm7' THEN 'changed' ELSE content END AS content, round(CASE WHEN memory_id = 'm7' THEN 1.0 ELSE importance END, 6) AS importance, lifecycle_state, tags FROM mem")
@@ -582,22 +589,12 @@ def q54_dimension_guard(spark, d):
     return spark.createDataFrame([(u, failed(u)) for u in ("u3", "u4")], "user_id string, failed boolean")
 
 
-@query("SELECT * FROM (VALUES ('blank user', 'ValueError'), ('blank content', 'ValueError'), ('blank query', 'ValueError'), ('blank tag', 'ValueError'), ('importance', 'TypeError'), ('top_k', 'ValueError'), ('no such memory', 'ValueError'), ('batch_size', 'ValueError')) v(input, error)")
+@query(f"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN chr(9) || ' ' ELSE source END AS user_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS content, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE '0.5' END AS importance, CASE WHEN doc_id % 11 = 0 THEN 'told' END AS src FROM documents)
+  SELECT doc_id, CASE WHEN len({_tok("coalesce(user_id, '')")}) = 0 THEN 'user_id must not be blank' WHEN len({_tok("coalesce(content, '')")}) = 0 THEN 'content must not be blank' WHEN importance = 'high' THEN 'importance must be a number' WHEN src IS NOT NULL THEN 'unknown source' END AS problem FROM r""")
 def q55_input_validation(spark, d):
-    memory = _memory(spark, MemoryTable(spark, shared_path(spark, "memories")))
-    calls = {
-        "blank user": lambda: memory.remember(" ", "x"), "blank content": lambda: memory.remember("u", "\t"), "blank query": lambda: memory.recall("u", ""), "blank tag": lambda: memory.recall_by_tag("u", " "),
-        "importance": lambda: memory.remember("u", "x", importance="high"), "top_k": lambda: memory.recall("u", "x", 0), "no such memory": lambda: memory.update("m", content="x"), "batch_size": lambda: memory.migrate("u", HashEmbedder(), 0),
-    }
-
-    def error(f) -> str:
-        try:
-            f()
-        except Exception as e:
-            return type(e).__name__
-        return "none"
-
-    return spark.createDataFrame([(k, error(f)) for k, f in calls.items()], "input string, error string")
+    i = F.col("doc_id")
+    rows = _table(spark, d, "documents").select("doc_id", F.when(i % 5 == 0, "\t ").otherwise(F.col("source")).alias("user_id"), F.when(i % 7 != 0, F.col("text")).alias("content"), F.when(i % 3 == 0, "high").otherwise("0.5").alias("importance"), F.when(i % 11 == 0, "told").alias("source"))
+    return rows.select("doc_id", checks.problem(rows.columns).alias("problem"))
 
 
 @query(MEM + " SELECT memory_id, user_id, content, len(embedding)::INT AS n, created_at, last_accessed_at, source, round(importance, 6) AS importance, lifecycle_state, metadata, tags, seq FROM mem")
@@ -631,3 +628,42 @@ def q59_token_counter(spark, d):
 def q60_store_search(spark, d):
     vector_ = [float(x) for x in first_queries(mem(spark, d)).where("user_id = 'u3'").first()["embedding"]]
     return stored(spark, d).search("u3", vector_, 7).select("memory_id", _r6("sim").alias("sim"))
+
+
+_MOVED = MEM + """, now AS (SELECT memory_id, CASE WHEN seq % 5 = 0 THEN 'u' || ((right(user_id, 1)::INT + 1) % 10) ELSE user_id END AS user_id, CASE WHEN seq % 5 = 0 THEN 'moved ' || content ELSE content END AS content, seq FROM mem)"""
+
+
+def _moved(spark, d) -> MemoryTable:
+    """A table where every fifth id came in again under the next user, and u3 was forgotten."""
+    t = stored(spark, d)
+    again = t.get_all().where("seq % 5 = 0").withColumns({"user_id": F.concat(F.lit("u"), (F.expr("int(right(user_id, 1))") + 1) % 10), "content": F.concat(F.lit("moved "), "content"), "seq": F.col("seq") + 1_000_000})
+    t.store(again)
+    t.delete_by_user("u3")
+    return t
+
+
+@query(_MOVED + " SELECT memory_id, user_id, content, seq, user_id = 'u4' AS of_u4 FROM now WHERE user_id <> 'u3'")
+def q61_moved_ids(spark, d):
+    t = _moved(spark, d)
+    own = t.get_all_by_user("u4", list(counts.STATES)).select("memory_id", F.lit(True).alias("of_u4"))
+    return t.get_all().join(own, "memory_id", "left").select("memory_id", "user_id", "content", "seq", F.coalesce("of_u4", F.lit(False)).alias("of_u4"))
+
+
+@query(_MMR + f", b AS (SELECT *, sum({_COUNT}) OVER (PARTITION BY query_id ORDER BY rank) AS spent FROM f) SELECT query_id, memory_id, rank::INT AS rank FROM b WHERE rank = 1 OR spent <= 1500")
+def q62_recall_stored(spark, d):
+    """Recall of every user from a stored table, each from its own bucket."""
+    t = stored(spark, d)
+    asked = first_queries(t.get_all())
+    return recall.recall_many(asked, t.of_users(asked), NOW, 5, 1500).select("query_id", "memory_id", "rank")
+
+
+@query(_MOVED + " SELECT memory_id, user_id, content, seq FROM now WHERE user_id IN ('u4', 'u5')")
+def q63_data_source(spark, d):
+    datasource.register(spark)
+    return spark.read.format("memories").load(_moved(spark, d).path).where(F.col("user_id").isin("u4", "u5")).select("memory_id", "user_id", "content", "seq")
+
+
+@query(_cand(15) + " SELECT query_id, memory_id, pos::INT AS pos, round(sim, 6) AS sim FROM cand")
+def q64_topk_by_bounds(spark, d):
+    m = mem(spark, d)
+    return Nearest(m.where(recall.in_states())).topk(first_queries(m), 15).select("query_id", "memory_id", "pos", _r6("sim").alias("sim"))

@@ -166,6 +166,15 @@ class MemoryTable:
         bucket = F.lit(False) if at is None or at["lives_in"] is None else F.col("user_bucket") == at["lives_in"]
         return latest(self._log(state).where(bucket & (F.col("memory_id") == memory_id))).where("NOT moved").select(FIELDS)
 
+    def texts_of(self, user_id: str) -> DataFrame:
+        """content of all that the user has, or had, while it is on disk."""
+        _, state = self._state()
+        return self._log(state).where(self._own(user_id, state["buckets"]) & (F.col("user_id") == user_id)).select("content")
+
+    def texts_under(self, memory_id: str) -> DataFrame:
+        """content of all versions of an id."""
+        return self._log().where(F.col("memory_id") == memory_id).select("content")
+
     def get_by_tag(self, user_id: str, tag: str, states=None) -> DataFrame:
         if not tag.strip():
             raise ValueError("tag must not be blank")
