@@ -1,9 +1,9 @@
 """A PySpark-native memory and corpus engine."""
 
-from quarrywell.schema import RECORD, SOURCES, STATES, Config
+from quarrywell.schema import RECORD, SOURCES, STATES, Config, LifecycleState, MemoryObject, MemorySource
 
-__all__ = ["RECORD", "SOURCES", "STATES", "ChatMemory", "Config", "FunctionEmbedder", "HashEmbedder", "Memory", "MemoryTable"]
-_PLACES = {"Memory": "engine", "ChatMemory": "engine", "MemoryTable": "sources.table", "HashEmbedder": "embedding", "FunctionEmbedder": "embedding"}
+__all__ = ["RECORD", "SOURCES", "STATES", "ChatMemory", "Config", "FunctionEmbedder", "HashEmbedder", "LifecycleState", "Memory", "MemoryObject", "MemorySource", "MemoryTable", "VectorCache"]
+_PLACES = {"Memory": "engine", "ChatMemory": "engine", "MemoryTable": "sources.table", "VectorCache": "sources.vectors", "HashEmbedder": "embedding", "FunctionEmbedder": "embedding"}
 
 
 def __getattr__(name: str):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field
+from datetime import datetime
+from enum import StrEnum
 
 from pyspark.sql import types as T
 
@@ -29,6 +32,44 @@ RECORD = T.StructType([
 ])
 
 
+class LifecycleState(StrEnum):
+    ACTIVE, DECAYING, ARCHIVED, DELETED = STATES
+
+
+class MemorySource(StrEnum):
+    USER_STATED, AGENT_INFERRED, SYSTEM_GENERATED = SOURCES
+
+
+@dataclass
+class MemoryObject:
+    """One row of the memory table for code that wants an object; ``of`` takes a row of any read, ``row`` gives one to store."""
+
+    memory_id: str
+    user_id: str
+    content: str
+    embedding: list[float] | None = None
+    score: float = 0.0
+    created_at: datetime | None = None
+    last_accessed_at: datetime | None = None
+    source: MemorySource = MemorySource.USER_STATED
+    importance: float = 0.5
+    lifecycle_state: LifecycleState = LifecycleState.ACTIVE
+    metadata: dict = field(default_factory=dict)
+    embedding_dim: int | None = None
+    tags: list[str] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, row) -> MemoryObject:
+        have = row.asDict()
+        values = {n: have[n] for n in cls.__dataclass_fields__ if have.get(n) is not None}
+        kinds = {"source": MemorySource, "lifecycle_state": LifecycleState, "metadata": json.loads}
+        return cls(**{n: kinds[n](v) if n in kinds else v for n, v in values.items()})
+
+    def row(self, seq: int | None = None) -> tuple:
+        values = {n: getattr(self, n) for n in self.__dataclass_fields__} | {"source": str(self.source), "lifecycle_state": str(self.lifecycle_state), "metadata": json.dumps(self.metadata), "seq": seq}
+        return tuple(values[f.name] for f in RECORD.fields)
+
+
 @dataclass(frozen=True)
 class Config:
     """Thresholds and defaults; refused if out of range."""

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
+from pyspark.sql import SparkSession
+
+from quarrywell.embedding import fast_embedder
 from quarrywell.engine import Memory
 
 
@@ -19,8 +24,20 @@ TOOLS = {
 }
 
 
+def settings() -> dict:
+    """What a tool server is told by its environment: QUARRYWELL_PATH, QUARRYWELL_MODEL, QUARRYWELL_TOP_K."""
+    env = os.environ.get
+    return {"path": env("QUARRYWELL_PATH", os.path.expanduser("~/.quarrywell/memories")), "model": env("QUARRYWELL_MODEL", "BAAI/bge-small-en-v1.5"), "top_k": int(env("QUARRYWELL_TOP_K", "5"))}
+
+
+def memory_of(spark: SparkSession, told: dict | None = None) -> Memory:
+    """The memory that the environment names."""
+    told = told or settings()
+    return Memory(spark, told["path"], fast_embedder(told["model"]))
+
+
 def call_tool(memory: Memory, name: str, arguments: dict) -> str:
-    """The text that answers a call.  A missing argument raises KeyError; an unknown tool is said so."""
+    """The text that answers a call.  A missing argument raises KeyError; an unknown tool is said so.  Fixed values: the texts."""
     if name not in TOOLS:
         return f"Unknown tool: {name}"
     given = {k: arguments[k] for k in TOOLS[name][1]["required"]} | {k: v for k, v in arguments.items() if k in TOOLS[name][1]["properties"] and v is not None}
@@ -29,6 +46,6 @@ def call_tool(memory: Memory, name: str, arguments: dict) -> str:
     if name == "forget":
         return f"Deleted {memory.forget(**given)} memory(ies)"
     if name == "context_block":
-        return memory.context_block(**{"top_k": 5, "max_tokens": 1500} | given) or "No context found"
-    found = [r["content"] for r in memory.recall(**given).select("rank", "content").orderBy("rank").collect()]  # top_k rows
+        return memory.context_block(**{"top_k": settings()["top_k"], "max_tokens": 1500} | given) or "No context found"
+    found = [r["content"] for r in memory.recall(**{"top_k": settings()["top_k"]} | given).select("rank", "content").orderBy("rank").collect()]  # top_k rows
     return "\n".join(f"- {c}" for c in found) or "No memories found"

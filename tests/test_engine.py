@@ -196,6 +196,23 @@ def test_chat_and_tools(memory):
         call_tool(memory, "recall", {"user_id": "u"})
 
 
+def test_objects_and_settings(memory, spark, monkeypatch):
+    from quarrywell import LifecycleState, MemoryObject, MemorySource
+    from quarrywell.tools import call_tool, memory_of, settings
+
+    a = memory.remember("u", "abc", metadata={"k": [1]}, tags=["x"], source=MemorySource.AGENT_INFERRED)
+    one = MemoryObject.of(memory.recall("u", "abc").first())
+    assert one.memory_id == a and one.metadata == {"k": [1]} and one.source is MemorySource.AGENT_INFERRED and one.lifecycle_state is LifecycleState.ACTIVE and one.score > 0
+    one.content = "changed"
+    memory.table.store(spark.createDataFrame([one.row(3)], RECORD))
+    assert memory.table.get(a).first()["content"] == "changed" and [str(x) for x in LifecycleState] == ["active", "decaying", "archived", "deleted"]
+    memory.remember("u", "xyz")
+    monkeypatch.setenv("QUARRYWELL_TOP_K", "1")
+    monkeypatch.setenv("QUARRYWELL_PATH", memory.path)
+    assert call_tool(memory, "recall", {"user_id": "u", "query": "abc"}).count("- ") == 1
+    assert settings()["top_k"] == 1 and memory_of(spark).table.count("u") == 2 and memory_of(spark).embed.dimension() == 384
+
+
 def test_owner_counter_and_half_life(memory, spark, tmp_path):
     from quarrywell.schema import Config
 
