@@ -39,11 +39,12 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     long = lambda c: F.col(c).cast("long")
     base = written(counted.select("doc_id", "part", (F.col("n") < 50).alias("A"), (long("kinds") * 100 < long("n") * 65).alias("B"), (long("upper") * 100 > long("chars") * 5).alias("C"), "D", "digest"), "audit-texts")
     first = base.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    first = written(first, "audit-copies")  # a plain table: the join can then split the rows of a text that very many documents have
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(F.col(c) == 1, F.lit(False)).alias(m) for c, m in (("quality", "good"), ("toxic", "toxic"))))
     marks = marks.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.max(m).alias(m) for m in MARKS))
     rows = base.join(first, "digest", "left").withColumn("E", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).join(marks, "doc_id", "left")
     out = written(rows.select("part", *FILTERS, *(F.coalesce(m, F.lit(False)).alias(m) for m in MARKS)), "audit-rows")
-    dropped(base)
+    dropped(base, first)
     return out
 
 
