@@ -613,9 +613,14 @@ def q57_upgrade_stored(spark, d):
     return t.get_all().select("memory_id", "user_id", "tags", F.lit(t.upgrade()).alias("version"))
 
 
-@query(MEM + " SELECT DISTINCT user_id FROM mem")
+@query(MEM + f""" SELECT DISTINCT 'user' AS what, user_id AS value FROM mem UNION ALL SELECT 'tag', memory_id FROM mem WHERE user_id = 'u3' AND list_contains(tags, 'en') AND {_LIVE}
+  UNION ALL SELECT 'row', memory_id FROM mem WHERE user_id = 'u4' AND {_LIVE}""")
 def q58_callback_store(spark, d):
-    return CallbackStore(get_all_fn=lambda: mem(spark, d)).get_all_users()
+    """A store made of functions over a stored table: users and tags, for which it has none, from all rows."""
+    t = stored(spark, d)
+    made = CallbackStore(get_all_fn=t.get_all, get_all_by_user_fn=t.get_all_by_user)
+    said = lambda what, rows, c: rows.select(F.lit(what).alias("what"), F.col(c).alias("value"))
+    return said("user", made.get_all_users(), "user_id").unionAll(said("tag", made.get_by_tag("u3", "en"), "memory_id")).unionAll(said("row", made.get_all_by_user("u4"), "memory_id"))
 
 
 @query(_ranked(15) + ", b AS (SELECT *, sum(length(content)) OVER (PARTITION BY query_id ORDER BY rank) AS spent FROM r) SELECT query_id, memory_id, rank::INT AS rank FROM b WHERE rank = 1 OR spent <= 9000")

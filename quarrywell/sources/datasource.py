@@ -27,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from quarrywell.schema import RECORD
 from quarrywell.sources import folders
+from quarrywell.sources.table import BUCKETS
 
 #: Rows of a bucket for each task that reads it.
 SLICE = 1_000_000
@@ -78,7 +79,7 @@ def _state(path: str) -> dict:
     if names:
         return json.loads(_text(f"{path}/state/{names[-1]}"))
     writes = sorted(int(n.removeprefix("write=")) for n, folder in _names(f"{path}/log") if folder and n.startswith("write="))
-    return {"writes": writes, "since": {}, "buckets": 64}
+    return {"writes": writes, "since": {}, "buckets": BUCKETS}
 
 
 def _files(path: str, state: dict, bucket: int | None, after: int = -1) -> dict[int, list[str]]:

@@ -30,8 +30,8 @@ from quarrywell.operators.recall import candidates, in_states
 from quarrywell.schema import RECORD, STATES, VERSION
 from quarrywell.sources import folders, json_files
 
-BUCKETS = 64
-#: Ids of a write up to which they are handed to the index's scan as literals; more are joined.
+BUCKETS = 32
+#: Ids of a write up to which they are handed to the index's scan as literals, and their files have no bloom filters; more are joined.
 FEW = 1000
 _NOTES = [T.StructField("version", T.LongType()), T.StructField("owner", T.LongType()), T.StructField("moved", T.BooleanType()), T.StructField("held_in", T.ArrayType(T.IntegerType()))]
 LOG = T.StructType([*RECORD.fields, *_NOTES, T.StructField("write", T.LongType()), T.StructField("user_bucket", T.IntegerType())])
@@ -203,7 +203,7 @@ class MemoryTable:
         """memory_id of all rows, or of those among ``ids``, from the index."""
         state = self._indexed()[1]
         if ids is not None:
-            return self._known(ids, state).select("memory_id")
+            return self._known(ids, state, self._few(ids, state)).select("memory_id")
         return self._ids(state).groupBy("memory_id").agg(F.max_by(F.struct("lives_in"), "write").alias("r")).where("r.lives_in IS NOT NULL").select("memory_id")
 
     # -- writing
@@ -219,23 +219,29 @@ class MemoryTable:
             number, state = self._state()
         return number, state
 
-    def _put(self, rows: DataFrame, what: str, w: int, bucket: str, order: list[str]) -> None:
+    def _put(self, rows: DataFrame, what: str, w: int, bucket: str, order: list[str], small: bool) -> None:
         # Buckets of about equal files, large ones in several; sorted, so that statistics tell files and row groups apart.
         spread = rows.hint("rebalance", bucket).sortWithinPartitions(bucket, *order)
-        spread.write.mode("append").option("parquet.bloom.filter.enabled#memory_id", "true").partitionBy(bucket).parquet(f"{self.path}/{what}/write={w}")
+        # As large as the ids of a file ask for; unless told so, each would take a megabyte.
+        bloom = {} if small else {"parquet.bloom.filter.enabled#memory_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        spread.write.mode("append").options(**bloom).partitionBy(bucket).parquet(f"{self.path}/{what}/write={w}")
 
-    def _put_log(self, rows: DataFrame, w: int) -> None:
-        self._put(rows.select([n for n in LOG.fieldNames() if n != "write"]), "log", w, "user_bucket", ["owner", "memory_id"])
+    def _put_log(self, rows: DataFrame, w: int, small: bool = False) -> None:
+        self._put(rows.select([n for n in LOG.fieldNames() if n != "write"]), "log", w, "user_bucket", ["owner", "memory_id"], small)
 
-    def _put_ids(self, rows: DataFrame, w: int, state: dict) -> None:
+    def _put_ids(self, rows: DataFrame, w: int, state: dict, small: bool = False) -> None:
         rows = rows.withColumn("id_bucket", bucket_of(F.col("memory_id"), state["buckets"]))
-        self._put(rows.select([n for n in IDS.fieldNames() if n != "write"]), "ids", w, "id_bucket", ["memory_id"])
+        self._put(rows.select([n for n in IDS.fieldNames() if n != "write"]), "ids", w, "id_bucket", ["memory_id"], small)
 
-    def _known(self, ids: DataFrame, state: dict) -> DataFrame:
-        """memory_id and ``was`` (lives_in, owner, held_in, place) of those ids that are stored."""
-        index = self._ids(state)
+    def _few(self, ids: DataFrame, state: dict) -> list | None:
+        """The ids with their buckets, if they are few."""
         some = ids.select("memory_id", bucket_of(F.col("memory_id"), state["buckets"]).alias("b")).limit(FEW + 1).collect()
-        if len(some) <= FEW:
+        return some if len(some) <= FEW else None
+
+    def _known(self, ids: DataFrame, state: dict, some: list | None) -> DataFrame:
+        """memory_id and ``was`` (lives_in, owner, held_in, place) of those ids that are stored; ``some``: the ids, if they are few."""
+        index = self._ids(state)
+        if some is not None:
             index = index.where(F.col("id_bucket").isin(sorted({r["b"] for r in some})) & F.col("memory_id").isin([r["memory_id"] for r in some]))
         else:
             index = index.join(ids.select("memory_id"), "memory_id", "left_semi")
@@ -253,13 +259,14 @@ class MemoryTable:
         rows = upgrade_schema(rows).select(FIELDS)
         rows = rows.groupBy("memory_id").agg(F.max_by(F.struct(*FIELDS), F.coalesce("seq", F.lit(-1))).alias("r"), F.min("seq").alias("first")).select("r.*", "first")
         path, rows = self._stage(rows, "rows")  # read four times; ids and vectors must be the same each time
-        known = self._known(rows, state)
+        some = self._few(rows, state)
+        known = self._known(rows, state, some)
         own, owner = bucket_of(F.col("user_id"), state["buckets"]), owner_of(F.col("user_id"))
         rows = rows.withColumns({"user_bucket": own, "owner": owner}).join(known, "memory_id", "left")
         rows = rows.withColumns({"seq": F.coalesce("was.place", "first"), "version": F.lit(w).cast("long"), "held_in": F.array_union(F.coalesce("was.held_in", F.array().cast("array<int>")), F.array("user_bucket"))})
         left = rows.where("was.owner <> owner").select(*(F.col("memory_id") if n == "memory_id" else F.col("was.lives_in").alias(n) if n == "user_bucket" else F.col("was.owner").alias(n) if n == "owner" else F.lit(True).alias(n) if n == "moved" else F.lit(w).cast("long").alias(n) if n == "version" else F.lit(None).cast(LOG[n].dataType).alias(n) for n in LOG.fieldNames() if n != "write"))
-        self._put_log(rows.withColumn("moved", F.lit(False)).select([n for n in LOG.fieldNames() if n != "write"]).unionByName(left), w)
-        self._put_ids(rows.select("memory_id", F.col("user_bucket").alias("lives_in"), "owner", "held_in", F.col("seq").alias("place")), w, state)
+        self._put_log(rows.withColumn("moved", F.lit(False)).select([n for n in LOG.fieldNames() if n != "write"]).unionByName(left), w, some is not None)
+        self._put_ids(rows.select("memory_id", F.col("user_bucket").alias("lives_in"), "owner", "held_in", F.col("seq").alias("place")), w, state, some is not None)
         self._commit(number, state | {"writes": [*state["writes"], w]})
         folders.remove(self.spark, path)
 
