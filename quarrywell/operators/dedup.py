@@ -6,27 +6,94 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrywell.functions.text import sentiment_flip, tokens
-from quarrywell.operators.nearness import linked, near_ids, near_pairs, written
+from quarrywell.functions.text import NEGATIONS, OPPOSITES, key_words, tokens
+from quarrywell.operators.nearness import SAMPLE, linked, near_ids, near_pairs, near_said, written
 from quarrywell.schema import DELETED, RECORD
 
 FIELDS = [f.name for f in RECORD.fields]
 #: Rows of a user up to which they are folded in one task.
 MOST = 20_000
+#: Words that decide whether two texts can say opposite things; how many of the commonest key words a mark tells.
+SAYS = list(dict.fromkeys([*NEGATIONS, *(w for p in OPPOSITES for w in p)]))
+COMMON = 256
 
 #: The record, and the ids of the new rows that it now holds.
 FOLDED = T.StructType([*RECORD.fields, T.StructField("sources", T.ArrayType(T.StringType()))])
 
 
-def duplicates(new: DataFrame, existing: DataFrame, threshold: float = 0.85, before: bool = False, scratch: list[str] | None = None) -> DataFrame:
+def duplicates(new: DataFrame, existing: DataFrame, threshold: float = 0.85, before: bool = False, scratch: list[str] | None = None, first: bool = False) -> DataFrame:
     """new_id, old_id, sim, old_seq: above the threshold, unless the two say the opposite of each other.  ``before``: only pairs whose
-    existing row comes first."""
-    near = near_pairs(new, existing, threshold, None, before, scratch)
-    # Only pairs above the threshold meet their texts.
-    left = new.select(F.col("memory_id").alias("new_id"), tokens("content").alias("new_tokens"))
-    right = existing.select(F.col("memory_id").alias("old_id"), tokens("content").alias("old_tokens"))
-    said = near.join(left, "new_id").join(right, "old_id")
-    return said.where(~sentiment_flip(F.col("new_tokens"), F.col("old_tokens"))).select("user_id", "new_id", "old_id", "sim", "new_seq", "old_seq")
+    existing row comes first.  ``first``: of each new row no more of them than tell its first in store order.
+
+    No pair carries words: a row's mark tells which words of ``SAYS`` it has, and which of the commonest key words.  Pairs that say
+    opposite things share a key word for sure if it is one of those; only the others meet their key words."""
+    scratch = [] if scratch is None else scratch
+    mine = written(_worded(new), "near-words", scratch)
+    theirs = mine if existing is new else written(_worded(existing), "near-words", scratch)
+    common = {w: k for k, w in enumerate(_common(mine))}
+    left = _marked(mine, common)
+    right = left if theirs is mine else _marked(theirs, common)
+    near = written(near_said(left, right, threshold, _verdict, before, first, scratch), "near-said", scratch)
+    sure, asked = near.where("sure"), near.where("NOT sure")
+    if first:
+        sure = sure.groupBy("new_id").agg(F.min_by(F.struct("user_id", "old_id", "sim", "new_seq", "old_seq"), _place()).alias("p")).select("new_id", "p.*")
+        asked = asked.join(sure.select("new_id", _place().alias("least")), "new_id", "left").where(F.col("least").isNull() | (_place() < F.col("least")))
+    words = lambda df, x: df.select(F.col("memory_id").alias(f"{x}_id"), F.col("words").alias(f"{x}_words"))
+    asked = asked.join(words(mine, "new"), "new_id").join(words(theirs, "old"), "old_id").where(~F.arrays_overlap("new_words", "old_words"))
+    pair = ["user_id", "new_id", "old_id", "sim", "new_seq", "old_seq"]
+    return sure.select(*pair).unionAll(asked.select(*pair))
+
+
+def _place() -> Column:
+    return F.struct(F.col("old_seq").isNull(), F.col("old_seq"), F.col("old_id"))
+
+
+def _worded(rows: DataFrame) -> DataFrame:
+    """The rows that have a text, with its key words and ``says``: a bit for a negation, one for each side of each pair of opposites."""
+    said = rows.where("content IS NOT NULL").select("memory_id", "user_id", "seq", "embedding", tokens("content").alias("tokens"))
+    said = said.select("memory_id", "user_id", "seq", "embedding", key_words(F.col("tokens")).alias("words"), F.array_intersect("tokens", F.array(*map(F.lit, SAYS))).alias("some"))
+    bits = [F.arrays_overlap("some", F.array(*map(F.lit, NEGATIONS))), *(F.array_contains("some", p[side]) for side in (0, 1) for p in OPPOSITES)]
+    says = sum((F.when(hit, F.lit(1 << k)).otherwise(F.lit(0)) for k, hit in enumerate(bits)), F.lit(0)).cast("long")
+    return said.select("memory_id", "user_id", "seq", "embedding", "words", says.alias("says"))
+
+
+def _common(worded: DataFrame) -> list[str]:
+    """The commonest key words of some rows.  They decide which pairs meet their words, never what those say."""
+    found = worded.select("words").limit(SAMPLE).select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return [r["w"] for r in found.orderBy(F.desc("n"), "w").limit(COMMON).collect()]
+
+
+def _marked(worded: DataFrame, common: dict[str, int]) -> DataFrame:
+    """The rows with ``mark``: says, and a bit for each common word."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            mark = np.zeros((b.num_rows, 1 + COMMON // 64), "<u8")
+            mark[:, 0] = b.column(4).to_numpy()
+            for k, words in enumerate(b.column(5).to_pylist()):
+                at = np.array([common[w] for w in words], int)
+                np.bitwise_or.at(mark[k], 1 + at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([m.tobytes() for m in mark], pa.binary())], ["memory_id", "user_id", "seq", "embedding", "mark"])
+
+    some = F.array_intersect("words", F.array(*map(F.lit, common)).cast("array<string>"))
+    kind = T.StructType([*worded.select("memory_id", "user_id", "seq", "embedding").schema.fields, T.StructField("mark", T.BinaryType())])
+    return worded.select("memory_id", "user_id", "seq", "embedding", "says", some.alias("some")).mapInArrow(run, kind)
+
+
+def _verdict(x, y):
+    """Of pairs of marks: 0 if they share a common key word and say opposite things, 2 if they only say such, else 1."""
+    import numpy as np
+
+    x, y = (np.ascontiguousarray(m).view("<u8") for m in (x, y))
+    a, b, n = x[:, 0], y[:, 0], np.uint64(len(OPPOSITES))
+    side = np.uint64((1 << len(OPPOSITES)) - 1)
+    sides = lambda s: ((s >> np.uint64(1)) & side, s >> (np.uint64(1) + n))
+    (ap, an), (bp, bn) = sides(a), sides(b)
+    opposed = (((a ^ b) & np.uint64(1)) | (ap & bn) | (an & bp)) != 0
+    shared = (x[:, 1:] & y[:, 1:]).any(axis=1)
+    return np.where(opposed, np.where(shared, 0, 2), 1)
 
 
 def conflicts(new: DataFrame, existing: DataFrame, low: float = 0.65, high: float = 0.85, before: bool = False, scratch: list[str] | None = None) -> DataFrame:
@@ -36,7 +103,7 @@ def conflicts(new: DataFrame, existing: DataFrame, low: float = 0.65, high: floa
 
 def first_duplicates(found: DataFrame) -> DataFrame:
     """new_id, old_id: the first in store order of each new row's duplicates.  Summed up inside each task first."""
-    return found.groupBy("new_id").agg(F.min_by("old_id", "old_seq").alias("old_id"))
+    return found.groupBy("new_id").agg(F.min_by("old_id", _place()).alias("old_id"))
 
 
 def resolve(new: DataFrame, existing: DataFrame, found: DataFrame, now: Column) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quarrywell.sources.folders import shared_path
 
 PIVOTS, SAMPLE, BLOCK, GRID = 32, 4096, 512, 1 << 14
+MARKED = 1 << 16  # pairs whose marks are compared at once
 _ROUNDING = 1e-6  # more than distances of nearly equal vectors can be off
 _EDGE = 1e-9  # a similarity so close to a threshold is summed up again in the order of the components
 
@@ -48,12 +49,12 @@ def _units(v: list[bytes], dim: int) -> np.ndarray:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """user_id, memory_id, seq, dim, v (doubles; zeros for a vector without direction)."""
+    """user_id, memory_id, seq, mark (bytes for a ``verdict``, where rows have them), dim, v (doubles; zeros for a vector without direction)."""
 
     def run(batches):
         for b in batches:
             dims, out, keep = [], [], []
-            for k, x in enumerate(b.column(3)):
+            for k, x in enumerate(b.column(4)):
                 if not x.is_valid:
                     continue
                 v = np.asarray(x.values.to_numpy(zero_copy_only=False), "<f8")
@@ -61,9 +62,10 @@ def packed(rows: DataFrame) -> DataFrame:
                 dims.append(len(v))
                 out.append((v if np.isfinite(v).all() else np.zeros(len(v))).tobytes())
             some = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(some) for k in range(3)), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["user_id", "memory_id", "seq", "dim", "v"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(some) for k in range(4)), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["user_id", "memory_id", "seq", "mark", "dim", "v"])
 
-    return rows.select("user_id", "memory_id", F.col("seq").cast("long").alias("seq"), F.col("embedding").cast("array<double>").alias("e")).mapInArrow(run, "user_id string, memory_id string, seq long, dim int, v binary")
+    mark = (F.col("mark") if "mark" in rows.columns else F.lit(None)).cast("binary").alias("mark")
+    return rows.select("user_id", "memory_id", F.col("seq").cast("long").alias("seq"), mark, F.col("embedding").cast("array<double>").alias("e")).mapInArrow(run, "user_id string, memory_id string, seq long, mark binary, dim int, v binary")
 
 
 def pivots(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -105,18 +107,18 @@ def blocks(rows: DataFrame, at: dict[int, np.ndarray], scratch: list[str]) -> Da
 
         def close():
             nonlocal no, held
-            ids, seqs, v, far = zip(*held)
+            ids, seqs, marks, v, far = zip(*held)
             far = np.frombuffer(b"".join(far)).reshape(-1, PIVOTS)
             data = {
                 "no": [no], "user_id": pa.array([key[0]], pa.string()), "dim": pa.array([key[1]], pa.int32()), "n": [len(ids)], "lo": [far.min(axis=0).tolist()], "hi": [far.max(axis=0).tolist()],
                 "first": pa.array([min((s for s in seqs if s is not None), default=None)], pa.int64()), "last": pa.array([max((s for s in seqs if s is not None), default=None)], pa.int64()),
-                "ids": pa.array([list(ids)], pa.list_(pa.string())), "seqs": pa.array([list(seqs)], pa.list_(pa.int64())), "vs": [b"".join(v)],
+                "ids": pa.array([list(ids)], pa.list_(pa.string())), "seqs": pa.array([list(seqs)], pa.list_(pa.int64())), "marks": pa.array([b"".join(m or b"" for m in marks)], pa.binary()), "vs": [b"".join(v)],
             }
             no, held = no + 1, []
             return pa.RecordBatch.from_pydict(data)
 
         for b in batches:
-            for user, dim, *row in zip(*(b.column(n).to_pylist() for n in ("user_id", "dim", "memory_id", "seq", "v", "far"))):
+            for user, dim, *row in zip(*(b.column(n).to_pylist() for n in ("user_id", "dim", "memory_id", "seq", "mark", "v", "far"))):
                 if held and ((user, dim) != key or len(held) >= BLOCK):
                     yield close()
                 key = user, dim
@@ -124,10 +126,10 @@ def blocks(rows: DataFrame, at: dict[int, np.ndarray], scratch: list[str]) -> Da
         if held:
             yield close()
 
-    kind = "user_id string, memory_id string, seq long, dim int, v binary, near int, apart double, far binary"
+    kind = "user_id string, memory_id string, seq long, mark binary, dim int, v binary, near int, apart double, far binary"
     order = ["user_id", "dim", "near", "apart", "memory_id"]  # the last tells rows alike apart, however many
     ranged = rows.mapInArrow(placed, kind).repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(ranged.mapInArrow(cut, "no long, user_id string, dim int, n long, lo array<double>, hi array<double>, first long, last long, ids array<string>, seqs array<long>, vs binary"), "near-blocks", scratch)
+    return written(ranged.mapInArrow(cut, "no long, user_id string, dim int, n long, lo array<double>, hi array<double>, first long, last long, ids array<string>, seqs array<long>, marks binary, vs binary"), "near-blocks", scratch)
 
 
 def block_pairs(new: DataFrame, old: DataFrame, low: float, before: bool) -> DataFrame:
@@ -192,7 +194,7 @@ def _sides(new: DataFrame, old: DataFrame, scratch: list[str]) -> tuple[DataFram
 
 
 def _met(left: DataFrame, right: DataFrame, low: float, before: bool) -> DataFrame:
-    pick = lambda df, x, more: df.select(F.col("no").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in (*more, "ids", "seqs", "vs")))
+    pick = lambda df, x, more: df.select(F.col("no").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in (*more, "ids", "seqs", "marks", "vs")))
     return block_pairs(left, right, low, before).drop("pairs").join(pick(left, "a", ["user_id", "dim"]), "a").join(pick(right, "b", []), "b")
 
 
@@ -216,6 +218,38 @@ def near_pairs(new: DataFrame, old: DataFrame, low: float, high: float | None =
     return _met(left, right, low, before).mapInArrow(run, "user_id string, new_id string, old_id string, sim double, new_seq long, old_seq long")
 
 
+def near_said(new: DataFrame, old: DataFrame, low: float, verdict, before: bool = False, first: bool = False, scratch: list[str] | None = None) -> DataFrame:
+    """What ``near_pairs`` gives, and ``sure``.  ``verdict`` tells from the marks of both rows (bytes of one length) which pairs are
+    dropped (0), sure (1) or still to be asked (2).  ``first``: of a new row's pairs only the first sure one in store order and the
+    unsure ones before it; they are picked in each task, so rows with very many partners are not written out in pairs."""
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                row = {n: b.column(n)[k].as_py() for n in b.schema.names}
+                i, j, sim = _hits(row, low, None, before)
+                x, y = (np.frombuffer(row[f"{s}_marks"], np.uint8).reshape(len(row[f"{s}_ids"]), -1) for s in "ab")
+                said = np.concatenate([verdict(x[i[at : at + MARKED]], y[j[at : at + MARKED]]) for at in range(0, len(i), MARKED)] or [np.zeros(0, int)])
+                keep = said > 0
+                if first:
+                    order = sorted(range(len(row["b_ids"])), key=lambda at: (row["b_seqs"][at] is None, row["b_seqs"][at] or 0, row["b_ids"][at]))  # noqa: B023
+                    place = np.empty(len(order), int)
+                    place[order] = np.arange(len(order))
+                    least = np.full(len(row["a_ids"]), len(order))
+                    np.minimum.at(least, i[said == 1], place[j[said == 1]])
+                    keep &= place[j] <= least[i]
+                i, j, sim, said = i[keep], j[keep], sim[keep], said[keep]
+                take = lambda name, at, kind: pa.array(row[name], kind).take(pa.array(at))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["a_user_id"]] * len(i), pa.string()), take("a_ids", i, pa.string()), take("b_ids", j, pa.string()), pa.array(sim, pa.float64()), take("a_seqs", i, pa.int64()), take("b_seqs", j, pa.int64()), pa.array(said == 1)],
+                    ["user_id", "new_id", "old_id", "sim", "new_seq", "old_seq", "sure"],
+                )
+
+    scratch = [] if scratch is None else scratch
+    left, right = _sides(new, old, scratch)
+    return _met(left, right, low, before).mapInArrow(run, "user_id string, new_id string, old_id string, sim double, new_seq long, old_seq long, sure boolean")
+
+
 def near_ids(new: DataFrame, old: DataFrame, low: float, high: float | None = None, before: bool = False, scratch: list[str] | None = None) -> DataFrame:
     """new_id of the rows that have such a partner, each once.  A task tells a row once for all its partners there, so no
     group of rows alike is written out in pairs."""

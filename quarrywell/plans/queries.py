@@ -419,7 +419,7 @@ def q35_conflict_pairs(spark, d):
 @query(_dup(0.62) + f", f AS (SELECT * FROM dup QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY old_seq) = 1) SELECT o.memory_id, n.content, n.tags, o.importance, o.lifecycle_state, TIMESTAMP '{NOW}' AS last_accessed_at FROM f JOIN mem o ON o.memory_id = f.old_id JOIN mem n ON n.memory_id = f.new_id")
 def q36_resolve_duplicate(spark, d):
     m = mem(spark, d)
-    out = dedup.resolve(m, m, dedup.duplicates(m, m, 0.62, before=True), _now())
+    out = dedup.resolve(m, m, dedup.duplicates(m, m, 0.62, before=True, first=True), _now())
     return out.select("memory_id", "content", "tags", "importance", "lifecycle_state", F.col("last_accessed_at").cast("timestamp_ntz").alias("last_accessed_at"))
 
 

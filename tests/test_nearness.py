@@ -185,3 +185,29 @@ def test_a_batch_reads_its_users_only(spark, tmp_path, monkeypatch):
     users, plan = read[0]
     assert users == {"u3", "u5"} and "user_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert table.get_all().count() == 301 and table.get("m900").count() == 1 and table.get("m901").count() == 0 and table.get("m5").first()["content"] == "word 5"
+
+
+SAYINGS = ["i love red tea", "i hate red tea", "i never drink tea", "i drink green tea", "do not stop", "on to", "no no", "", "we always walk in town", "we never walk in town", "you can swim far", "you can't swim far"]
+
+
+@pytest.mark.parametrize("common", [256, 64])
+def test_first_duplicates_without_pairs(spark, monkeypatch, common):
+    """The first duplicate of each row, found without writing out the pairs of rows alike; texts that say the opposite are none."""
+    monkeypatch.setattr(dedup, "COMMON", common)
+    if common == 64:
+        monkeypatch.setattr(dedup, "_common", lambda worded: ["swim"])  # nearly all pairs must be asked for their words
+    rng = random.Random(5)
+    rows = [row(k, "u", rng.choice(SAYINGS), v, seq=rng.choice([k, k, k // 7, None])) for k, v in enumerate([[1.0, 0.0]] * 300 + [[0.0, 1.0]] * 200)] + [row(900, "u", None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, RECORD)
+    place = lambda r: (r[12] is None, r[12] or 0, r[0])
+    said = [r for r in rows if r[2] is not None]
+    every = {(a[0], b[0]) for a in said for b in said if a[3] == b[3] and place(b) < place(a) and not dedup._python_flip(a[2], b[2])}
+    assert {(r["new_id"], r["old_id"]) for r in dedup.duplicates(df, df, 0.85, before=True).collect()} == every
+    where = {r[0]: place(r) for r in rows}
+    want = {}
+    for a, b in every:
+        want[a] = min(want.get(a, b), b, key=where.get)
+    found = dedup.duplicates(df, df, 0.85, before=True, first=True)
+    assert {r["new_id"]: r["old_id"] for r in dedup.first_duplicates(found).collect()} == want
+    if common == 256:
+        assert found.count() < 3 * len(rows) < len(every) / 20
