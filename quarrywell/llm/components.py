@@ -2,7 +2,8 @@
 partitions that the edges happen to lie in.
 
 Every step groups (with partial sums) and joins written tables, so a node with very many edges is split by adaptive
-execution, and a lost executor costs one step.  Nothing is collected; the driver sees one row a round.
+execution, and a lost executor costs one step.  Nothing is collected; the driver sees one row a round.  ``FEW`` edges or
+less, at any round, are contracted by one task, as their arrays take a few MB whatever the input.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarrywell.llm.common import dropped, written
 
+FEW = 1 << 18
 ROUNDS = 60  # far above what log-like convergence needs; more is an error, not a wrong result
 
 
@@ -68,6 +70,10 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == before:
             break
+        if mark[0] <= FEW:
+            last, now = now, written(_contracted(now.coalesce(1)), "edges")
+            dropped(last)
+            break
         before, last, wide = mark, now, _large(now)
         now = _small(wide)
         dropped(last, wide)

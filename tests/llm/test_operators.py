@@ -456,6 +456,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_few_edges_take_few_jobs(spark, monkeypatch):
+    """Few edges end in one task, without rounds of shuffles; the rounds give the same components."""
+    from quarrywell.llm import components as c
+
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(k, k + 1) for k in range(1000, 1100)]
+    told = spark.createDataFrame(edges, "u long, v long").repartition(4)
+    spark.sparkContext.setJobGroup("few-edges", "")
+    few = c.components(told)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(c, "FEW", 0)
+    assert set(map(tuple, few.collect())) == set(map(tuple, c.components(told).collect()))
+    assert jobs <= 10
+
+
 # 8
 
 
