@@ -11,8 +11,10 @@ from quarrywell.operators.nearness import SAMPLE, linked, near_ids, near_pairs,
 from quarrywell.schema import DELETED, RECORD
 
 FIELDS = [f.name for f in RECORD.fields]
-#: Rows of a user up to which they are folded in one task.
-MOST = 20_000
+#: Rows of a user, and bytes of their texts and vectors, up to which they are folded in one task.
+MOST, MOST_BYTES = 20_000, 64 << 20
+#: What is folded together: a group of users is held whole by a task's Python, several times over.
+GROUP, GROUP_BYTES = 2_000, 4 << 20
 #: Words that decide whether two texts can say opposite things; how many of the commonest key words a mark tells.
 SAYS = list(dict.fromkeys([*NEGATIONS, *(w for p in OPPOSITES for w in p)]))
 COMMON = 256
@@ -167,16 +169,19 @@ def folded(new: DataFrame, existing: DataFrame, now, threshold: float = 0.85, lo
     """The rows to store, each with ``sources``: the ids of the new rows that it holds, itself or merged into it.
 
     A row whose first duplicate in store order exists rewrites it; another is inserted, flagged if it has conflicts.  Users with up to
-    ``most`` rows are folded each in a group of its own; larger ones by ``folded_apart``, with the same results."""
+    ``most`` rows and ``MOST_BYTES`` are folded in one task each, a few users together by rows and bytes; larger ones by ``folded_apart``,
+    with the same results."""
     new = new.select(*FIELDS)
     live = existing.where(F.col("lifecycle_state") != DELETED).select(*FIELDS)
-    asked = new.groupBy("user_id").agg(F.count("*").alias("n"))
-    sizes = live.select("user_id").join(asked.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("m"))
-    each = asked.join(sizes, "user_id", "left").select("user_id", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
-    hot, total = each.where(F.col("n") > most).select("user_id"), each.agg(F.sum("n").alias("n"), F.max("n").alias("top")).first()
+    size = F.coalesce(F.octet_length("content"), F.lit(0)) + 8 * F.coalesce(F.array_size("embedding"), F.lit(0))
+    asked = new.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
     live = live.join(asked.select("user_id"), "user_id", "left_semi")
-    groups = max(int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total["n"] or 0) // MOST)
-    if (total["top"] or 0) <= most:
+    sizes = live.groupBy("user_id").agg(F.count("*").alias("m"), F.sum(size).alias("more"))
+    each = asked.join(sizes, "user_id", "left").select("user_id", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), (F.col("bytes") + F.coalesce("more", F.lit(0))).alias("bytes"))
+    large = (F.col("n") > most) | (F.col("bytes") > MOST_BYTES)
+    hot, total = each.where(large).select("user_id"), each.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(large).alias("hot")).first()
+    groups = max(int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total["n"] or 0) // GROUP, (total["bytes"] or 0) // GROUP_BYTES)
+    if not total["hot"]:
         return _folded_alone(new, live, now, threshold, low, groups)
     pick = lambda df, how: df.join(hot, "user_id", how).select(*FIELDS)
     return _folded_alone(pick(new, "left_anti"), pick(live, "left_anti"), now, threshold, low, groups).unionByName(folded_apart(pick(new, "left_semi"), pick(live, "left_semi"), now, threshold, low, scratch))
@@ -244,8 +249,11 @@ def _folded_alone(new: DataFrame, live: DataFrame, now, threshold: float, low: f
     stamp = pd.Timestamp(now)
 
     def fold(old: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        known, out = dict(list(old.groupby("user_id", dropna=False))), []
-        for user, own in rows.groupby("user_id", dropna=False):
+        # Users with nothing but one new row have nothing to fold.
+        lone = rows["user_id"].notna() & ~rows["user_id"].duplicated(keep=False) & ~rows["user_id"].isin(old["user_id"])
+        single = rows.loc[lone, columns]
+        known, out = dict(list(old.groupby("user_id", dropna=False))), [single.assign(sources=[[i] for i in single["memory_id"]])] if len(single) else []
+        for user, own in rows[~lone].groupby("user_id", dropna=False):
             out.append(fold_one(known.get(user, old.iloc[:0]), own))
         return pd.concat(out) if out else pd.DataFrame([], columns=[*columns, "sources"])
 

@@ -211,3 +211,17 @@ def test_first_duplicates_without_pairs(spark, monkeypatch, common):
     assert {r["new_id"]: r["old_id"] for r in dedup.first_duplicates(found).collect()} == want
     if common == 256:
         assert found.count() < 3 * len(rows) < len(every) / 20
+
+
+def test_groups_of_the_fold_by_bytes(spark, monkeypatch):
+    """Few users with long texts are not dealt to as few groups as there are shuffle partitions; a user of very long texts is folded apart."""
+    seen = {}
+    monkeypatch.setattr(dedup, "_folded_alone", lambda new, live, now, threshold, low, groups: seen.setdefault("groups", groups) and new)
+    monkeypatch.setattr(dedup, "folded_apart", lambda new, live, *rest: seen.setdefault("apart", {r["user_id"] for r in new.select("user_id").collect()}) and new)
+    rows = [row(k, f"u{k}", "word " * 200_000, [1.0, 0.0]) for k in range(40)]
+    new, none = spark.createDataFrame(rows, RECORD), spark.createDataFrame([], RECORD)
+    dedup.folded(new, none, T0)
+    assert seen.pop("groups") >= 9 and "apart" not in seen
+    monkeypatch.setattr(dedup, "MOST_BYTES", 1_500_000)
+    dedup.folded(new.unionAll(spark.createDataFrame([row(99, "u7", "word " * 200_000, [1.0, 0.0])], RECORD)), none, T0)
+    assert seen["apart"] == {"u7"}
