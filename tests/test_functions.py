@@ -83,3 +83,16 @@ def test_config():
     for bad in ({"dedup_threshold": 2}, {"decay_threshold_hours": 0}, {"default_top_k": 0}, {"max_tokens_default": 0}):
         with pytest.raises(ValueError):
             Config(**bad)
+
+
+def test_key_words_split_once(spark, tmp_path):
+    """Every white space of Unicode parts words, and no other character; a query over key words splits a text once."""
+    from quarrywell.functions import text
+    from quarrywell.plans.queries import QUERIES
+
+    every = [(chr(k), f"a{chr(k)}b") for k in range(1, 0x10000) if not 0xD800 <= k < 0xE000]
+    df = spark.createDataFrame(every, "c string, t string")
+    assert {r["c"] for r in df.where(F.size(text.tokens("t")) == 2).collect()} == {c for c, _ in every if c.isspace()}
+    spark.createDataFrame([(1, "To be in it")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["q33_key_words"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
