@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quarrywell.sources.folders import shared_path
 
 PIVOTS, SAMPLE, BLOCK, GRID = 32, 4096, 512, 1 << 14
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 MARKED = 1 << 16  # pairs whose marks are compared at once
 _ROUNDING = 1e-6  # more than distances of nearly equal vectors can be off
 _EDGE = 1e-9  # a similarity so close to a threshold is summed up again in the order of the components
@@ -187,6 +188,9 @@ def _hits(row: dict, low: float, high: float | None, before: bool):
 
 
 def _sides(new: DataFrame, old: DataFrame, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
+    # A pair of blocks is half a MB and more; Spark's own limit of 64 MB would bring a task very many at once.
+    if _BATCH not in new.sparkSession.conf.getAll:
+        new.sparkSession.conf.set(_BATCH, str(4 << 20))
     rows = written(packed(new), "near-rows", scratch)
     at = pivots(rows)
     left = blocks(rows, at, scratch)

@@ -225,3 +225,10 @@ def test_groups_of_the_fold_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(dedup, "MOST_BYTES", 1_500_000)
     dedup.folded(new.unionAll(spark.createDataFrame([row(99, "u7", "word " * 200_000, [1.0, 0.0])], RECORD)), none, T0)
     assert seen["apart"] == {"u7"}
+
+
+def test_pairs_of_blocks_come_in_short_batches(spark):
+    spark.conf.unset(nearness._BATCH)
+    df = spark.createDataFrame([row(k, "u", "x", [1.0, k]) for k in range(20)], RECORD)
+    nearness._sides(df, df, [])
+    assert int(spark.conf.get(nearness._BATCH)) <= 4 << 20
