@@ -28,7 +28,8 @@ def duplicates(new: DataFrame, existing: DataFrame, threshold: float = 0.85, bef
     existing row comes first.  ``first``: of each new row no more of them than tell its first in store order.
 
     No pair carries words: a row's mark tells which words of ``SAYS`` it has, and which of the commonest key words.  Pairs that say
-    opposite things share a key word for sure if it is one of those; only the others meet their key words."""
+    opposite things share a key word for sure if it is one of those; the others meet hashes of their key words, and only those that
+    share one of these meet the words."""
     scratch = [] if scratch is None else scratch
     mine = written(_worded(new), "near-words", scratch)
     theirs = mine if existing is new else written(_worded(existing), "near-words", scratch)
@@ -40,10 +41,10 @@ def duplicates(new: DataFrame, existing: DataFrame, threshold: float = 0.85, bef
     if first:
         sure = sure.groupBy("new_id").agg(F.min_by(F.struct("user_id", "old_id", "sim", "new_seq", "old_seq"), _place()).alias("p")).select("new_id", "p.*")
         asked = asked.join(sure.select("new_id", _place().alias("least")), "new_id", "left").where(F.col("least").isNull() | (_place() < F.col("least")))
-    words = lambda df, x: df.select(F.col("memory_id").alias(f"{x}_id"), F.col("words").alias(f"{x}_words"))
-    asked = asked.join(words(mine, "new"), "new_id").join(words(theirs, "old"), "old_id").where(~F.arrays_overlap("new_words", "old_words"))
     pair = ["user_id", "new_id", "old_id", "sim", "new_seq", "old_seq"]
-    return sure.select(*pair).unionAll(asked.select(*pair))
+    shared = lambda df, of: df.select(*pair).join(mine.select(F.col("memory_id").alias("new_id"), of.alias("x")), "new_id").join(theirs.select(F.col("memory_id").alias("old_id"), of.alias("y")), "old_id").select(*pair, F.arrays_overlap("x", "y").alias("shared"))
+    asked = written(shared(asked, F.transform("words", lambda w: F.hash(w))), "near-asked", scratch)
+    return sure.select(*pair).unionAll(asked.where("NOT shared").select(*pair)).unionAll(shared(asked.where("shared"), F.col("words")).where("NOT shared").select(*pair))
 
 
 def _place() -> Column:
@@ -60,8 +61,9 @@ def _worded(rows: DataFrame) -> DataFrame:
 
 
 def _common(worded: DataFrame) -> list[str]:
-    """The commonest key words of some rows.  They decide which pairs meet their words, never what those say."""
-    found = worded.select("words").limit(SAMPLE).select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    """The commonest key words of some rows of a written table.  They decide which pairs meet their words, never what those say."""
+    some = worded.where(F.pmod(F.xxhash64("memory_id"), F.lit(max(1, worded.count() // SAMPLE))) == 0)
+    found = some.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     return [r["w"] for r in found.orderBy(F.desc("n"), "w").limit(COMMON).collect()]
 
 

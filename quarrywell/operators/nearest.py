@@ -93,5 +93,5 @@ class Nearest:
 
 
 def _sides(data: bytes, n: int, dim: int) -> np.ndarray:
-    each = 8 * dim
-    return _units([data[k : k + each] for k in range(0, n * each, each)], dim) if dim else _doubles(b"", n, 0)
+    each = len(data) // n
+    return _units([data[k : k + each] for k in range(0, len(data), each)], dim) if dim else _doubles(b"", n, 0)

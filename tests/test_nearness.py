@@ -232,3 +232,50 @@ def test_pairs_of_blocks_come_in_short_batches(spark):
     df = spark.createDataFrame([row(k, "u", "x", [1.0, k]) for k in range(20)], RECORD)
     nearness._sides(df, df, [])
     assert int(spark.conf.get(nearness._BATCH)) <= 4 << 20
+
+
+def test_a_vector_is_sent_for_a_bundle_not_a_block(spark, monkeypatch):
+    """100 blocks of one user in directions without structure: all pairs of blocks are compared, and each vector is sent a few times."""
+    monkeypatch.setattr(nearness, "BLOCK", 16)
+    v = np.random.default_rng(7).normal(size=(1600, 24))
+    rows = spark.createDataFrame([row(k, "u", "x", v[k]) for k in range(1600)], RECORD)
+    left, right = nearness._sides(rows, rows, [])
+    sent = nearness._met(left, right, 0.6, True).selectExpr("sum(length(a_vs) + length(b_vs))").first()[0]
+    assert sent <= 4 * 1600 * 24 * 8
+
+
+def test_pairs_of_bundles(spark, monkeypatch):
+    """Many bundles of many blocks, each two of them met once for both ways; rows alike, null places, and vectors kept as doubles."""
+    for name, to in (("BLOCK", 7), ("BUNDLE", 30), ("LEAST", 10)):
+        monkeypatch.setattr(nearness, name, to)
+    r = random.Random(8)
+    rows = [row(k, f"u{k % 5 // 4}", r.choice(SAYINGS), v) for k, v in enumerate([*vectors(160, 6, 3), *[[1.0] * 6] * 40])]
+    rows = [(*x[:12], None if r.random() < 0.2 else r.randrange(90)) for x in rows]
+    place = lambda x: (x[12] is None, x[12] or 0, x[0])
+    near = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and ncos(a[3], b[3]) > 0.8 and place(b) < place(a)}
+    df = spark.createDataFrame(rows, RECORD)
+    left, right = nearness._sides(df, df, [])
+    met = nearness._met(left, right, 0.8, True).select("a", "b").collect()
+    assert left.count() > 6 and len(met) == len({frozenset(p) for p in met})
+    for old in (df, df.select("*"), df.withColumn("embedding", df.embedding.cast("array<double>"))):
+        got = [(x["new_id"], x["old_id"]) for x in nearness.near_pairs(df, old, 0.8, before=True).collect()]
+        assert len(got) == len(set(got)) and set(got) == near
+    assert {x[0] for x in nearness.near_ids(df, df, 0.8, before=True).collect()} == {a for a, _ in near}
+    said, where, want = {x[0]: x[2] for x in rows}, {x[0]: place(x) for x in rows}, {}
+    for a, b in near:
+        if not dedup._python_flip(said[a], said[b]):
+            want[a] = min(want.get(a, b), b, key=where.get)
+    assert {x["new_id"]: x["old_id"] for x in dedup.first_duplicates(dedup.duplicates(df, df, 0.8, before=True, first=True)).collect()} == want
+
+
+def test_words_with_one_hash(spark, monkeypatch):
+    """Pairs that say opposite things meet hashes of their words; where these are the same, the words themselves decide."""
+    monkeypatch.setattr(dedup, "_common", lambda worded: ["swim"])
+    monkeypatch.setattr(dedup.F, "hash", lambda *c: dedup.F.lit(1))
+    rows = [row(k, "u", s, [1.0, 0.0]) for k, s in enumerate(SAYINGS * 2)]
+    df = spark.createDataFrame(rows, RECORD)
+    want = {(a[0], b[0]) for a in rows for b in rows if b[12] < a[12] and not dedup._python_flip(a[2], b[2])}
+    scratch = []
+    assert {(r["new_id"], r["old_id"]) for r in dedup.duplicates(df, df, 0.85, before=True, scratch=scratch).collect()} == want
+    asked = spark.read.parquet(next(p for p in scratch if "near-asked" in p))
+    assert 0 < asked.count() < len(want) and "words" not in asked.columns
